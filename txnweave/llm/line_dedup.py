@@ -123,7 +123,7 @@ WITH l AS (
 ), tok AS (
   SELECT doc_id, no, n, leaf, unnest(range(n)) AS p, unnest(w) AS token FROM leafed
 ), often AS (
-  SELECT *, count(*) OVER (PARTITION BY leaf, p, token) AS c FROM at
+  SELECT *, count(*) OVER (PARTITION BY leaf, p, token) AS c FROM tok
 ), form AS (
   SELECT doc_id, no, leaf, n, count_if(c >= {MIN_DOCS} AND token <> '{WILD}') AS constant,
          string_agg(CASE WHEN c >= {MIN_DOCS} THEN token ELSE '{WILD}' END, ' ' ORDER BY p) AS template
