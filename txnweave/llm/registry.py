@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules, sharding
+from . import decontaminate, line_dedup, minhash, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
+        "op2_minhash": minhash.query,
         "op4_sharding": sharding.query,
+        "op5_decontaminate": decontaminate.query,
         "op7_quality_rules": quality_rules.query,
     }
 
@@ -21,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op4_sharding": sharding.ORACLE_SQL,
+        "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op7_quality_rules": quality_rules.ORACLE_SQL,
     }
