@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, quality_rules, sharding
+from . import bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": minhash.query,
         "op4_sharding": sharding.query,
         "op5_decontaminate": decontaminate.query,
+        "op6_bpe": bpe.query,
         "op7_quality_rules": quality_rules.query,
+        "op8_token_files": token_files.query,
     }
 
 
