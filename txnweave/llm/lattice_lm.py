@@ -43,7 +43,7 @@ from .common import BLANKS, LOWER, documents, materialize, row_steps, small_batc
 VOCABULARY = "piece_bpe_32k.model"
 #: Words whose counts and scores are broadcast (24 bytes each).
 HEAD = 1_000_000
-EM_ROUNDS = 1
+EM_ROUNDS = 2
 #: Words longer than this many bytes take the recursion that goes word by word.
 LONG = 192
 _B = np.uint64(0x9E3779B97F4A7C15)

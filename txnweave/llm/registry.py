@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, token_files
+from . import archives, bpe, decontaminate, lattice_lm, line_dedup, minhash, quality_rules, secrets, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
         "op2_minhash": minhash.query,
+        "op3_lattice_lm": lattice_lm.query,
         "op4_sharding": sharding.query,
         "op5_decontaminate": decontaminate.query,
         "op6_bpe": bpe.query,
         "op7_quality_rules": quality_rules.query,
         "op8_token_files": token_files.query,
+        "op9_archives": archives.query,
+        "op10_secrets": secrets.query,
     }
 
 
@@ -27,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_sharding": sharding.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op7_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_archives": archives.ORACLE_SQL,
     }
