@@ -27,7 +27,7 @@ table gives an empty result; extra columns are kept as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -45,8 +45,6 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth:
     """(id, key, no, line, leaf): one row for each line that is long enough."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     lines = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    # The head of the line decides the leaf; whole lines are split into tokens only where a leaf is shared.
-    n = F.size(F.split(F.trim(F.regexp_replace("line", _BLANK, " ")), " "))
     tokens = F.split(F.trim(F.regexp_replace("line", _BLANK, " ")), " ")
     lines = lines.withColumn("tokens", tokens).withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
     head = [_mask(F.element_at("tokens", i + 1)) for i in range(min(depth, min_tokens))]
@@ -62,8 +60,8 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shared = places.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
     counted = places.groupBy("leaf", "exact").agg(F.count("*").alias("c"))
     busy = counted.join(shared, "leaf", "left_semi")
-    texts = every.select("leaf", F.xxhash64("line").alias("exact"), "line").join(shared, "leaf", "left_semi")
-    texts = texts.groupBy("leaf", "exact").agg(F.first("line").alias("line"))
+    # Aggregated before the join: a line that many documents share is one row a task.
+    texts = every.select("leaf", F.xxhash64("line").alias("exact"), "line").groupBy("leaf", "exact").agg(F.first("line").alias("line"))
     distinct = materialize(spark, texts.join(busy, ["leaf", "exact"]), "line-texts")
     at = distinct.select("leaf", "exact", "c", F.posexplode(F.transform(F.split("line", " "), _mask)).alias("p", "token"))
     at = at.withColumn("token", F.xxhash64("token"))
