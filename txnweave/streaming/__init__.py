@@ -1 +1,42 @@
+"""The same pipelines over streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize
+from ..operators import extraction, routing
+
+
+def extract_stream(messages: DataFrame) -> DataFrame:
+    """Stateless: classify and extract each message."""
+    return extraction.extract_messages(routing.with_class(messages))
+
+
+def drop_repeats(messages: DataFrame, time_col: str = "ts", delay: str = "10 days") -> DataFrame:
+    """The first of messages with one content within the watermark."""
+    keyed = messages.withColumn("content_key", normalize.content_key(F.col("text")))
+    return keyed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["content_key"])
+
+
+def live_counts(events: DataFrame, time_col: str = "ts", width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """Counts in tumbling windows."""
+    return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, mode: str = "append", partition_by: str | None = None) -> None:
+    """Process what is there and stop; a later call goes on where this one ended."""
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = (writer.partitionBy(partition_by) if partition_by else writer).start()
+    query.awaitTermination()
+
+
+def fan_out(stream: DataFrame, folders: dict[str, str], checkpoint: str) -> None:
+    """Each batch's keep, garbage and uncertain rows to their own folders."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        for kind, path in folders.items():
+            batch.where(F.col("classification") == kind).write.mode("append").parquet(path)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
