@@ -1 +1,185 @@
+"""Readers and writers of message exports, mails, statements and corpora.
 
+Every reader gives columns (timestamp, sender, body, source) unless it says otherwise.
+"""
+
+from __future__ import annotations
+
+import email
+import email.header
+import html
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.normalize import clean_corpus, timestamp
+from ..operators.datasets import keep_first
+
+UNIFIED = ["timestamp", "sender", "body", "source"]
+#: Names that columns go by, in order.
+ALIASES = {
+    "timestamp": ["timestamp", "date", "time", "datetime", "created_at"],
+    "sender": ["sender", "from", "address", "phone"],
+    "body": ["body", "message", "text", "content", "sms"],
+}
+
+
+def _first_of(df: DataFrame, names: list[str]) -> Column:
+    """The first non-empty of the columns that are there, by case-insensitive name."""
+    there = {c.lower(): c for c in df.columns}
+    found = [F.nullif(F.trim(F.col(f"`{there[n]}`").cast("string")), F.lit("")) for n in names if n in there]
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
+def _unified(df: DataFrame, source: str) -> DataFrame:
+    body = _first_of(df, ALIASES["body"])
+    out = df.select(timestamp(_first_of(df, ALIASES["timestamp"])).alias("timestamp"), _first_of(df, ALIASES["sender"]).alias("sender"), body.alias("body"), F.lit(source).alias("source"))
+    return out.where(F.col("body").isNotNull() & (F.lower("body") != "nan"))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with any of the known headers; bad lines are skipped."""
+    return _unified(spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path), "csv")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A list of messages, or an object that holds one under a known name; rows with an amount become sentences."""
+    raw = spark.read.option("multiLine", True).json(path)
+    for name in ("messages", "transactions", "items", "data"):
+        if name in raw.columns:
+            raw = raw.select(F.explode(name).alias("x")).select("x.*")
+            break
+    if "amount" in raw.columns:
+        who = F.lit("unknown")
+        if "merchant" in raw.columns:
+            kind = raw.schema["merchant"].dataType.typeName()
+            who = F.coalesce(F.col("merchant.name") if kind == "struct" else F.col("merchant"), F.lit("unknown"))
+        said = F.when(F.col("amount").isNotNull(), F.concat(F.lit("Transaction: Rs."), F.col("amount").cast("string"), F.lit(" to "), who))
+        raw = raw.withColumn("body", F.coalesce(said, _first_of(raw, ALIASES["body"])))
+    return _unified(raw, "json")
+
+
+def read_sms_xml(spark: SparkSession, path: str, tag: str = "sms") -> DataFrame:
+    """<sms address date body/> exports."""
+    raw = spark.read.format("xml").option("rowTag", tag).load(path)
+    return _unified(raw.toDF(*[c.lstrip("_") for c in raw.columns]), "xml")
+
+
+def _header(value: str | None) -> str:
+    if not value:
+        return ""
+    parts = []
+    for text, charset in email.header.decode_header(value):
+        try:
+            parts.append(text.decode(charset or "utf-8", "ignore") if isinstance(text, bytes) else text)
+        except LookupError:
+            parts.append(text.decode("utf-8", "ignore"))
+    return "".join(parts)
+
+
+def _mail_body(message: email.message.Message) -> str:
+    """The first plain part, else the text of the first html part."""
+    plain, markup = None, None
+    for part in message.walk():
+        if part.is_multipart():
+            continue
+        payload = part.get_payload(decode=True)
+        text = payload.decode("utf-8", "ignore") if payload else ""
+        if part.get_content_type() == "text/plain" and plain is None:
+            plain = text
+        elif part.get_content_type() == "text/html" and markup is None:
+            markup = html.unescape(re.sub(r"<[^>]+>", " ", text))
+    return (plain if plain is not None else markup or "").strip()
+
+
+def read_mbox(spark: SparkSession, path: str) -> DataFrame:
+    """Mails of mbox files, split in parallel at their From lines; adds subject. MIME is decoded by the standard library."""
+    raw = spark.read.option("lineSep", "\nFrom ").text(path)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            mails = [email.message_from_string(x.partition("\n")[2]) for x in batch["value"]]
+            yield pd.DataFrame({"timestamp": [m["Date"] for m in mails], "sender": [_header(m["From"]) for m in mails], "body": [_mail_body(m) for m in mails], "subject": [_header(m["Subject"]) for m in mails]})
+
+    out = raw.mapInPandas(decode, "timestamp string, sender string, body string, subject string")
+    return out.where("body != ''").select(timestamp(F.col("timestamp")).alias("timestamp"), "sender", "body", F.lit("mbox").alias("source"), "subject")
+
+
+def unify(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("csv", "json", "xml", "mbox")) -> DataFrame:
+    """All exports of a folder (sub-folders by kind), one row for each distinct body: the first by source and time."""
+    readers = {"csv": read_csv, "json": read_json, "xml": read_sms_xml, "mbox": read_mbox}
+    parts = [readers[k](spark, f"{folder}/{k}").select(*UNIFIED) for k in kinds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return keep_first(out, ["body"], [F.col("source"), F.col("timestamp"), F.col("sender")])
+
+
+def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(text, filename): one document for each file."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("filename"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; malformed ones are skipped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where("trim(value) != ''").select(F.col("value").alias("text"))
+
+
+def sections(df: DataFrame, text_col: str, least: int = 50) -> DataFrame:
+    """Parts between blank lines of more than ``least`` characters."""
+    return df.select("*", F.posexplode(F.split(text_col, "\n\n")).alias("section_no", "section")).where(F.length(F.trim("section")) > least)
+
+
+def term_lines(df: DataFrame, text_col: str) -> DataFrame:
+    """Non-empty lines that don't start with #."""
+    return df.select("*", F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).where("trim(line) != '' AND trim(line) NOT LIKE '#%'")
+
+
+#: Entities that pages use most.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def html_text(page: Column, least: int = 100, most: int = 10000) -> Column:
+    """Text of a page: no scripts, styles or navigation, trimmed lines, cut; null if too short."""
+    out = page
+    for tag in ("script", "style", "nav", "footer", "header"):
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", "")
+    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+    out = F.regexp_replace(out, r"<[^>]*>", "\n")
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    text = F.substring(F.array_join(lines, "\n"), 1, most)
+    return F.when(F.length(text) > least, text)
+
+
+def corpus(parts: list[DataFrame], least_words: int = 10) -> DataFrame:
+    """(text, source, word_count) of parts (text, source): cleaned, of at least so many words."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    cleaned = out.select(clean_corpus(F.col("text")).alias("text"), "source")
+    counted = cleaned.withColumn("word_count", F.size(F.filter(F.split("text", " "), lambda w: w != "")))
+    return counted.where(F.col("word_count") >= least_words)
+
+
+def write_training_jsonl(df: DataFrame, path: str) -> None:
+    """{input, output} lines."""
+    df.select(F.to_json(F.struct("input", "output")).alias("value")).write.text(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """An aggregate as one JSON document."""
+    df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).write.text(path)
+
+
+def write_routed(df: DataFrame, path: str) -> None:
+    """keep, garbage and uncertain rows in one pass, a folder for each."""
+    df.write.partitionBy("classification").option("header", True).option("escape", '"').csv(path)
