@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -22,7 +23,7 @@ from .common import row_steps, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pieces that a dictionary holds before it starts anew.
-DICTIONARY_PIECES = 400_000
+DICTIONARY_PIECES = 1_500_000
 _APOSTROPHE, _BLANK = 0x27, 0x20
 
 
@@ -68,41 +69,58 @@ def split_points(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Dictionary:
-    """Encoded pieces, by their text; encode gives the ids of pieces not seen before."""
+    """Encoded pieces by the 64-bit hash of their text; ``encode`` gives the ids of pieces not seen before."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.n = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 14, np.int64)
+        # Sorted hashes and places: the bulk, and what came since it was last merged.
+        self.bulk = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.recent = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def _append(self, pieces: list[str]) -> None:
         made = self.encode(pieces)
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        n = len(self.known)
-        base = self.ends[n]
-        while len(self.ends) <= n + len(made):
+        base = self.ends[self.n]
+        while len(self.ends) <= self.n + len(made):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[n + 1 : n + 1 + len(made)] = base + np.cumsum(sizes)
-        total = int(self.ends[n + len(made)])
+        self.ends[self.n + 1 : self.n + 1 + len(made)] = base + np.cumsum(sizes)
+        total = int(self.ends[self.n + len(made)])
         while len(self.ids) < total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[base:total] = np.fromiter((x for ids in made for x in ids), np.int32, total - int(base))
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-
-    def lookup(self, pieces: list[str]) -> np.ndarray:
-        if len(self.known) + len(pieces) > DICTIONARY_PIECES and len(self.known) > len(pieces):
+        self.ids[base:total] = np.fromiter(chain.from_iterable(made), np.int32, total - int(base))
+        self.n += len(made)
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+    def lookup(self, hashes: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Places of pieces. hashes: sorted and distinct; text_of gives the texts of some of them, by index."""
+        if self.n + len(hashes) > DICTIONARY_PIECES and self.n:
             self.clear()
-        get = self.known.get
-        found = [get(x, -1) for x in pieces]
-        new = [x for x, i in zip(pieces, found, strict=True) if i < 0]
-        if new:
-            self._append(new)
-            found = [get(x) for x in pieces]
-        return np.array(found, np.int64)
+        place = np.full(len(hashes), -1, np.int64)
+        for keys, places in (self.bulk, self.recent):
+            if len(keys):
+                at = np.searchsorted(keys, hashes)
+                at[at == len(keys)] = 0
+                hit = keys[at] == hashes
+                place[hit] = places[at[hit]]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(self.n, self.n + len(new))
+            self._append(text_of(new))
+            self.recent = self._merged(self.recent, (hashes[new], place[new]))
+            if len(self.recent[0]) > 1 << 16:
+                self.bulk, self.recent = self._merged(self.bulk, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return place
 
 
 def encode_rows(data: np.ndarray, offsets: np.ndarray, words: Dictionary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -117,9 +135,12 @@ def encode_rows(data: np.ndarray, offsets: np.ndarray, words: Dictionary) -> Ite
             yield i, j, np.zeros(0, np.int32), np.zeros(j - i + 1, np.int64)
             continue
         stops = np.append(starts[1:], len(points))
-        _, first, inverse = np.unique(span_hashes(points, starts, stops), return_index=True, return_inverse=True)
-        pieces = [text[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        which = words.lookup(pieces)[inverse.reshape(-1)]
+        distinct, first, inverse = np.unique(span_hashes(points, starts, stops), return_index=True, return_inverse=True)
+
+        def text_of(some: np.ndarray, text: str = text, a: np.ndarray = starts[first], b: np.ndarray = stops[first]) -> list[str]:
+            return [text[x:y] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+
+        which = words.lookup(distinct, text_of)[inverse.reshape(-1)]
         begin = words.ends[which]
         sizes = words.ends[which + 1] - begin
         before = np.concatenate([[0], np.cumsum(sizes)])
