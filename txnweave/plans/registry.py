@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dataset_queries, extraction_queries, io_queries
+from . import dataset_queries, extraction_queries, io_queries, more_queries
 
-ALL = extraction_queries.QUERIES | dataset_queries.QUERIES | io_queries.QUERIES
+ALL = extraction_queries.QUERIES | dataset_queries.QUERIES | io_queries.QUERIES | more_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
