@@ -243,8 +243,7 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str, pattern: str = "*.txt.gz") -> DataFrame:
-    """Whole archive files; each holds a bounded number of records."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    """Whole archive files; each holds a bounded number of records, and Spark bounds the bytes of a batch."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
 
 
