@@ -77,6 +77,8 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     order = F.struct(F.col("id"), F.col("key"), F.col("no"))
     per_doc = found.groupBy("template", "id", "key").agg(F.min("no").alias("no"))
     totals = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
+    # A table of its own: the join then has the lines of a hot template split over tasks.
+    totals = materialize(spark, totals, "line-totals")
     return found.join(totals, "template").withColumn("first", order == F.col("first"))
 
 
