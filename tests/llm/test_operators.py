@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -128,6 +129,22 @@ def test_chains_and_clouds(spark):
     same(minhash.near_duplicates(spark, df, shingle=4).collect(), plain_components(rows))
 
 
+def test_pairs_of_large_buckets(spark):
+    """A bucket of 70 copies that no centre joins: the ten pairs edited in the same places are compared, and few others."""
+    rng = random.Random(5)
+    places = [rng.sample(range(4, 296, 4), 6) for _ in range(50)] + [rng.sample(range(4, 296, 4), 7) for _ in range(10)] * 2
+    rows = [(i, " ".join(f"e{i}_{j}" if j in at else f"w{j}" for j in range(300))) for i, at in enumerate(places)]
+    want = plain_components(rows)
+    links = {(r[0], r[2]) for r in want if not r[3]}
+    assert len(links) >= 10
+    mixed = spark.createDataFrame([(1, r[0], r[1], len(rows), r[0]) for r in want], "bucket long, cid long, n long, m long, comp long")
+    texts = spark.createDataFrame(rows, "cid long, text string")
+    pairs = {tuple(r) for r in minhash._prefix_pairs(spark, texts, mixed, 4, 80).collect()}
+    assert links <= pairs and all(a > b for a, b in pairs)
+    edges = {(r.a, r.b) for r in minhash.confirm_edges(spark, texts, spark.createDataFrame(list(pairs), "a long, b long"), 4, 80).where("ok").collect()}
+    assert links == edges
+
+
 # --- language model ---------------------------------------------------------------
 
 

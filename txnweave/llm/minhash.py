@@ -14,8 +14,12 @@ buckets, star-shaped candidate edges, exact confirmation on full sets.
   that would join different components. A link may remain whose ends both
   failed against their centre. So buckets whose members still lie in
   several components get further stars (the next centre in order), and those of at most
-  ``SMALL`` members all their open pairs (fewer than ``SMALL`` a member); it ends with a
-  round that confirms nothing. Every round is linear in the members.
+  ``SMALL`` members all their open pairs (fewer than ``SMALL`` a member), until a
+  round confirms nothing. Every round is linear in the members.
+* What is still open in larger buckets is settled by a prefix filter: shingles in one
+  order for all, those of one component alone first, then rare ones. The first common
+  shingle of two similar sets stands so early in both that enough is left behind it. All
+  pairs of different components with such a shingle are compared, so no link is left out.
 * Components come from least-label propagation with pointer jumping over the
   confirmed edges, each step a join and a partial aggregation, cut by a written table;
   later rounds only join components.
@@ -41,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, LOWER, documents, hashed_words, materialize, mix, row_steps, small_batches, string_parts
@@ -245,6 +249,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         edges, turn = None, turn + 1
         if not found and turn >= 2:
             break
+    pairs = _prefix_pairs(spark, texts, _mixed(spark, slots, labels), shingle, percent)
+    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    apart = materialize(spark, pairs.join(known, ["a", "b"], "left_anti"), "open")
+    if apart.limit(1).count():
+        labels, _ = _merge(spark, labels, confirm_edges(spark, texts, apart, shingle, percent))
 
     reach = classes.select("cid", "rep").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = reach.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -306,6 +315,43 @@ def _small_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "bucket").where(near).select("a", "b")
 
 
+def _shingles(k: int):
+    """Rows (cid, n, comp, text) -> (cid, n, comp, token), one for each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_parts(batch.column(3))
+            for i, j in row_steps(offsets):
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                row = pa.array(np.repeat(np.arange(i, j), [len(s) for s in sets]))
+                yield pa.record_batch([*[batch.column(c).take(row) for c in range(3)], pa.array(np.concatenate(sets).view(np.int64))], names=["cid", "n", "comp", "token"])
+
+    return run
+
+
+def _prefix_pairs(spark: SparkSession, texts: DataFrame, mixed: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b), a > b: pairs of different components in buckets of more than SMALL members, with each that has the similarity."""
+    members = mixed.where(F.col("m") > SMALL).groupBy("cid").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    tokens = texts.join(members, "cid").select("cid", "n", "comp", "text").mapInArrow(_shingles(k), "cid long, n long, comp long, token long")
+    tokens = materialize(spark, tokens, "shingles")
+    # A shingle of one component alone is in no open pair: it only moves the others back.
+    shared = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "f")
+    own = Window.partitionBy("cid")
+    before = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "token")) - 1
+    rest = tokens.join(shared, "token").select("token", "cid", "n", "comp", (F.col("n") - before).alias("rest"))
+    rest = materialize(spark, rest.where(100 * F.col("rest") >= percent * F.col("n")), "prefixes")
+    parts = rest.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    most = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
+    held = materialize(spark, rest.join(most, "token"), "prefixes")
+    # Of an open pair one at least is outside the largest component.
+    x = held.where("comp != most").select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rest").alias("ra"))
+    y = held.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), "most")
+    once = (F.col("cb") == F.col("most")) | (F.col("a") > F.col("b"))
+    enough = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = x.join(y, "token").where((F.col("ca") != F.col("cb")) & once & enough)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, that with the least id; of repeated rows of it, one."""
     found = near_duplicates(spark, docs, id_col, text_col)
