@@ -145,6 +145,18 @@ def test_pairs_of_large_buckets(spark):
     assert links == edges
 
 
+def test_drop_near_duplicates_by_row(spark):
+    """Rows that share a null or repeated id with a near copy, and are none, stay; of a group of null ids one stays."""
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:50], "x", *base[51:]])
+    other = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(3, " ".join(base)), (None, near), (None, other("a")), (9, near + " y"), (9, other("b")), (None, other("c")), (None, other("c") + " z"), (None, None), (9, "")]
+    left = minhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {tuple(r) for r in left}
+    assert got - set(rows[5:7]) == {rows[i] for i in (0, 2, 4, 7, 8)}
+    assert len(left) == 6 and len(got & set(rows[5:7])) == 1
+
+
 # --- language model ---------------------------------------------------------------
 
 

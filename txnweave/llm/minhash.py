@@ -45,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, LOWER, documents, hashed_words, materialize, mix, row_steps, small_batches, string_parts
@@ -138,11 +138,12 @@ def _features(k: int):
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([set_class(x) if len(x) else None for x in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1))),
                     ],
-                    names=["doc_id", "n", "cid", "bands"],
+                    names=["doc_id", "digest", "n", "cid", "bands"],
                 )
 
     return run
@@ -206,13 +207,23 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
+    return _groups(spark, docs, id_col, text_col, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """As near_duplicates; adds digest, which tells rows of one id apart, and first: the row (or its repeats) with the group's least id and digest."""
     small_batches(spark)
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    feats = given.mapInArrow(_features(shingle), f"doc_id {kind}, n long, cid long, bands array<long>")
+    feats = given.mapInArrow(_features(shingle), f"doc_id {kind}, digest long, n long, cid long, bands array<long>")
     feats = materialize(spark, feats, "minhash")
-    classes = feats.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    # One member for each class; what is needed of the texts comes by the class's least id.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    classes = feats.where("n > 0").groupBy("cid").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # One member for each class; what is needed of the texts comes by the class's least row.
     classes = materialize(spark, classes, "classes")
     slots = classes.select("cid", "n", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -221,8 +232,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     slots = materialize(spark, slots.join(weights, "cid").select("bucket", "cid", "n", "m", F.struct("weight", "cid").alias("place")), "slots")
     nodes = slots.groupBy(F.col("cid").alias("node")).agg(F.first("cid").alias("comp"))
     labels = materialize(spark, nodes, "labels")
-    wanted = classes.join(labels, F.col("cid") == F.col("node"), "left_semi").select("cid", F.col("rep").alias("__rep"))
-    texts = _own_text(spark, given.join(wanted, F.col("doc_id").eqNullSafe(F.col("__rep"))), shingle)
+    wanted = classes.join(labels, F.col("cid") == F.col("node"), "left_semi").select("cid", F.col("rep.doc_id").alias("__rep"), F.col("rep.digest").alias("__digest"))
+    texts = _own_text(spark, given.join(wanted, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("digest") == F.col("__digest"))), shingle)
 
     centres = materialize(spark, slots.groupBy("bucket").agg(F.max("place").alias("centre")), "centres")
     stars = slots.join(centres, "bucket").where("place < centre").groupBy(F.col("cid").alias("a"), F.col("centre.cid").alias("b")).agg(F.count("*").alias("votes"))
@@ -256,15 +267,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         labels, _ = _merge(spark, labels, confirm_edges(spark, texts, apart, shingle, percent))
 
     reach = classes.select("cid", "rep").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
-    least = reach.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = reach.join(least, "comp").select("cid", "component_id")
-    out = feats.select("doc_id", "n", "cid").join(ids, "cid", "left")
+    least = reach.groupBy("comp").agg(F.min("rep").alias("least"))
+    ids = reach.join(least, "comp").select("cid", F.col("least.doc_id").alias("component_id"), F.col("least.digest").alias("least_digest"))
+    out = feats.select("doc_id", "digest", "n", "cid").join(ids, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    first = kept & ((F.col("n") == 0) | (F.col("digest") == F.col("least_digest")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "digest", first.alias("first"))
 
 
 def _own_text(spark: SparkSession, texts: DataFrame, k: int) -> DataFrame:
-    """(cid, text), once for each class: rows that share an id with the class's own text are left out."""
+    """(cid, text), once for each class: rows that share id and digest with the class's own text by chance are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,10 +366,10 @@ def _prefix_pairs(spark: SparkSession, texts: DataFrame, mixed: DataFrame, k: in
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that with the least id; of repeated rows of it, one."""
-    found = near_duplicates(spark, docs, id_col, text_col)
-    gone = materialize(spark, found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    """One document of each group, that with the least id (then digest of the text; null ids last); of repeated rows of it, one."""
+    found = _groups(spark, docs, id_col, text_col, 5, 80)
+    gone = materialize(spark, found.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "near-gone")
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (_digest(text_col) == gone["__digest"]), "left_anti")
     return left.dropDuplicates([id_col, text_col])
 
 
