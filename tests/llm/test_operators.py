@@ -423,5 +423,20 @@ def test_lexed_spans(text, want):
     assert [text[a:b] for kind, a, b in secrets.find_spans(text) if kind == "lexed"] == want
 
 
+LONG = "aB3" + "x9Kq" * 1500
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('api_access = "aB3dE5fG7hJ9"', "aB3dE5fG7hJ9"), ('a-p-i-k-e-y = "aB3dE5fG7hJ9"', "aB3dE5fG7hJ9"), ("client_pwd" + " " * 12 + '= "Zx9kQ2mB7"', "Zx9kQ2mB7"),
+        ("client_pwd =" + "\t" * 12 + '"Zx9kQ2mB7"', "Zx9kQ2mB7"), (f'client_pwd = "{LONG}"', LONG), ("n" * 90 + '_pwd = "Zx9kQ2mB7"', "Zx9kQ2mB7"), ('client_pwd = "Zx9k"' + " " * 12 + '+ "Q2mB7w"', "Zx9k"),
+    ],
+)
+def test_lexed_without_bounds(text, value):
+    at = text.index(value)
+    assert (at, at + len(value)) in secrets.lexed_spans(text)
+
+
 def test_schema_is_shared(docs):
     assert len(docs.columns) == len(SCHEMA.split(","))

@@ -49,11 +49,13 @@ NAME_SCORES = {
     "token": 2.5, "bearer": 2.5, "private": 2.0, "auth": 2.0, "access": 1.5, "signing": 1.5, "api": 1.5, "key": 1.5, "salt": 1.5, "pass": 2.0,
 }
 LIMIT = 5.0
-_HINTS = re.compile("pass|pwd|secret|key|token|bearer|private|auth|credential|salt|signing", re.IGNORECASE)
-_NAME = r"[A-Za-z_$][\w$.\-]{0,79}"
-_TARGET = re.compile(rf"""(?<![\w$.\-])(?:(["'`])({_NAME})\1|({_NAME}))[ \t]{{0,8}}(?::=|=>|=(?![=>])|:(?![:/=]))[ \t]{{0,8}}""")
-_TERM = re.compile(rf"""(["'`])((?:\\.|(?!\1)[^\\\n]){{0,4096}})\1|\$\{{({_NAME})\}}|([^\s"'`,;(){{}}\[\]<>+]{{1,4096}})""")
-_JOIN = re.compile(r"[ \t]{0,8}\+[ \t]{0,8}|[ \t]{1,8}(?=[\"'`])")
+#: Without one of these no name has a score: the parts themselves, or apikey dealt over parts.
+_HINTS = re.compile("|".join([*NAME_SCORES, "[^A-Za-z0-9]*+".join("apikey")]), re.IGNORECASE)
+# Possessive: what follows never starts with what was taken, so nothing is tried twice.
+_NAME = r"[A-Za-z_$][\w$.\-]*+"
+_TARGET = re.compile(rf"""(?<![\w$.\-])(?:(["'`])({_NAME})\1|({_NAME}))[ \t]*+(?::=|=>|=(?![=>])|:(?![:/=]))[ \t]*+""")
+_TERM = re.compile(rf"""(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1|\$\{{({_NAME})\}}|([^\s"'`,;(){{}}\[\]<>+]{{1,4096}})""")
+_JOIN = re.compile(r"[ \t]*+\+[ \t]*+|[ \t]++(?=[\"'`])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|changeme|example|placeholder|todo|none|null|true|false|undefined|your[_\-]?.*|<.*>|\$\{.*\}|%.*%)$", re.IGNORECASE)
 _WHOLE_NAME = re.compile(rf"^{_NAME}$")
