@@ -45,3 +45,18 @@ def test_equals_sql(spark, duck, name):
 def test_json_output(spark):
     row = ALL["j11_output_json"][0](spark, FOLDER).where("msg_id = 7").first()
     assert '"beneficiary"' in row.ground_truth and "null" not in row.ground_truth
+
+
+def test_events_keep_their_partitions(spark, monkeypatch, tmp_path):
+    """No single task writes the events: their files are as many as the table's partitions, and the closing row's."""
+    from txnweave.plans import io_queries
+
+    spark.read.parquet(f"{FOLDER}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(io_queries, "new_folder", lambda spark, tag: f"{tmp_path}/{tag}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = io_queries.stream_counts(spark, str(tmp_path)).agg({"n": "sum"}).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert len(list((tmp_path / "counts" / "in").glob("part-*.parquet"))) > 2

@@ -133,9 +133,10 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     root = new_folder(spark, "counts")
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     last = e.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select("ts", F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-    e.coalesce(1).write.parquet(f"{root}/in")
-    last.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    e.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+    streaming.run_once(spark, streaming.live_counts(stream), f"{root}/out", f"{root}/ck")
+    last.write.mode("append").parquet(f"{root}/in")
     streaming.run_once(spark, streaming.live_counts(stream), f"{root}/out", f"{root}/ck")
     out = spark.read.parquet(f"{root}/out").where("event_type != 'end'")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
