@@ -13,7 +13,8 @@ Rows are encoded where they are read, with no shuffle. The vocabulary (its
 size is fixed by its file) is broadcast.
 
 Defined cases: null and empty texts have no ids and decode to nothing; repeated
-rows are encoded each; an empty table gives an empty result; extra columns are kept.
+rows are encoded each; an empty table gives an empty result; extra columns are kept,
+but for one that has the name of a result column: the result takes its place.
 """
 
 from __future__ import annotations
@@ -56,8 +57,7 @@ class Merges:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        raw = [x.encode() for x in pieces]
+    def encode(self, raw: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in raw]
         hard = []
         for i, x in enumerate(raw):
@@ -171,7 +171,7 @@ def _encode(ranks: Broadcast, carry: int):
 def encode(spark: SparkSession, docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (all, if not given) and the ids of each text."""
     small_batches(spark)
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c != ids_col]
     ranks = read_ranks(spark, path or public_tokenizers.path(RANKS))
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -196,7 +196,7 @@ def _decode(ranks: Broadcast, place: int):
 def decode(spark: SparkSession, encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """The other columns with ``ids_le`` (little-endian unsigned 32-bit ids) and ``decoded`` (bytes)."""
     ranks = read_ranks(spark, path or public_tokenizers.path(RANKS))
-    carry = [c for c in encoded.columns if c != ids_col]
+    carry = [c for c in encoded.columns if c not in (ids_col, "ids_le", "decoded")]
     fields = [T.StructField(f"c{i}", encoded.schema[c].dataType) for i, c in enumerate(carry)]
     schema = T.StructType([*fields, T.StructField("raw", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     given = encoded.select(*carry, ids_col).toDF(*[f"c{i}" for i in range(len(carry))], "ids")

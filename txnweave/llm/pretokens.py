@@ -19,11 +19,13 @@ from itertools import chain
 import numpy as np
 import regex
 
-from .common import row_steps, span_hashes
+from .common import distinct_spans, padded, row_steps, same_spans
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pieces that a dictionary holds before it starts anew.
 DICTIONARY_PIECES = 1_500_000
+#: And their bytes.
+DICTIONARY_BYTES = 64 << 20
 _APOSTROPHE, _BLANK = 0x27, 0x20
 
 
@@ -69,9 +71,9 @@ def split_points(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Dictionary:
-    """Encoded pieces by the 64-bit hash of their text; ``encode`` gives the ids of pieces not seen before."""
+    """Encoded pieces, found by hash and compared byte by byte; ``encode`` gives the ids of pieces not seen before."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode = encode
         self.clear()
 
@@ -79,21 +81,33 @@ class Dictionary:
         self.n = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 14, np.int64)
+        #: The pieces' bytes (eight spare ones behind them) and where they end.
+        self.raw = np.zeros(1 << 16, np.uint8)
+        self.cuts = np.zeros(1 << 14, np.int64)
         # Sorted hashes and places: the bulk, and what came since it was last merged.
         self.bulk = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.recent = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        #: Pieces whose hash another piece has.
+        self.odd: dict[bytes, int] = {}
 
-    def _append(self, pieces: list[str]) -> None:
+    @staticmethod
+    def _put(values: np.ndarray, ends: np.ndarray, n: int, new: np.ndarray, sizes: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Append new values of n.. items of some sizes to growing arrays."""
+        while len(ends) <= n + len(sizes):
+            ends = np.concatenate([ends, np.zeros_like(ends)])
+        base = int(ends[n])
+        ends[n + 1 : n + 1 + len(sizes)] = base + np.cumsum(sizes)
+        while len(values) < base + len(new) + spare:
+            values = np.concatenate([values, np.zeros_like(values)])
+        values[base : base + len(new)] = new
+        return values, ends
+
+    def _append(self, pieces: list[bytes]) -> None:
         made = self.encode(pieces)
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        base = self.ends[self.n]
-        while len(self.ends) <= self.n + len(made):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[self.n + 1 : self.n + 1 + len(made)] = base + np.cumsum(sizes)
-        total = int(self.ends[self.n + len(made)])
-        while len(self.ids) < total:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[base:total] = np.fromiter(chain.from_iterable(made), np.int32, total - int(base))
+        self.ids, self.ends = self._put(self.ids, self.ends, self.n, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())), sizes)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.raw, self.cuts = self._put(self.raw, self.cuts, self.n, np.frombuffer(b"".join(pieces), np.uint8), sizes, 8)
         self.n += len(made)
 
     @staticmethod
@@ -102,9 +116,9 @@ class Dictionary:
         order = np.argsort(keys, kind="stable")
         return keys[order], np.concatenate([a[1], b[1]])[order]
 
-    def lookup(self, hashes: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        """Places of pieces. hashes: sorted and distinct; text_of gives the texts of some of them, by index."""
-        if self.n + len(hashes) > DICTIONARY_PIECES and self.n:
+    def lookup(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of distinct pieces data[start:end] with their hashes."""
+        if self.n and (self.n + len(hashes) > DICTIONARY_PIECES or self.cuts[self.n] > DICTIONARY_BYTES):
             self.clear()
         place = np.full(len(hashes), -1, np.int64)
         for keys, places in (self.bulk, self.recent):
@@ -113,10 +127,21 @@ class Dictionary:
                 at[at == len(keys)] = 0
                 hit = keys[at] == hashes
                 place[hit] = places[at[hit]]
+        piece = lambda i: data[starts[i] : ends[i]].tobytes()
+        hit = np.flatnonzero(place >= 0)
+        sizes = (ends - starts)[hit]
+        same = self.cuts[place[hit] + 1] - self.cuts[place[hit]] == sizes
+        same[same] = same_spans(padded(data), starts[hit[same]], self.raw, self.cuts[place[hit[same]]], sizes[same])
+        clash = hit[~same]
+        for i in clash.tolist():
+            place[i] = self.odd.get(piece(i), -1)
         new = np.flatnonzero(place < 0)
         if len(new):
             place[new] = np.arange(self.n, self.n + len(new))
-            self._append(text_of(new))
+            self._append([piece(i) for i in new.tolist()])
+            for i in np.intersect1d(clash, new).tolist():
+                self.odd[piece(i)] = int(place[i])
+            new = np.setdiff1d(new, clash)
             self.recent = self._merged(self.recent, (hashes[new], place[new]))
             if len(self.recent[0]) > 1 << 16:
                 self.bulk, self.recent = self._merged(self.bulk, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -127,20 +152,16 @@ def encode_rows(data: np.ndarray, offsets: np.ndarray, words: Dictionary) -> Ite
     """(first row, end row, ids, ids before each row) of UTF-8 rows, a step at a time."""
     for i, j in row_steps(offsets):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        text = part.tobytes().decode("utf-8")
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        ends = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[at]
+        points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        lead = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
+        ends = np.searchsorted(lead, at)
         starts = split_points(points, ends[:-1])
         if not len(starts):
             yield i, j, np.zeros(0, np.int32), np.zeros(j - i + 1, np.int64)
             continue
-        stops = np.append(starts[1:], len(points))
-        distinct, first, inverse = np.unique(span_hashes(points, starts, stops), return_index=True, return_inverse=True)
-
-        def text_of(some: np.ndarray, text: str = text, a: np.ndarray = starts[first], b: np.ndarray = stops[first]) -> list[str]:
-            return [text[x:y] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
-
-        which = words.lookup(distinct, text_of)[inverse.reshape(-1)]
+        a, b = lead[starts], lead[np.append(starts[1:], len(points))]
+        hashes, first, inverse = distinct_spans(part, a, b)
+        which = words.lookup(hashes, part, a[first], b[first])[inverse]
         begin = words.ends[which]
         sizes = words.ends[which + 1] - begin
         before = np.concatenate([[0], np.cumsum(sizes)])
