@@ -10,7 +10,12 @@ place in the whole sequence: counts are summed by file, the files' sums (one row
 file) give each file's start, and a running sum within the file gives the rest.
 
 The texts are dealt by ranges of (id, digest of the text), so no single source
-or repeated id is one task's work beyond its own rows.
+or repeated id is one task's work beyond its own rows. The number of files follows the
+bytes and rows of the table, so that a file, its sum and its readers stay small at any size.
+Ids may be of any type that ORC and Arrow hold and that has an order.
+
+Texts with the string of an added token (the end-of-text mark) are split there as the
+library splits them; all others take a vectorised split and a dictionary of pieces.
 
 Defined cases: null and empty texts are the end id alone; repeated ids are in the
 order of (id, digest of the text, text), and each keeps its row; null ids come first; an
@@ -29,6 +34,7 @@ import public_tokenizers
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import documents, new_path, small_batches, string_parts
@@ -36,6 +42,8 @@ from .pretokens import Dictionary, encode_rows
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Text in one file, and its rows, on average; the least text for which a shuffle partition more gets a file.
+FILE_BYTES, FILE_ROWS, SMALL_FILE_BYTES = 128 << 20, 1_000_000, 1 << 20
 
 
 def _byte_characters() -> dict[int, str]:
@@ -46,22 +54,43 @@ def _byte_characters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def _dictionary(raw: bytes) -> Dictionary:
-    model = Tokenizer.from_str(raw.decode()).model
-    table = _byte_characters()
-
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(x.encode().decode("latin-1").translate(table))] for x in pieces]
-
-    return Dictionary(encode)
+def _tokenizer(raw: bytes) -> tuple[Tokenizer, tuple[bytes, ...], Dictionary]:
+    """(the library's tokenizer, the strings that it takes out of texts before all else, a dictionary over its merges)."""
+    whole = Tokenizer.from_str(raw.decode())
+    added = tuple(t.content.encode() for t in whole.get_added_tokens_decoder().values())
+    model, table = whole.model, _byte_characters()
+
+    def encode(pieces: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize(x.decode("latin-1").translate(table))] for x in pieces]
+
+    return whole, added, Dictionary(encode)
+
+
+def library_ids(raw: bytes, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, ids before each row) as the library encodes the rows without adding special tokens.
+
+    A row with the string of an added token goes to the library as a whole.
+    """
+    whole, added, words = _tokenizer(raw)
+    for i, j, ids, ends in encode_rows(data, offsets, words):
+        part = data[offsets[i] : offsets[j]].tobytes()
+        if any(x in part for x in added):
+            made = []
+            for r in range(i, j):
+                text = data[offsets[r] : offsets[r + 1]].tobytes()
+                if any(x in text for x in added):
+                    made.append(np.array(whole.encode(text.decode(), add_special_tokens=False).ids, np.int32))
+                else:
+                    made.append(ids[ends[r - i] : ends[r - i + 1]])
+            ids, ends = np.concatenate(made), np.concatenate([[0], np.cumsum([*map(len, made)])])
+        yield i, j, ids, ends
 
 
 def _encode(vocabulary: Broadcast, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _dictionary(vocabulary.value)
         for batch in batches:
             data, offsets = string_parts(batch.column(1))
-            for i, j, ids, ends in encode_rows(data, offsets, words):
+            for i, j, ids, ends in library_ids(vocabulary.value, data, offsets):
                 ids = np.insert(ids, ends[1:], end_id).astype(np.int32)
                 ends = (ends + np.arange(len(ends))).astype(np.int32)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
@@ -69,18 +98,25 @@ def _encode(vocabulary: Broadcast, end_id: int):
     return run
 
 
+def file_count(spark: SparkSession, docs: DataFrame) -> int:
+    """Files of about FILE_BYTES of text and at most about FILE_ROWS rows; smaller ones while that gives each shuffle partition some."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size["bytes"] // SMALL_FILE_BYTES)
+    return max(1, few, -(-size["bytes"] // FILE_BYTES), -(-size["rows"] // FILE_ROWS))
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
-    """Write (doc_id, ids, file_no) as ORC, ids ascending from file to file and inside each."""
+    """Write (doc_id, ids, file_no, row_no) as ORC, ids ascending from file to file and inside each."""
     small_batches(spark)
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.xxhash64("text")
-    dealt = given.repartitionByRange(F.col("doc_id").asc_nulls_first(), digest).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), digest, "text")
-    kind = given.schema["doc_id"].dataType.simpleString()
-    ids = dealt.mapInArrow(_encode(vocabulary, end_id), f"doc_id {kind}, ids array<int>")
+    dealt = given.repartitionByRange(file_count(spark, given), F.col("doc_id").asc_nulls_first(), digest).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), digest, "text")
+    schema = T.StructType([T.StructField("doc_id", given.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     (
-        ids.withColumn("file_no", F.spark_partition_id())
+        dealt.mapInArrow(_encode(vocabulary, end_id), schema)
+        .withColumn("file_no", F.spark_partition_id())
         .withColumn("row_no", F.monotonically_increasing_id())
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -92,9 +128,14 @@ def write_token_files(spark: SparkSession, docs: DataFrame, out: str, id_col: st
     )
 
 
-def find_documents(spark: SparkSession, out: str, ids: list[int]) -> DataFrame:
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    """The files with the id type that they were written with."""
+    return spark.read.orc(out)
+
+
+def find_documents(spark: SparkSession, out: str, ids: list) -> DataFrame:
     """(doc_id, ids) of some documents; statistics and Bloom filters prune what is read."""
-    return spark.read.schema("doc_id long, ids array<int>").orc(out).where(F.col("doc_id").isin(ids))
+    return _files(spark, out).where(F.col("doc_id").isin(ids)).select("doc_id", "ids")
 
 
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +152,9 @@ def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read from the files."""
     small_batches(spark)
-    rows = spark.read.schema("doc_id long, ids array<int>, file_no int, row_no long").orc(out)
-    rows = rows.mapInArrow(_checks, "doc_id long, n_tokens long, ids_crc32 long, file_no int, row_no long")
+    rows = _files(spark, out).select("doc_id", "ids", "file_no", "row_no")
+    fields = [rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_tokens", "ids_crc32")], rows.schema["file_no"], rows.schema["row_no"]]
+    rows = rows.mapInArrow(_checks, T.StructType(fields))
     path = new_path(spark, "token-rows")
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
