@@ -5,7 +5,9 @@ scores); the model is a unigram model over its pieces, bytes as a last resort.
 A word is the sum over all its segmentations, by a forward recursion in log
 space over its bytes; a text is the product of its words and an end symbol. So
 the score is the log of the marginal probability of the text, not of its best
-segmentation.
+segmentation. Pieces give an open vocabulary a proper distribution, so the score of a token is below
+the base score of the same text, which gives each unseen word the weight 1/(N+V+1)
+however many there are.
 
 Learning: words of the training documents are counted. The file's scores (ranks) give the first
 weights; an expectation step over the lattices of all distinct words, with
@@ -14,7 +16,7 @@ times). The base score (add-one word unigrams) uses the same counts.
 
 How it runs: the word table is a table in the shared folder and stays distributed.
 The ``HEAD`` most frequent words (a fixed number, found by a histogram of counts)
-with counts and scores are broadcast; each task sums up what it finds there for
+with counts and scores are broadcast, and looked up by hash and then byte by byte; each task sums up what it finds there for
 its documents and writes the other words as (row, word, times) rows, which join with the
 word table. Nothing that grows with the corpus goes through the driver.
 
@@ -38,11 +40,11 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, documents, materialize, row_steps, small_batches, span_hashes, string_parts, word_spans
+from .common import BLANKS, LOWER, WordTable, distinct_spans, documents, materialize, row_steps, small_batches, string_parts, word_spans
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Words whose counts and scores are broadcast (24 bytes each).
-HEAD = 1_000_000
+#: Words whose counts and scores are broadcast, and the longest of them in bytes.
+HEAD, HEAD_BYTES = 1_000_000, 64
 EM_ROUNDS = 2
 #: Words longer than this many bytes take the recursion that goes word by word.
 LONG = 192
@@ -195,30 +197,31 @@ def share_model(spark: SparkSession, pieces: list[bytes], weights: np.ndarray) -
 # --- learning ---------------------------------------------------------------
 
 
-def _unique_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(words before each row, word number of each token, hashes, counts, words) of lower-cased rows."""
+def _unique_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words before each row, number of each token's word, start and end of each distinct word) of lower-cased rows."""
     s, e, at = word_spans(data, offsets, BLANKS)
-    if not len(s):
-        none = np.zeros(0, np.int64)
-        return at, none, np.zeros(0, np.uint64), none, []
-    h, first, inverse, counts = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True, return_counts=True)
+    _, first, inverse = distinct_spans(data, s, e)
+    return at, inverse, s[first], e[first]
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
-    words = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
-    return at, inverse.reshape(-1), h, counts, words
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = string_parts(batch.column(0))
         for i, j in row_steps(offsets, 4 << 20):
-            _, _, h, counts, words = _unique_words(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["h", "word", "c"])
+            part = LOWER[data[offsets[i] : offsets[j]]]
+            _, token, s, e = _unique_words(part, offsets[i : j + 1] - offsets[i])
+            yield pa.record_batch([pa.array(_texts(part, s, e), pa.binary()), pa.array(np.bincount(token, minlength=len(s)), pa.int64())], names=["word", "c"])
 
 
 def count_words(spark: SparkSession, training: DataFrame, text_col: str) -> DataFrame:
-    """(h, word, c): the word table."""
-    counted = training.select(text_col).mapInArrow(_count, "h long, word binary, c long")
-    return materialize(spark, counted.groupBy("word").agg(F.first("h").alias("h"), F.sum("c").alias("c")), "words")
+    """(word, c): the word table."""
+    counted = training.select(text_col).mapInArrow(_count, "word binary, c long")
+    return materialize(spark, counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
 def _expect(model: Broadcast):
@@ -253,15 +256,16 @@ def _score_words(model: Broadcast):
         lattice = _local_lattice(model)
         for batch in batches:
             likely, _ = lattice.run(batch.column(0).to_pylist())
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(likely)], names=["h", "c", "likely"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(likely)], names=["word", "c", "likely"])
 
     return run
 
 
 def head_words(spark: SparkSession, words: DataFrame, model: Broadcast, limit: int) -> Broadcast:
-    """(hashes, counts, log likelihoods) of the most frequent words, at most ``limit``, sorted by hash."""
+    """(table, counts, log likelihoods) of the most frequent words, at most ``limit`` of at most HEAD_BYTES bytes each."""
+    short = words.where(F.octet_length("word") <= HEAD_BYTES)
     level = F.floor(F.log2("c") * 4).cast("int")
-    sizes = sorted(((r["level"], r["n"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    sizes = sorted(((r["level"], r["n"]) for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, total = None, 0
     for x, n in sizes:  # some hundred levels at most
         total += n
@@ -269,15 +273,11 @@ def head_words(spark: SparkSession, words: DataFrame, model: Broadcast, limit: i
             break
         least = x
     if least is None:
-        return spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)))
+        return spark.sparkContext.broadcast((WordTable([]), np.zeros(0, np.int64), np.zeros(0)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    rows = words.where(level >= least).select("word", "h", "c").mapInArrow(_score_words(model), "h long, c long, likely double").toArrow()
+    rows = short.where(level >= least).select("word", "c").mapInArrow(_score_words(model), "word binary, c long, likely double").toArrow()
     small_batches(spark)
-    h = rows.column("h").to_numpy().view(np.uint64)
-    # Two words of one hash (none is known) would both be left to the join.
-    _, at, n = np.unique(h, return_index=True, return_counts=True)
-    at = at[n == 1]
-    return spark.sparkContext.broadcast((h[at], rows.column("c").to_numpy()[at], rows.column("likely").to_numpy()[at]))
+    return spark.sparkContext.broadcast((WordTable(rows.column("word").to_pylist()), rows.column("c").to_numpy(), rows.column("likely").to_numpy()))
 
 
 # --- scoring ----------------------------------------------------------------
@@ -286,28 +286,29 @@ def head_words(spark: SparkSession, words: DataFrame, model: Broadcast, limit: i
 def _score(model: Broadcast, head: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _local_lattice(model)
-        keys, counts, likely = head.value
+        table, counts, likely = head.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = string_parts(batch.column(1))
             for i, j in row_steps(offsets):
-                at, token, h, _, words = _unique_words(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
+                part = LOWER[data[offsets[i] : offsets[j]]]
+                at, token, s, e = _unique_words(part, offsets[i : j + 1] - offsets[i])
                 n = j - i
                 rows = np.arange(row, row + n)
                 row += n
-                place = np.searchsorted(keys, h)
-                place[place == len(keys)] = 0
-                known = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                log_c = np.zeros(len(h))
-                value = np.zeros(len(h))
+                place = table.find(part, s, e)
+                known = place >= 0
+                log_c = np.zeros(len(s))
+                value = np.zeros(len(s))
                 log_c[known] = np.log10(counts[place[known]] + 1.0)
                 value[known] = likely[place[known]]
                 rest = np.flatnonzero(~known)
-                value[rest] = lattice.run([words[x] for x in rest])[0]
+                others = dict(zip(rest.tolist(), _texts(part, s[rest], e[rest]), strict=True))
+                value[rest] = lattice.run([*others.values()])[0]
                 sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])  # noqa: E731, B023
                 of = np.repeat(np.arange(n), np.diff(at))
                 loose = ~known[token]
-                _, first, times = np.unique(of[loose] * len(h) + token[loose], return_index=True, return_counts=True) if loose.any() else (None, np.zeros(0, int), np.zeros(0, int))
+                _, first, times = np.unique(of[loose] * len(s) + token[loose], return_index=True, return_counts=True) if loose.any() else (None, np.zeros(0, int), np.zeros(0, int))
                 whose, which = of[loose][first], token[loose][first]
                 nothing = pa.nulls(len(whose), batch.column(0).type)
                 yield pa.record_batch(
@@ -318,7 +319,7 @@ def _score(model: Broadcast, head: Broadcast):
                         pa.array(np.concatenate([sums(known[token].astype(float)), np.zeros(len(whose))]).astype(np.int64)),
                         pa.array(np.concatenate([sums(log_c[token]), np.zeros(len(whose))])),
                         pa.array(np.concatenate([sums(value[token]), np.zeros(len(whose))])),
-                        pa.array([*[None] * n, *[words[x] for x in which]], pa.binary()),
+                        pa.array([*[None] * n, *[others[x] for x in which.tolist()]], pa.binary()),
                         pa.array([*[0] * n, *times.tolist()], pa.int64()),
                     ],
                     names=["row", "doc_id", "n", "known", "log_c", "likely", "word", "times"],
