@@ -369,8 +369,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
     """One document of each group, that with the least id (then digest of the text; null ids last); of repeated rows of it, one."""
     found = _groups(spark, docs, id_col, text_col, 5, 80)
     gone = materialize(spark, found.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "near-gone")
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (_digest(text_col) == gone["__digest"]), "left_anti")
-    return left.dropDuplicates([id_col, text_col])
+    repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("m")).where("m > 1").select("__id", "__digest")
+    repeated = materialize(spark, repeated, "near-repeated")
+    row = lambda keys: docs[id_col].eqNullSafe(keys["__id"]) & (_digest(text_col) == keys["__digest"])
+    left = docs.join(gone, row(gone), "left_anti")
+    once = left.join(repeated, row(repeated), "left_anti")
+    # Only rows that come again are compared by their whole texts.
+    again = left.join(repeated, row(repeated), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
