@@ -14,7 +14,8 @@ log size) steps over numbers of the configuration, not of the data, and is done
 where the query is built.
 
 Defined cases: a null key is the key ``''`` and goes to that key's shard; equal
-keys go to one shard; text and other columns are not read; an empty table gives
+keys go to one shard; other columns are kept, but for those called slot, shard_id or
+shard, whose place the results take (one of them may be the key); an empty table gives
 an empty result; names must be distinct and fewer than the table's slots.
 """
 
@@ -73,8 +74,11 @@ def assign_shards(spark: SparkSession, df: DataFrame, key_col: str, names: tuple
     """The rows with slot, shard_id and shard; broadcasts a table of ``size`` rows."""
     digest = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
     slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(size))
-    table = lookup_table(spark, names, size).withColumnRenamed("slot", "__slot")
-    return df.withColumn("slot", slot).join(F.broadcast(table), F.col("slot") == F.col("__slot")).drop("__slot")
+    table = lookup_table(spark, names, size).toDF("__slot", "__shard_id", "__shard")
+    mine = {"slot": F.col("__slot"), "shard_id": F.col("__shard_id"), "shard": F.col("__shard")}
+    carry = [c for c in df.columns if c not in (*mine, "__place", "__slot", "__shard_id", "__shard")]
+    placed = df.select(slot.alias("__place"), *carry)
+    return placed.join(F.broadcast(table), F.col("__place") == F.col("__slot")).select(*carry, *[c.alias(x) for x, c in mine.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
