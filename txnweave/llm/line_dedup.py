@@ -22,7 +22,8 @@ Defined cases: null text stays null and an empty text stays empty, with 0 lines;
 blank lines stay; a repeated row (same id and text) is one document, and its
 rows get the same outcome; rows with one id and different texts are different
 documents of which the smaller text comes first; a null id sorts first; an empty
-table gives an empty result; extra columns are kept as they are.
+table gives an empty result; extra columns are kept as they are, but for __n_lines and
+__n_dropped, whose place the results take.
 """
 
 from __future__ import annotations
@@ -41,60 +42,69 @@ def _mask(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), WILD).otherwise(token)
 
 
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
-    """(id, key, no, line, leaf): one row for each line that is long enough."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    lines = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    """(id, key, no, n, leaf, exact, line): one row for each line of at least min_tokens tokens."""
+    lines = docs.select(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     tokens = F.split(F.trim(F.regexp_replace("line", _BLANK, " ")), " ")
     lines = lines.withColumn("tokens", tokens).withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
-    head = [_mask(F.element_at("tokens", i + 1)) for i in range(min(depth, min_tokens))]
-    return lines.select("id", "key", "no", F.array_join("tokens", " ").alias("line"), F.xxhash64("n", *head).alias("leaf"))
+    head = [_mask(F.element_at("tokens", i + 1)) for i in range(depth)]
+    lines = lines.select("id", "key", "no", "n", F.array_join("tokens", " ").alias("line"), F.xxhash64("n", *head).alias("leaf"))
+    return lines.select("id", "key", "no", "n", "leaf", F.xxhash64("line").alias("exact"), "line")
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(id, key, no, template, docs, first): every line of a recurring template."""
-    every = _lines(docs, id_col, text_col, min_tokens, depth)
+    """(id, key, no, docs, first): every line of a recurring template."""
+    depth = min(depth, min_tokens)
+    # Tokenised once; all that follows reads this table.
+    every = materialize(spark, _lines(docs, id_col, text_col, min_tokens, depth), "lines")
     # Leaves that enough lines share. What is alone in its leaf needs no template.
-    places = every.select("id", "key", "no", "leaf", F.xxhash64("line").alias("exact"))
-    places = materialize(spark, places, "line-places")
-    shared = places.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
-    counted = places.groupBy("leaf", "exact").agg(F.count("*").alias("c"))
-    busy = counted.join(shared, "leaf", "left_semi")
+    shared = every.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
+    busy = every.groupBy("leaf", "exact").agg(F.count("*").alias("c")).join(shared, "leaf", "left_semi")
     # Aggregated before the join: a line that many documents share is one row a task.
-    texts = every.select("leaf", F.xxhash64("line").alias("exact"), "line").groupBy("leaf", "exact").agg(F.first("line").alias("line"))
+    texts = every.groupBy("leaf", "exact").agg(F.first("line").alias("line"))
     distinct = materialize(spark, texts.join(busy, ["leaf", "exact"]), "line-texts")
-    at = distinct.select("leaf", "exact", "c", F.posexplode(F.transform(F.split("line", " "), _mask)).alias("p", "token"))
+    tokens = F.split("line", " ")
+    # The leading tokens are the leaf's own: constant where they are no wildcard, and never a key of the join below.
+    at = distinct.select("leaf", "exact", "c", F.posexplode(F.transform(F.slice(tokens, depth + 1, F.size(tokens)), _mask)).alias("p", "token")).where(F.col("token") != WILD)
     at = at.withColumn("token", F.xxhash64("token"))
-    common = at.groupBy("leaf", "p", "token").agg(F.sum("c").alias("c")).where((F.col("c") >= min_docs) & (F.col("token") != F.xxhash64(F.lit(WILD)))).drop("c")
+    common = at.groupBy("leaf", "p", "token").agg(F.sum("c").alias("c")).where(F.col("c") >= min_docs).drop("c")
     fixed = at.drop("c").join(common, ["leaf", "p", "token"])
-    # The template of a line: how many positions are constant, and an order-free digest of (position, token).
+    # The template of a line: its leaf, how many positions are constant, and order-free digests of (position, token).
     forms = fixed.groupBy("leaf", "exact").agg(F.count("*").alias("constant"), F.bit_xor(F.xxhash64("p", "token")).alias("x"), F.sum(F.xxhash64("token", "p") % 1000000007).alias("y"))
-    sizes = distinct.select("leaf", "exact", F.size(F.split("line", " ")).alias("n"))
-    forms = forms.join(sizes, ["leaf", "exact"]).where(F.col("constant") >= min_constant * F.col("n"))
-    forms = materialize(spark, forms.select("leaf", "exact", F.xxhash64("leaf", "x", "y", "constant").alias("template")), "line-forms")
-    found = places.join(forms, ["leaf", "exact"]).select("id", "key", "no", "template")
-    found = materialize(spark, found, "line-templates")
+    heads = F.size(F.filter(F.slice(tokens, 1, depth), lambda t: ~t.rlike("[0-9]")))
+    sizes = distinct.select("leaf", "exact", F.size(tokens).alias("n"), heads.alias("heads"))
+    forms = sizes.join(forms, ["leaf", "exact"], "left").where(F.col("heads") + F.coalesce("constant", F.lit(0)) >= min_constant * F.col("n"))
+    none = F.lit(0).cast("long")
+    forms = forms.select("leaf", "exact", F.xxhash64(F.coalesce("x", none), F.coalesce("y", none), F.coalesce("constant", none)).alias("form"))
+    forms = materialize(spark, forms, "line-forms")
+    found = materialize(spark, every.select("id", "key", "no", "leaf", "exact").join(forms, ["leaf", "exact"]).select("id", "key", "no", "leaf", "form"), "line-templates")
     order = F.struct(F.col("id"), F.col("key"), F.col("no"))
-    per_doc = found.groupBy("template", "id", "key").agg(F.min("no").alias("no"))
-    totals = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
+    per_doc = found.groupBy("leaf", "form", "id", "key").agg(F.min("no").alias("no"))
+    totals = per_doc.groupBy("leaf", "form").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
     # A table of its own: the join then has the lines of a hot template split over tasks.
     totals = materialize(spark, totals, "line-totals")
-    return found.join(totals, "template").withColumn("first", order == F.col("first"))
+    return found.join(totals, ["leaf", "form"]).select("id", "key", "no", "docs", (order == F.col("first")).alias("first"))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The rows of ``docs`` with repeated template lines taken out of ``text_col``; adds __n_lines, __n_dropped."""
     lines = recurring_lines(spark, docs, id_col, text_col, **options).where(~F.col("first"))
-    drops = lines.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("no").alias("__no"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(drops, keyed[id_col].eqNullSafe(drops["__id"]) & (keyed["__k"] == drops["__key"]), "left")
-    parts = F.split(text_col, "\n")
+    drops = lines.groupBy("id", "key").agg(F.collect_set("no").alias("no"))
+    carry = [c for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
+    own = {c: f"c{i}" for i, c in enumerate(carry)}
+    given = docs.select(*carry).toDF(*own.values())
+    id_, text = F.col(own[id_col]), F.col(own[text_col])
+    out = given.withColumn("k", _key(text)).join(drops, id_.eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left")
+    out = out.withColumn("lines", F.split(text, "\n"))
     # A row of marks by line number keeps the filter linear in the number of lines.
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__no"))
-    text = F.when(F.col("__no").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n"))
-    out = out.withColumn("__lines", parts).withColumn("__text", text)
-    out = out.withColumns({"__n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "__n_dropped": F.coalesce(F.size("__no"), F.lit(0)).cast("long")})
-    return out.withColumn(text_col, F.col("__text")).select(*docs.columns, "__n_lines", "__n_dropped")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("no"))
+    new = F.when(F.col("no").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(F.col("lines"), i + 1)), "\n"))
+    counts = [F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("lines", "no")]
+    return out.select(*[new if c == text_col else F.col(x) for c, x in own.items()], *counts).toDF(*carry, "__n_lines", "__n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
