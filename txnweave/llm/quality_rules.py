@@ -3,11 +3,16 @@
 Each document gets signals (symbol density, share of upper-case letters, mean
 word length, repeated lines, repeated words, table bars, exclamation marks). A
 rule rejects when its signal passes a cutoff. The cutoffs are not guessed:
-labelled good documents form a holdout in each stratum, and a cutoff is eligible
-only if the exact binomial test rejects "false rejections are ``alpha`` or more
-frequent" at level ``delta`` divided by the number of hypotheses (rules x grid x
-strata, Bonferroni). Of the eligible cutoffs the strictest is used; a rule
-without one rejects nothing in that stratum, so clean documents stay.
+labelled good documents that pass the base rules form a holdout in each stratum, in two halves
+by a digest of the id. On the first half each rule takes the strictest cutoff that rejects at most
+``alpha`` divided by the number of rules. The second half, which chose nothing, certifies
+the rules together: at level 0 all have their cutoffs, at each further level all are one
+step of their grids more lenient (a rule beyond its grid is off). A level is eligible only if the exact binomial test rejects
+"the rules together reject ``alpha`` of the good documents, or more" at level ``delta`` divided by the number
+of hypotheses (strata x levels, Bonferroni). Of the eligible levels the strictest is used; a stratum
+without one has no rules but the base, so clean documents stay. So with probability
+1 - ``delta`` the rules together reject less than ``alpha`` of the good documents of
+every stratum at once.
 
 Defined cases: null text counts as empty (0 words, base failed); a null stratum
 is the stratum ``''``; labels without a document, or with null quality, count
@@ -18,6 +23,9 @@ result; extra columns do not matter.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +36,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-#: Largest allowed share of good documents that one rule rejects, and the error level of the whole selection.
+#: Largest allowed share of a stratum's good documents that all rules together reject, and the error level over all strata.
 ALPHA, DELTA = 0.02, 0.05
 
 #: Rule -> cutoffs from strict to lenient; a document is rejected when its signal is above the cutoff.
@@ -40,6 +48,8 @@ GRID: dict[str, list[float]] = {
     "repeat_word_share": [0.05, 0.1, 0.15],
     "marks_per_word": [0.2, 0.5, 0.8, 1.5],
 }
+#: Steps of leniency that are tested.
+LEVELS = max(map(len, GRID.values()))
 
 
 def _words(text: Column) -> Column:
@@ -144,26 +154,37 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def fit_cutoffs(spark: SparkSession, scored: DataFrame, labels: DataFrame, id_col: str, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest certified cutoff of each rule in each stratum."""
+    """(__stratum, rule, cutoff): the cutoffs of each stratum's strictest certified level."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).distinct()
     held = scored.join(good, scored[id_col] == good["__id"], "left_semi").where(~base_failed())
-    each = F.array(
-        *[
-            F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), (signals()[rule] > float(cut)).alias("out"))
-            for rule, cuts in GRID.items()
-            for cut in cuts
-        ]
-    )
-    counts = (
-        held.select(F.coalesce(F.col(stratum), F.lit("")).alias("__stratum"), F.explode(each).alias("x"))
-        .groupBy("__stratum", "x.rule", "x.cutoff")
-        .agg(F.count("*").alias("n"), F.count_if("x.out").alias("k"))
-    )
-    counts = materialize(spark, counts, "rule-counts")  # strata x rules x cutoffs rows
-    hypotheses = max(1, counts.count())
+    half = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 2), 16, 10).cast("int") % 2
+    held = held.select(F.coalesce(F.col(stratum), F.lit("")).alias("__stratum"), half.alias("half"), *[x.alias(rule) for rule, x in signals().items()])
+    held = materialize(spark, held, "holdout")
+    each = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("at"), (F.col(rule) > float(cut)).alias("out")) for rule, cuts in GRID.items() for i, cut in enumerate(cuts)]
+    counts = held.where("half = 0").select("__stratum", F.explode(F.array(*each)).alias("x")).groupBy("__stratum", "x.rule", "x.at").agg(F.count("*").alias("n"), F.count_if("x.out").alias("k"))
+    chosen = counts.where(F.col("k") <= F.col("n") * F.lit(alpha / len(GRID))).groupBy("__stratum", "rule").agg(F.min("at").alias("at"))
+    chosen = materialize(spark, chosen, "rule-choice")  # strata x rules rows
+    # One entry for each rule.
+    picks = chosen.groupBy("__stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "at"))).alias("at"))
+
+    def out(level: int) -> Column:
+        cut = lambda rule: _cutoff(rule, F.try_element_at("at", F.lit(rule)) + level)
+        return reduce(or_, [F.coalesce(F.col(rule) > cut(rule), F.lit(False)) for rule in GRID])
+
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), out(i).alias("out")) for i in range(LEVELS)]))
+    tested = held.where("half = 1").join(picks, "__stratum").select("__stratum", levels.alias("x")).groupBy("__stratum", "x.level").agg(F.count("*").alias("n"), F.count_if("x.out").alias("k"))
+    tested = materialize(spark, tested, "rule-levels")  # strata x levels rows
+    hypotheses = max(1, tested.count())
     tail = F.when(F.col("k") < F.col("n") * alpha, binomial_tail(F.col("k"), F.col("n"), alpha))
-    passed = counts.where(tail <= F.lit(delta / hypotheses))
-    return passed.groupBy("__stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    passed = tested.where(tail <= F.lit(delta / hypotheses)).groupBy("__stratum").agg(F.min("level").alias("level"))
+    at = F.col("at") + F.col("level")
+    cutoff = reduce(lambda x, rule: x.when(F.col("rule") == rule, _cutoff(rule, at)), GRID, F)
+    return chosen.join(passed, "__stratum").select("__stratum", "rule", cutoff.alias("cutoff")).where("cutoff IS NOT NULL")
+
+
+def _cutoff(rule: str, at: Column) -> Column:
+    """The rule's cutoff at a place of its grid, null beyond it."""
+    return F.try_element_at(F.array(*[F.lit(float(x)) for x in GRID[rule]]), (at + 1).cast("int"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
@@ -204,7 +225,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    grid = ",\n".join(f"('{rule}', {float(cut)!r}::DOUBLE)" for rule, cuts in GRID.items() for cut in cuts)
+    grid = ",\n".join(f"('{rule}', {i}, {float(cut)!r}::DOUBLE)" for rule, cuts in GRID.items() for i, cut in enumerate(cuts))
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents
@@ -233,23 +254,34 @@ WITH d AS (
          word_chars / greatest(n_words, 1) AS mean_word_chars, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
          n_repeat_words / greatest(n_words, 1) AS repeat_word_share, n_marks / greatest(n_words, 1) AS marks_per_word
   FROM m
-), grid(rule, cutoff) AS (VALUES
+), grid(rule, step, cutoff) AS (VALUES
 {grid}
 ), v AS (
   UNPIVOT (SELECT rid, doc_id, stratum, base_failed, {', '.join(GRID)} FROM s)
   ON {', '.join(GRID)} INTO NAME rule VALUE x
-), counts AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count_if(x > cutoff)::BIGINT AS k
-  FROM v JOIN grid USING (rule)
+), held AS (
+  SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 2))::INTEGER % 2 AS half FROM v
   WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
-  GROUP BY ALL
+), counts AS (
+  SELECT stratum, rule, step, count(*) AS n, count_if(x > cutoff)::BIGINT AS k FROM held JOIN grid USING (rule) WHERE half = 0 GROUP BY ALL
+), chosen AS (
+  SELECT stratum, rule, min(step) AS step FROM counts WHERE k <= n * {ALPHA / len(GRID)!r}::DOUBLE GROUP BY ALL
+), hit AS (
+  SELECT h.rid, h.stratum, level, bool_or(coalesce(x > cutoff, false)) AS gone
+  FROM held h JOIN chosen c ON h.stratum = c.stratum AND h.rule = c.rule CROSS JOIN range({LEVELS}) AS r(level)
+  LEFT JOIN grid g ON g.rule = c.rule AND g.step = c.step + level
+  WHERE half = 1 GROUP BY ALL
+), tested AS (
+  SELECT stratum, level, count(*) AS n, count_if(gone)::BIGINT AS k FROM hit GROUP BY ALL
 ), tail AS (
-  SELECT stratum, rule, cutoff, n, k,
+  SELECT stratum, level,
          (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))
           FROM (SELECT unnest(range(0, k + 1)) AS i)) AS p
-  FROM counts WHERE k < n * {ALPHA}
+  FROM tested WHERE k < n * {ALPHA}
+), passed AS (
+  SELECT stratum, min(level) AS level FROM tail WHERE p <= {DELTA} / (SELECT count(*) FROM tested) GROUP BY ALL
 ), cuts AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p <= {DELTA} / (SELECT count(*) FROM counts) GROUP BY ALL
+  SELECT c.stratum, c.rule, cutoff FROM chosen c JOIN passed p ON c.stratum = p.stratum JOIN grid g ON g.rule = c.rule AND g.step = c.step + p.level
 ), out AS (
   SELECT DISTINCT rid FROM v JOIN cuts USING (stratum, rule) WHERE x > cuts.cutoff
 )
