@@ -3,41 +3,47 @@
 ``parse_arc`` reads version 1 and version 2 ARC files (the version block names the
 version and so the fields of each record line), cuts records by their declared lengths and
 splits the HTTP header from the payload. The converter synthesises WARC records: a record id from the
-record's own bytes (so a task that runs again writes the same), the ARC
+record's file, number, url and date (so a task that runs again writes the same), the ARC
 date as WARC-Date, a type (response, or revisit for a payload that an earlier
-record has), SHA-256 digests of block and payload. ``parse_warc`` reads them back by
-Content-Length.
+record has, with the id, url and date of that record), SHA-256 digests of block and payload. Each
+file begins with a warcinfo record. ``parse_warc`` reads them back by
+Content-Length, and the reader checks digests and what revisits refer to.
 
 Archives are written by Spark's text writer (each row is a record, the
 separator between rows is the format's own), so they go to any store that Spark
-writes, and read by its binaryFile source. Records are dealt over files by a
-digest, at most about ``RECORDS_A_FILE`` to a file.
+writes, and read by its binaryFile source. The number of files follows the bytes of the
+pages; a page of any size is one record. A file is one gzip stream: Spark's writer compresses
+files, not records.
 
 Of equal payloads of at least ``MIN_REVISIT`` bytes the record with the least page id
-is the response, the others revisit it. Only (digest, page id) rows are grouped,
+is the response, the others revisit it. Only (digest, ids) rows are grouped,
 with partial minima first; payloads are not.
 
 Defined cases: null html is an empty payload; a null url is ``about:blank``, and
 blanks and control characters in urls are percent-encoded; repeated pages of
 the least id are responses all; rows with a null page id are responses and refer nowhere;
 a header line that doesn't fit its version or a length beyond the file fails
-with the place named; an empty table gives an empty result; extra columns are not read.
+with the place named; page ids may be of any type that a string can be cast to; rows that share an
+id but not the payload are judged each by its own; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, small_batches
+from .common import materialize, new_path
 
-RECORDS_A_FILE = 1500
+#: Payload in one file, on average; the least for which a shuffle partition more gets a file.
+FILE_BYTES, SMALL_FILE_BYTES = 64 << 20, 1 << 20
 MIN_REVISIT = 100
 #: Fields of a record line, by version; fixed by the format.
 ARC_FIELDS = {
@@ -119,29 +125,41 @@ def warc_date(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def record_id(url: str, date: str, key: str, payload_digest: str) -> str:
-    h = hashlib.sha256("\n".join((url, date, key, payload_digest)).encode()).digest()
+def record_id(*parts: str) -> str:
+    h = hashlib.sha256("\n".join(parts).encode()).digest()
     return f"<urn:uuid:{uuid.UUID(bytes=h[:16], version=5)}>"
 
 
-def warc_record(record: dict, refers_to: str | None) -> bytes:
-    """The WARC record of an ARC record, without the two line ends that follow it."""
-    http, head, payload = split_http(record["block"])
-    digest = hashlib.sha256(payload).hexdigest()
-    key = http.get("x-page-id", "")
-    block = record["block"] if refers_to is None else head
+def warc_info(seed: str) -> bytes:
+    """The record that says what made the file."""
+    body = b"software: txnweave\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', seed)}", f"WARC-Date: {warc_date('')}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(lines).encode() + body
+
+
+def warc_record(record: dict, original: dict | None = None) -> bytes:
+    """The WARC record of an ARC record (rid, url, date, block), without the two line ends that follow it.
+
+    original: rid, url and date of the response that has the same payload; the record is then a revisit.
+    """
+    _, head, payload = split_http(record["block"])
+    block = record["block"] if original is None else head
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(record['url'], record['date'], key, digest)}",
+        f"WARC-Type: {'response' if original is None else 'revisit'}",
+        f"WARC-Record-ID: {record['rid']}",
         f"WARC-Date: {warc_date(record['date'])}",
         f"WARC-Target-URI: {record['url']}",
-        f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
-        f"WARC-Payload-Length: {len(payload)}",
     ]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+    if original is not None:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {original['rid']}",
+            f"WARC-Refers-To-Target-URI: {original['url']}",
+            f"WARC-Refers-To-Date: {warc_date(original['date'])}",
+        ]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block
 
@@ -171,129 +189,172 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # --- Spark ------------------------------------------------------------------
 
 
-def _arc_rows(version: int, seed: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _dealt(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, int]:
+    """The pages over files of about FILE_BYTES, by their number in the table: no id or url is a file of its own. And the number of files."""
+    size = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500), F.lit(0)).alias("bytes")).first()["bytes"]
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SMALL_FILE_BYTES)
+    n = max(1, few, -(-size // FILE_BYTES))
+    return pages.withColumn("__row", F.monotonically_increasing_id()).repartition(n, F.xxhash64("__row")).drop("__row"), n
+
+
+def _batches(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """The records in batches of about a megabyte."""
+    held, size = [], 0
+    for x in records:
+        held.append(x)
+        size += len(x)
+        if size > 1 << 20:
+            yield pa.record_batch([pa.array(held, pa.binary())], names=["record"])
+            held, size = [], 0
+    yield pa.record_batch([pa.array(held, pa.binary())], names=["record"])
 
+
+def _arc_rows(version: int, seed: str):
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         name = f"{seed}-{version}-{TaskContext.get().partitionId():05d}.arc"
-        yield pa.record_batch([pa.array([version_block(version, name)], pa.binary())], names=["record"])
+        yield version_block(version, name)
         for batch in batches:
-            out = []
-            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = html if html is not None else b""
+            for page, url, html in zip(*batch.columns, strict=True):
+                payload = html.as_py() if html.is_valid else b""
                 head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                head += f"X-Page-Id: {page}\r\n" if page is not None else ""
+                head += f"X-Page-Id: {quote(page.as_py(), safe='')}\r\n" if page.is_valid else ""
                 block = f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
-                out.append(arc_record(version, url or "about:blank", "20240229120000", block, name))
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
+                yield arc_record(version, url.as_py() or "about:blank", "20240229120000", block, name)
 
-    return run
+    return lambda batches: _batches(records(batches))
 
 
-def write_arc(spark: SparkSession, pages: DataFrame, out: str, version: int, rows: int) -> None:
+def write_arc(spark: SparkSession, pages: DataFrame, out: str, version: int) -> None:
     """ARC files of one version. pages: page_id, url, html (string)."""
-    given = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("binary"))
-    dealt = given.repartition(max(1, -(-rows // RECORDS_A_FILE)), F.xxhash64("page_id", "url"))
-    records = dealt.mapInArrow(_arc_rows(version, "pages"), "record binary")
+    given = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("binary"))
+    records = _dealt(spark, given)[0].mapInArrow(_arc_rows(version, "pages"), "record binary")
     records.select(F.col("record").cast("string")).write.mode("append").option("compression", "gzip").option("lineSep", "\n").text(out)
 
 
-def _unpack(raw: bytes) -> bytes:
-    import gzip
+def read_archives(spark: SparkSession, path: str, pattern: str = "*.txt.gz") -> DataFrame:
+    """(path, content) of archive files; files hold a bounded number of bytes (or one record), and Spark bounds the bytes of a batch."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
 
+def _unpack(raw: bytes) -> bytes:
     return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
-def _arc_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column(0):
-            rows = []
-            for record in parse_arc(_unpack(raw.as_py())):
-                http, _, payload = split_http(record["block"])
-                page = http.get("x-page-id")
-                rows.append((int(page) if page is not None else None, hashlib.sha256(payload).digest(), len(payload)))
-            a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["page_id", "digest", "size"])
+def _page(block: bytes) -> str | None:
+    page = split_http(block)[0].get("x-page-id")
+    return None if page is None else unquote(page)
 
 
-def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column(0):
-            rows: list[tuple] = []
-            for r in parse_arc(_unpack(raw.as_py())):
-                page = split_http(r["block"])[0].get("x-page-id")
-                rows.append((int(page) if page is not None else None, r["url"], r["date"], r["block"]))
-                if len(rows) == 256:
-                    yield _record_batch(rows)
-                    rows = []
-            if rows:
-                yield _record_batch(rows)
+def _records(path: str, raw: bytes) -> Iterator[dict]:
+    """The records of an ARC file with an id (rid) that no other record has: it holds the file's name and the record's number."""
+    source = path.rpartition("/")[2]
+    for number, record in enumerate(parse_arc(_unpack(raw))):
+        yield record | {"rid": record_id(source, str(number), record["url"], record["date"])}
 
 
-def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, c, d = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.binary())], names=["page_id", "url", "date", "block"])
+def _rows(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True)] if rows else [()] * len(names)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, names.values(), strict=True)], names=[*names])
 
 
-def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _arc_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = {"rid": pa.string(), "page": pa.string(), "url": pa.string(), "date": pa.string(), "digest": pa.binary(), "size": pa.int64()}
     for batch in batches:
-        url, date, block, refers = (c.to_pylist() for c in batch.columns)
-        out = [warc_record({"url": u, "date": d, "block": b}, None if r is None else str(r)) for u, d, b, r in zip(url, date, block, refers, strict=True)]
-        yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
+        for path, raw in zip(*batch.columns, strict=True):
+            rows = []
+            for r in _records(path.as_py(), raw.as_py()):
+                payload = split_http(r["block"])[2]
+                rows.append((r["rid"], _page(r["block"]), r["url"], r["date"], hashlib.sha256(payload).digest(), len(payload)))
+            yield _rows(rows, names)
 
 
-def read_archives(spark: SparkSession, path: str, pattern: str = "*.txt.gz") -> DataFrame:
-    """Whole archive files; each holds a bounded number of records, and Spark bounds the bytes of a batch."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
-
-
-def convert_arc(spark: SparkSession, arc: str, warc: str, rows: int) -> None:
-    """Write the WARC equivalents of the ARC files in a folder."""
-    digests = read_archives(spark, arc).mapInArrow(_arc_digests, "page_id long, digest binary, size long")
-    digests = materialize(spark, digests.where(F.col("size") >= MIN_REVISIT), "arc-digests")
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
-    again = digests.join(first, "digest").where("page_id != first").select(F.col("page_id").alias("__page"), F.col("first").alias("refers_to")).distinct()
-    again = materialize(spark, again, "revisits")
-    records = read_archives(spark, arc).mapInArrow(_arc_records, "page_id long, url string, date string, block binary")
-    joined = records.join(again, F.col("page_id") == F.col("__page"), "left")
-    dealt = joined.repartition(max(1, -(-rows // RECORDS_A_FILE)), F.xxhash64("url", "page_id"))
-    small_batches(spark, 256)
-    out = dealt.select("url", "date", "block", "refers_to").mapInArrow(_warc_rows, "record binary")
+def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = {"rid": pa.string(), "url": pa.string(), "date": pa.string(), "block": pa.binary()}
+    for batch in batches:
+        for path, raw in zip(*batch.columns, strict=True):
+            rows, size = [], 0
+            for r in _records(path.as_py(), raw.as_py()):
+                rows.append((r["rid"], r["url"], r["date"], r["block"]))
+                size += len(r["block"])
+                if size > 1 << 20:
+                    yield _rows(rows, names)
+                    rows, size = [], 0
+            yield _rows(rows, names)
+
+
+def _warc_rows(seed: str):
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        yield warc_info(f"{seed} {TaskContext.get().partitionId()}")
+        for batch in batches:
+            for rid, url, date, block, *original in zip(*batch.columns, strict=True):
+                first = dict(zip(("rid", "url", "date"), (x.as_py() for x in original), strict=True)) if original[0].is_valid else None
+                yield warc_record({"rid": rid.as_py(), "url": url.as_py(), "date": date.as_py(), "block": block.as_py()}, first)
+
+    return lambda batches: _batches(records(batches))
+
+
+def convert_arc(spark: SparkSession, arc: str, warc: str, files: int, id_type: str = "long") -> None:
+    """Write the WARC equivalents of the ARC files in a folder, as ``files`` files."""
+    digests = read_archives(spark, arc).mapInArrow(_arc_digests, "rid string, page string, url string, date string, digest binary, size long")
+    digests = digests.where((F.col("size") >= MIN_REVISIT) & F.col("page").isNotNull()).withColumn("page", F.col("page").cast(id_type))
+    digests = materialize(spark, digests, "arc-digests")
+    first = digests.groupBy("digest").agg(F.min(F.struct("page", "rid", "url", "date")).alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
+    again = digests.select("rid", "page", "digest").join(first, "digest").where(F.col("page") != F.col("first.page"))
+    again = materialize(spark, again.select("rid", F.col("first.rid").alias("to_rid"), F.col("first.url").alias("to_url"), F.col("first.date").alias("to_date")), "revisits")
+    records = read_archives(spark, arc).mapInArrow(_arc_records, "rid string, url string, date string, block binary")
+    # Records are dealt once, by their own ids; the join keeps that.
+    dealt = records.repartition(files, "rid").join(again, "rid", "left")
+    out = dealt.select("rid", "url", "date", "block", "to_rid", "to_url", "to_date").mapInArrow(_warc_rows(warc), "record binary")
     out.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc)
 
 
 def _warc_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = {"rid": pa.string(), "page": pa.string(), "size": pa.int64(), "digest": pa.string(), "kind": pa.string(), "to_rid": pa.string()}
     for batch in batches:
-        for raw in batch.column(0):
+        for raw in batch.column(1):
             rows = []
             for fields, block in parse_warc(_unpack(raw.as_py())):
-                http, _, payload = split_http(block)
-                page, refers = http.get("x-page-id"), fields.get("warc-refers-to-page")
+                if fields["warc-type"] not in ("response", "revisit"):
+                    continue
+                payload = split_http(block)[2]
                 digest = fields["warc-payload-digest"].removeprefix("sha256:")
+                if hashlib.sha256(block).hexdigest() != fields["warc-block-digest"].removeprefix("sha256:"):
+                    raise ValueError(f"the block of {fields['warc-record-id']} has another digest")
                 if fields["warc-type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"the payload of {fields['warc-record-id']} has another digest")
-                rows.append((int(page) if page is not None else None, int(fields["warc-payload-length"]), digest, fields["warc-type"], int(refers) if refers else None))
-            cols = [*zip(*rows, strict=True)] if rows else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                rows.append((fields["warc-record-id"], _page(block), len(payload), digest, fields["warc-type"], fields.get("warc-refers-to")))
+            yield _rows(rows, names)
+
 
+def read_warc(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record."""
-    return read_archives(spark, path).mapInArrow(_warc_index, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    Block and payload digests are checked against the bytes; a revisit has the payload of the
+    response that it refers to, which must be there and have the revisit's digest.
+    """
+    index = read_archives(spark, path).mapInArrow(_warc_index, "rid string, page string, size long, digest string, kind string, to_rid string")
+    index = materialize(spark, index.withColumn("page", F.col("page").cast(id_type)), "warc-index")
+    responses = index.where("kind = 'response'")
+    wanted = responses.where(F.col("size") >= MIN_REVISIT).select(F.col("rid").alias("__rid"), F.col("page").alias("__page"), F.col("size").alias("__size"), F.col("digest").alias("__digest"))
+    revisits = index.where("kind = 'revisit'").join(wanted, F.col("to_rid") == F.col("__rid"), "left")
+    same = F.coalesce(F.col("digest") == F.col("__digest"), F.lit(False))
+    checked = F.when(same, F.col("__size")).otherwise(F.raise_error(F.concat(F.lit("no response with the payload of the revisit "), F.col("rid"))).cast("long"))
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    none = F.lit(None).cast(index.schema["page"].dataType)
+    whole = responses.select("page", "size", "digest", "kind", none.alias("to")).toDF(*names)
+    return whole.unionByName(revisits.select("page", checked.alias("size"), "digest", "kind", "__page").toDF(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as ARC files (even pages version 1, odd pages version 2), converted to WARC and read back."""
-    small_batches(spark, 256)
+    """Pages as ARC files (half in version 1, half in version 2, by a digest of the id), converted to WARC and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    rows = pages.count()
-    odd = F.coalesce(F.pmod("page_id", F.lit(2)) == 1, F.lit(False))
-    write_arc(spark, pages.where(~odd), arc, 1, rows // 2)
-    write_arc(spark, pages.where(odd), arc, 2, rows // 2)
-    convert_arc(spark, arc, warc, rows)
-    return read_warc(spark, warc)
+    odd = F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(2)) == 1, F.lit(False))
+    write_arc(spark, pages.where(~odd), arc, 1)
+    write_arc(spark, pages.where(odd), arc, 2)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    convert_arc(spark, arc, warc, _dealt(spark, pages)[1], kind)
+    return read_warc(spark, warc, kind)
 
 
 ORACLE_SQL = f"""
