@@ -1,15 +1,15 @@
 """Secret scans by assignment-aware lexing.
 
 Fixed patterns find key=value secrets, access keys and long hex runs (the base).
-The lexer reads source and configuration syntax around them: an identifier or quoted
-key, an assignment sign (=, :, :=, =>) and a value made of string literals, bare
-words and references, joined by + or by standing next to each other. So every
-literal gets the name that it is assigned to. Constants are propagated: a reference
+The lexer reads source and configuration syntax around them: an identifier, quoted
+key or subscript, an assignment sign (=, :, :=, =>) and a value made of string literals, bare
+words and references, joined by + or by standing next to each other; or an element <name>value</name>. So every
+literal gets the name that it is assigned to. Constants are propagated, through any number of names: a reference
 or ${placeholder} stands for the literals that its name was given in the text
-(earlier definitions first, then later ones). A literal is
-scored by its target names, how sensitive their parts are (``NAME_SCORES``), and by its own
+(the last definition before it, else the first after it). A value is
+scored by its target name, how sensitive its parts are (``NAME_SCORES``), and by its own
 shape: length, entropy, mixed characters; placeholders, prose and repeats of
-the name count against it. From ``LIMIT`` on it is a secret, reported where the
+the name count against it. Nothing is bounded: names, literals, parts and chains may have any length. From ``LIMIT`` on it is a secret, reported where the
 literal stands (kind ``lexed``), unless a base span covers it.
 
 Each text is lexed alone, in time linear in its length: no shuffle.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -53,8 +53,15 @@ LIMIT = 5.0
 _HINTS = re.compile("|".join([*NAME_SCORES, "[^A-Za-z0-9]*+".join("apikey")]), re.IGNORECASE)
 # Possessive: what follows never starts with what was taken, so nothing is tried twice.
 _NAME = r"[A-Za-z_$][\w$.\-]*+"
-_TARGET = re.compile(rf"""(?<![\w$.\-])(?:(["'`])({_NAME})\1|({_NAME}))[ \t]*+(?::=|=>|=(?![=>])|:(?![:/=]))[ \t]*+""")
-_TERM = re.compile(rf"""(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1|\$\{{({_NAME})\}}|([^\s"'`,;(){{}}\[\]<>+]{{1,4096}})""")
+_SIGN = r"[ \t]*+(?::=|=>|=(?![=>])|:(?![:/=]))"
+# A key, quoted or not, perhaps a subscript (conf["key"] = ...), and the sign. In a=b=c and a:b:c only a is a key.
+_KEY = rf"(?:(?<![\w$.\-=:]){_NAME}{_SIGN}|(?<=:){_NAME}[ \t]*+=(?![=>]))"
+_TARGET = re.compile(rf"""(?:(["'`])({_NAME})\1(?:[ \t]*+\])?+{_SIGN}|(?={_KEY})({_NAME}){_SIGN})[ \t]*+""")
+_ELEMENT = re.compile(rf"""<(?:[\w.\-]++:)?+({_NAME})(?:[ \t][^<>]*+)?+>([^<]*+)(?=</)""")
+# A bare literal goes on to a blank or bracket, or to where another key begins: no text is read for two values.
+_STOP = r"""\s"'`,;(){}\[\]<>+"""
+_BARE = rf"(?=[^{_STOP}])[\w$.\-]*+(?:(?:=|:(?!{_NAME}[ \t]*+=(?![=>]))|[^{_STOP}:=\w$.\-](?!{_NAME}{_SIGN}))[\w$.\-]*+)*+"
+_TERM = re.compile(rf"""(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1|\$\{{({_NAME})\}}|({_BARE})""")
 _JOIN = re.compile(r"[ \t]*+\+[ \t]*+|[ \t]++(?=[\"'`])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|changeme|example|placeholder|todo|none|null|true|false|undefined|your[_\-]?.*|<.*>|\$\{.*\}|%.*%)$", re.IGNORECASE)
@@ -67,27 +74,48 @@ def name_score(name: str) -> float:
     return min(4.0, max(score, 3.0 if "apikey" in "".join(parts) else 0.0))
 
 
-def literal_score(value: str, name: str) -> float:
-    n = len(value)
-    if n < 6 or _PLACEHOLDER.match(value) or value.lower() == name.lower():
-        return -10.0
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    score = 1.0 if n >= 8 else 0.0
-    score += 1.0 if entropy >= 3.0 else 0.0
-    score += 1.0 if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) else 0.0
-    score -= 2.0 if any(c.isspace() for c in value) else 0.0
-    score -= 1.0 if value.isalpha() and value.islower() else 0.0
-    return score
+class Shape:
+    """What the score of a value needs to know; shapes of parts add up without their texts."""
 
+    __slots__ = ("counts", "placeholder", "only")
 
-def _terms(text: str, pos: int) -> list[tuple[str, int, int, bool]]:
+    def __init__(self, counts: Counter, placeholder: bool, only: str | None):
+        self.counts, self.placeholder, self.only = counts, placeholder, only
+
+    @classmethod
+    def of(cls, value: str) -> Shape:
+        return cls(Counter(value), bool(_PLACEHOLDER.match(value)), value)
+
+    @classmethod
+    def joined(cls, parts: list[Shape]) -> Shape:
+        if len(parts) == 1:
+            return parts[0]
+        counts: Counter = Counter()
+        for x in parts:
+            counts.update(x.counts)
+        return cls(counts, all(x.placeholder for x in parts), None)
+
+    def score(self, name: str) -> float:
+        counts, n = self.counts, self.counts.total()
+        if n < 6 or self.placeholder or (self.only is not None and self.only.lower() == name.lower()):
+            return -10.0
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        letters = [c.isalpha() for c in counts]
+        score = 1.0 if n >= 8 else 0.0
+        score += 1.0 if entropy >= 3.0 else 0.0
+        score += 1.0 if any(letters) and any(c.isdigit() for c in counts) else 0.0
+        score -= 2.0 if any(c.isspace() for c in counts) else 0.0
+        score -= 1.0 if all(letters) and all(c.islower() for c in counts) else 0.0
+        return score
+
+
+Term = tuple[str, int, int, bool]
+
+
+def _terms(text: str, pos: int) -> list[Term]:
     """(text, start, end, reference?) of the parts of the value at ``pos``."""
-    out: list[tuple[str, int, int, bool]] = []
-    while len(out) < 64:
-        m = _TERM.match(text, pos)
-        if not m:
-            break
+    out: list[Term] = []
+    while m := _TERM.match(text, pos):
         if m[1]:
             out.append((m[2], m.start(2), m.end(2), False))
         elif m[3]:
@@ -102,39 +130,73 @@ def _terms(text: str, pos: int) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]], int]]:
-    """(name, parts of its value, place) of each assignment."""
-    return [(m[2] or m[3], terms, m.start()) for m in _TARGET.finditer(text) if (terms := _terms(text, m.end()))]
+def lex(text: str) -> list[tuple[str, list[Term]]]:
+    """(name, parts of its value) of each assignment and element, in the order of the text."""
+    found = [(m.start(), m[2] or m[3], _terms(text, m.end())) for m in _TARGET.finditer(text)]
+    for m in _ELEMENT.finditer(text):
+        value = m[2].strip()
+        if value:
+            start = m.start(2) + m[2].index(value)
+            found.append((m.start(), m[1], [(value, start, start + len(value), bool(_WHOLE_NAME.match(value)))]))
+    return [(name, terms) for _, name, terms in sorted(found, key=lambda x: x[0]) if terms]
+
+
+def _sources(found: list[tuple[str, list[Term]]]) -> list[list[int | None]]:
+    """For each part of each value the assignment that it refers to: the last before it, else the first after it."""
+    given: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(found):
+        given.setdefault(name.rpartition(".")[2], []).append(i)
+
+    def source(value: str, i: int) -> int | None:
+        places = given.get(value.rpartition(".")[2], [])
+        at = bisect_left(places, i)
+        if at:
+            return places[at - 1]
+        return next((j for j in places[:2] if j != i), None)
+
+    return [[source(value, i) if reference else None for value, _, _, reference in terms] for i, (_, terms) in enumerate(found)]
 
 
 def lexed_spans(text: str) -> set[tuple[int, int]]:
+    """The literals that sensitive names are given, by themselves or through other names.
+
+    Each assignment's shape is made once, those that it refers to first; a reference that
+    leads back to itself stands for its own text. So the work is linear in what was lexed.
+    """
     if not _HINTS.search(text):
         return set()
     found = lex(text)
-    given: dict[str, list[int]] = {}
-    for i, (name, _, _) in enumerate(found):
-        given.setdefault(name.rpartition(".")[2], []).append(i)
-
-    def literals(i: int, depth: int) -> list[tuple[str, int, int]]:
-        out = []
-        for value, a, b, reference in found[i][1]:
-            sources = given.get(value.rpartition(".")[2], []) if reference and depth < 8 else []
-            before = [j for j in sources if j < i]
-            pick = before[-1] if before else next((j for j in sources if j > i), None)
-            out += literals(pick, depth + 1) if pick is not None else [(value, a, b)]
-            if len(out) > 64:
-                break
-        return out
-
-    spans = set()
-    for i, (name, _, _) in enumerate(found):
-        weight = name_score(name)
-        if weight <= 0:
+    sources = _sources(found)
+    shapes: list[Shape | None] = [None] * len(found)
+    weights = [name_score(name) for name, _ in found]
+    for root, weight in enumerate(weights):
+        stack = [root] if weight > 0 and shapes[root] is None else []
+        opened = set()
+        while stack:
+            i = stack[-1]
+            wait = [] if i in opened else [j for j in sources[i] if j is not None and shapes[j] is None and j not in opened]
+            opened.add(i)
+            if wait:
+                stack += wait
+                continue
+            stack.pop()
+            if shapes[i] is None:
+                for k, j in enumerate(sources[i]):
+                    if j is not None and shapes[j] is None:
+                        sources[i][k] = None
+                shapes[i] = Shape.joined([Shape.of(value) if j is None else shapes[j] for (value, *_), j in zip(found[i][1], sources[i], strict=True)])
+    spans, seen = set(), set()
+    for root, (name, _) in enumerate(found):
+        if weights[root] <= 0 or weights[root] + shapes[root].score(name) < LIMIT:
             continue
-        parts = literals(i, 0)
-        whole = "".join(x for x, _, _ in parts)
-        if weight + literal_score(whole, name) >= LIMIT:
-            spans.update((a, b) for x, a, b in parts if b > a)
+        stack = [root]
+        while stack:
+            i = stack.pop()
+            if i in seen:
+                continue
+            seen.add(i)
+            stack += [j for j in sources[i] if j is not None]
+            spans.update((a, b) for (_, a, b, _), j in zip(found[i][1], sources[i], strict=True) if j is None and b > a)
     return spans
 
 
