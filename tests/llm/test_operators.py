@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -76,6 +77,15 @@ def test_line_dedup_alone_and_empty(spark, empty):
     assert {r.text for r in line_dedup.drop_recurring_lines(spark, few).collect()} == {"a b c d\nq", "a b c d"}
 
 
+def test_line_dedup_names(spark):
+    """Columns with the operator's own names."""
+    names = ["__id", "__key", "__no", "id", "key", "no", "k", "lines", "c0", "leaf", "__n_lines", "text"]
+    rows = [(i, *["x"] * 10, "a b c d e\nown" + str(i)) for i in range(3)]
+    out = line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, names), id_col="__id")
+    assert out.columns == [*[n for n in names if n != "__n_lines"], "__n_lines", "__n_dropped"]
+    assert sorted(r.text for r in out.collect()) == ["a b c d e\nown0", "own1", "own2"]
+
+
 # --- near duplicates ------------------------------------------------------------
 
 
@@ -157,6 +167,12 @@ def test_drop_near_duplicates_by_row(spark):
     assert len(left) == 6 and len(got & set(rows[5:7])) == 1
 
 
+def test_drop_keeps_another_text_of_the_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (3, " ".join([*base[:99], "x"])), (3, " ".join(f"b{i}" for i in range(60)))]
+    same(minhash.drop_near_duplicates(spark, spark.createDataFrame([*rows, rows[2]], "doc_id long, text string")).collect(), [rows[0], rows[2]])
+
+
 # --- language model ---------------------------------------------------------------
 
 
@@ -198,6 +214,48 @@ def test_lattice_sums_all_segmentations():
     assert slow == pytest.approx(got) and slow_expected == pytest.approx(expected)
 
 
+def test_document_scores(spark, tmp_path_factory):
+    """The query with its crc32 split against plain sums over all segmentations, learning included."""
+    rng = random.Random(3)
+    known = ["banana", "Ban", "nab", "the", "thee", "x", "a1", "é"]
+    rows = [(i, " ".join(rng.choice(known) for _ in range(rng.randrange(12))) if i % 9 else None) for i in range(40)] + [(None, "banana qq"), (4, "the"), (4, "the")]
+    folder = new_path(spark, "lm")
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").write.parquet(f"{folder}/documents.parquet")
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    names, first = lattice_lm.read_pieces(P.path(lattice_lm.VOCABULARY))
+    number = {x: i for i, x in enumerate(names)}
+    counts = collections.Counter(w for d, t in rows if not held(d) for w in words(t))
+    ends = sum(not held(d) for d, _ in rows)
+    n = sum(counts.values()) + ends
+    p = np.exp(first) * (1 - (ends + 0.01) / (n + 0.02))
+
+    def ways(word):
+        """All segmentations as lists of piece numbers."""
+        if not word:
+            return [[]]
+        out = [[len(names) + word[0], *rest] for rest in ways(word[1:])]
+        for k in range(1, len(word) + 1):
+            if word[:k] in number:
+                out += [[number[word[:k]], *rest] for rest in ways(word[k:])]
+        return out
+
+    every = {w: ways(b" " + w.encode()) for w in {w for _, t in rows for w in words(t)}}
+    for _ in range(lattice_lm.EM_ROUNDS):
+        expected = np.full(len(p), 0.01)
+        for w, c in counts.items():
+            likely = [math.prod(p[i] for i in way) for way in every[w]]
+            for way, x in zip(every[w], likely, strict=True):
+                for i in way:
+                    expected[i] += c * x / sum(likely)
+        total = expected.sum() + ends + 0.01
+        p, end = expected / total, (ends + 0.01) / total
+    score = lambda t: math.log10(end) + sum(math.log10(sum(math.prod(p[i] for i in way) for way in every[w])) for w in words(t))
+    want = sorted(((d is None, d or 0), held(d), len(words(t)) + 1, n, score(t)) for d, t in rows)
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.held_out, r.n_tokens, r.train_tokens, r.score) for r in lattice_lm.query(spark, folder).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4])
+
+
 def test_learning_helps_held_out_text(spark):
     source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     held = lattice_lm.crc_bucket("doc_id") == 2
@@ -238,6 +296,15 @@ def test_shards(spark, docs, empty):
         sharding.fill_table(names, 100)
 
 
+def test_shards_of_clashing_columns(spark):
+    names = sharding.shard_names(7)
+    df = spark.createDataFrame([(i, f"k{i}", "x", "y") for i in range(20)], "slot long, shard string, __slot string, __place string")
+    by = {r[0]: (r.slot, r.shard) for r in sharding.assign_shards(spark, df.select(F.col("shard").alias("k")), "k", names, 101).collect()}
+    out = sharding.assign_shards(spark, df.withColumn("k", F.col("shard")), "shard", names, 101)
+    assert out.columns == ["k", "slot", "shard_id", "shard"]
+    assert {r.k: (r.slot, r.shard) for r in out.collect()} == by
+
+
 # --- decontamination ------------------------------------------------------------------
 
 
@@ -261,9 +328,10 @@ def plain_hits(rows, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [20_000, 2])
-def test_decontamination(spark, docs, items, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", block)
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination(spark, docs, items, limit, monkeypatch):
+    """By broadcast tables, and by the join for larger benchmarks."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = decontaminate.contamination(spark, docs, items, ["doc_id"]).collect()
     same(got, plain_hits(rows, [(r.item_id, r.text) for r in items.collect()]))
@@ -288,6 +356,14 @@ def test_encode_and_decode(spark, docs, empty):
     assert bpe.decode(spark, bpe.encode(spark, empty, carry=["doc_id"])).count() == 0
 
 
+def test_encode_keeps_no_second_column(spark, docs):
+    """docs has a column ids: the result takes its place."""
+    out = bpe.encode(spark, docs)
+    assert out.columns == [*[c for c in docs.columns if c != "ids"], "ids"] and out.select("ids").schema["ids"].dataType.typeName() == "array"
+    again = bpe.decode(spark, out.withColumn("ids_le", F.lit("x")).withColumn("decoded", F.lit("y")))
+    assert again.columns == [*out.columns[:-1], "ids_le", "decoded"]
+
+
 def test_token_files(spark, docs, empty):
     out = new_path(spark, "tokens")
     token_files.write_token_files(spark, docs, out)
@@ -310,6 +386,29 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_tokens(spark, none).count() == 0
 
 
+def test_token_files_of_other_ids(spark, monkeypatch):
+    """String ids, the string of an added token inside texts, and more files for more text."""
+    mark = "<|endoftext|>"
+    rows = [("b", f"one {mark} two"), ("a", mark), ("c", f" {mark}{mark} x"), ("é", "<|endoftext"), (None, None), ("d" * 50, f"it's{mark}" * 300), *[(f"r{i}", "word " * 500) for i in range(60)]]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want, place = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((d, place, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        place += len(ids)
+    assert 50256 in library.encode(rows[0][1], add_special_tokens=False).ids
+    sizes = []
+    for limit in (1 << 30, 20_000):
+        monkeypatch.setattr(token_files, "FILE_BYTES", limit)
+        out = new_path(spark, "tokens")
+        token_files.write_token_files(spark, df, out)
+        assert sorted(map(tuple, token_files.read_tokens(spark, out).collect()), key=lambda r: r[1]) == want
+        assert [r.doc_id for r in token_files.find_documents(spark, out, ["é"]).collect()] == ["é"]
+        sizes.append(spark.read.orc(out).select("file_no").distinct().count())
+    assert sizes[0] == 1 and sizes[1] > 4
+
+
 # --- quality rules ----------------------------------------------------------------------
 
 
@@ -352,6 +451,51 @@ def test_certified_cutoff(spark):
     assert kept == {i for i, _, _ in good}
 
 
+def plain_cutoffs(rows, good, alpha, delta):
+    """rows: (id, stratum, {rule: signal}) that pass the base rules."""
+    held = collections.defaultdict(lambda: ([], []))
+    for i, stratum, x in rows:
+        if i in good:
+            held[stratum][hashlib.md5(str(i).encode()).digest()[0] % 2].append(x)
+    grid, choice, tested = quality_rules.GRID, {}, {}
+    for stratum, (a, b) in held.items():
+        for rule, cuts in grid.items():
+            fit = [k for k, cut in enumerate(cuts) if sum(x[rule] > cut for x in a) <= len(a) * alpha / len(grid)] if a else []
+            if fit:
+                choice[stratum, rule] = fit[0]
+        mine = {rule: k for (s, rule), k in choice.items() if s == stratum}
+        if b and mine:
+            for level in range(quality_rules.LEVELS):
+                cuts = {rule: grid[rule][k + level] for rule, k in mine.items() if k + level < len(grid[rule])}
+                tested[stratum, level] = (len(b), sum(any(x[rule] > cut for rule, cut in cuts.items()) for x in b), cuts)
+    best = {}
+    for (stratum, level), (n, k, cuts) in sorted(tested.items()):
+        p = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1))
+        if p <= delta / len(tested):
+            best.setdefault(stratum, cuts)
+    return {(stratum, rule, cut) for stratum, cuts in best.items() for rule, cut in cuts.items()}
+
+
+def test_cutoffs_by_stratum(spark):
+    """Enough clean labels, labels that need leniency, and too few; a null stratum; against a plain version."""
+    rng = random.Random(11)
+    rows = []
+    for stratum, n, noise in (("a", 700, 0.0), ("b", 900, 0.012), ("c", 60, 0.0), (None, 800, 0.004)):
+        for _ in range(n):
+            extra = "### " * 12 if rng.random() < noise else "!! " * 9 if rng.random() < noise else ""
+            rows.append((len(rows), " ".join(f"word{rng.randrange(10**6)}" for _ in range(20)) + " " + extra + ("UPPER" if rng.random() < 0.1 else ""), stratum))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = {i for i, _, _ in rows if i % 19}
+    marks = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in range(0, len(rows), 19)], "doc_id long, quality int")
+    scored = quality_rules._scored(df, ["doc_id", "lang"], "text").cache()
+    held = scored.where(~quality_rules.base_failed()).select("doc_id", F.coalesce("lang", F.lit("")).alias("s"), *[x.alias(r) for r, x in quality_rules.signals().items()]).collect()
+    for alpha, delta in ((0.02, 0.05), (0.05, 0.2)):
+        got = {tuple(r) for r in quality_rules.fit_cutoffs(spark, scored, marks, "doc_id", "lang", alpha, delta).collect()}
+        want = plain_cutoffs([(r.doc_id, r.s, r.asDict()) for r in held], good, alpha, delta)
+        assert got == want
+        assert {s for s, _, _ in want} >= {"a"} and "c" not in {s for s, _, _ in want}
+
+
 # --- archives -------------------------------------------------------------------------
 
 
@@ -376,6 +520,33 @@ def test_archives(spark, tmp_path_factory):
     assert archives.query(spark, none).count() == 0
 
 
+def test_archives_of_other_pages(spark):
+    """String ids, one id with two payloads, a page of 50 MB; the files hold what WARC asks for."""
+    big, huge = "<p>text</p>" * 30, "0123456789abcde\n" * (50 << 16)
+    pages = [("p:1", "http://a", big), ("p 2", "http://b", big), ("p 2", "http://b", big + "!"), ("p é", "http://c", huge), ("q", "http://d", huge), ("z", "http://a", "x" * 200)]
+    folder = new_path(spark, "pages")
+    spark.createDataFrame(pages, "page_id string, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(i, len(h), sha(h), "response", None) for i, _, h in pages]
+    want[0] = ("p:1", len(big), sha(big), "revisit", "p 2")
+    want[4] = ("q", len(huge), sha(huge), "revisit", "p é")
+    same(archives.query(spark, folder).collect(), want)
+    arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
+    small = spark.read.parquet(f"{folder}/pages.parquet").where("length(html) < 1000")
+    archives.write_arc(spark, small, arc, 2)
+    archives.convert_arc(spark, arc, warc, 2, "string")
+    heads = []
+    for raw in archives.read_archives(spark, warc).collect():
+        heads += [f for f, _ in archives.parse_warc(archives._unpack(bytes(raw.content)))]
+    kinds = collections.Counter(f["warc-type"] for f in heads)
+    assert kinds["warcinfo"] == len(heads) - 4 and kinds["revisit"] == 1
+    assert len({f["warc-record-id"] for f in heads}) == len(heads)
+    revisit = next(f for f in heads if f["warc-type"] == "revisit")
+    first = next(f for f in heads if f["warc-record-id"] == revisit["warc-refers-to"])
+    assert (revisit["warc-refers-to-target-uri"], revisit["warc-refers-to-date"]) == (first["warc-target-uri"], first["warc-date"])
+    assert revisit["warc-payload-digest"] == first["warc-payload-digest"]
+
+
 def test_arc_versions():
     for version in (1, 2):
         raw = b"\n".join([archives.version_block(version, "f.arc"), archives.arc_record(version, "http://a b", "20200101000000", b"HTTP/1.1 200 OK\r\n\r\nbody\n\n", "f.arc"), archives.arc_record(version, "http://c", "x", b"", "f.arc"), b""])
@@ -415,6 +586,15 @@ LEXED = [
     ("title = 'q9Zt7Lp2Xw4K'", []),
     ("db_pwd = '${OTHER}'", []),
     ("a = b\nb = a\ndb_pwd = a", []),
+    ("conf['db_pwd'] = 'q9Zt7Lp2Xw4K'", ["q9Zt7Lp2Xw4K"]),
+    ('<db:passphrase kind="x"> q9Zt7Lp2Xw4K </db:passphrase>', ["q9Zt7Lp2Xw4K"]),
+    ("url=http://h/p?x=1&db_pwd=q9Zt7Lp2Xw4K&y=2", ["q9Zt7Lp2Xw4K"]),
+    ("auth_key: aa1:bb2:cc3:dd4x", ["aa1:bb2:cc3:dd4x"]),
+    ("env:DB_PWD=q9Zt7Lp2Xw4K==", ["q9Zt7Lp2Xw4K=="]),
+    ("x0 = 'q9Zt7Lp2Xw4K'\n" + "\n".join(f"x{i} = x{i - 1}" for i in range(1, 3000)) + "\ndb_pwd = x2999", ["q9Zt7Lp2Xw4K"]),
+    ("x0 = 'q9Zt7Lp2'\n" + "\n".join(f"x{i} = x{i - 1} + x{i - 1}" for i in range(1, 300)) + "\ndb_pwd = x299", ["q9Zt7Lp2"]),
+    ("db_pwd = " + " + ".join(f"'q9Zt{i:03}'" for i in range(100)), [f"q9Zt{i:03}" for i in range(100)]),
+    ("client_pwd = " + "aB3x9" * 2000, ["aB3x9" * 2000]),
 ]
 
 
@@ -423,6 +603,13 @@ def test_lexed_spans(text, want):
     assert [text[a:b] for kind, a, b in secrets.find_spans(text) if kind == "lexed"] == want
 
 
+@pytest.mark.parametrize("part", ["a=", "db_pwd=", "db_pwd:", "x/db_pwd=", "a:db_pwd=", "db_pwd='a' + ", "'db_pwd", "<db_pwd>", "&db_pwd=ab1", "db_pwd\t", "k = 'a' 'b' "])
+def test_lexing_is_linear(part):
+    began = time.process_time()
+    secrets.lexed_spans(part * (400_000 // len(part)))
+    assert time.process_time() - began < 20  # hours, were it quadratic
+
+
 LONG = "aB3" + "x9Kq" * 1500
 
 
