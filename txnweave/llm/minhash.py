@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ BINS = BANDS * ROWS
 ATTEMPTS = 256
 #: Buckets of so many members have all their open pairs compared.
 SMALL = 48
+#: Shingles of a table that is broadcast (16 bytes each).
+TABLE = 1_000_000
 #: Members that are compared with one copy of their centre.
 BLOCK = 64
 
@@ -342,17 +345,61 @@ def _shingles(k: int):
     return run
 
 
-def _prefix_pairs(spark: SparkSession, texts: DataFrame, mixed: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b), a > b: pairs of different components in buckets of more than SMALL members, with each that has the similarity."""
-    members = mixed.where(F.col("m") > SMALL).groupBy("cid").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
-    tokens = texts.join(members, "cid").select("cid", "n", "comp", "text").mapInArrow(_shingles(k), "cid long, n long, comp long, token long")
-    tokens = materialize(spark, tokens, "shingles")
-    # A shingle of one component alone is in no open pair: it only moves the others back.
+def _ranked(table: Broadcast, k: int, percent: int):
+    """Rows (cid, n, comp, text) -> (token, cid, n, comp, rest): the prefix of each set, by a table of shared shingles and how many have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = table.value
+        for batch in batches:
+            data, offsets = string_parts(batch.column(3))
+            for i, j in row_steps(offsets):
+                tokens, rests, rows = [], [], []
+                for r, s in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k), strict=True):
+                    own = s.view(np.int64)
+                    at = np.searchsorted(keys, own)
+                    at[at == len(keys)] = 0
+                    hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                    own, f = own[hit], counts[at[hit]]
+                    own = own[np.lexsort((own, f))]
+                    rest = len(own) - np.arange(len(own))
+                    own, rest = own[100 * rest >= percent * len(s)], rest[100 * rest >= percent * len(s)]
+                    tokens.append(own)
+                    rests.append(rest)
+                    rows.append(np.full(len(own), r))
+                row = pa.array(np.concatenate(rows))
+                yield pa.record_batch([pa.array(np.concatenate(tokens)), *[batch.column(c).take(row) for c in range(3)], pa.array(np.concatenate(rests))], names=["token", "cid", "n", "comp", "rest"])
+
+    return run
+
+
+def _prefixes(spark: SparkSession, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, cid, n, comp, rest): the shingles of each set behind which enough are left for the similarity, and how many.
+
+    Shingles of one component alone come first (they are in no open pair), then the others, rare ones before
+    frequent ones. At most TABLE shared shingles are a table that is broadcast; more are joined.
+    """
+    tokens = texts.mapInArrow(_shingles(k), "cid long, n long, comp long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "f")
+    shared = materialize(spark, shared, "shared-shingles")
+    if shared.count() <= TABLE:
+        held = shared.toArrow()
+        keys = held.column(0).to_numpy()
+        order = np.argsort(keys)
+        table = spark.sparkContext.broadcast((keys[order], held.column(1).to_numpy()[order]))
+        ranked = texts.mapInArrow(_ranked(table, k, percent), "token long, cid long, n long, comp long, rest long")
+        return materialize(spark, ranked, "prefixes")
+    tokens = materialize(spark, tokens, "shingles")
     own = Window.partitionBy("cid")
     before = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "token")) - 1
     rest = tokens.join(shared, "token").select("token", "cid", "n", "comp", (F.col("n") - before).alias("rest"))
-    rest = materialize(spark, rest.where(100 * F.col("rest") >= percent * F.col("n")), "prefixes")
+    return materialize(spark, rest.where(100 * F.col("rest") >= percent * F.col("n")), "prefixes")
+
+
+def _prefix_pairs(spark: SparkSession, texts: DataFrame, mixed: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b), a > b: pairs of different components in buckets of more than SMALL members, with each that has the similarity."""
+    members = mixed.where(F.col("m") > SMALL).groupBy("cid").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    texts = materialize(spark, texts.join(members, "cid").select("cid", "n", "comp", "text"), "open-texts")
+    rest = _prefixes(spark, texts, k, percent)
     parts = rest.groupBy("token", "comp").agg(F.count("*").alias("c"))
     most = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
     held = materialize(spark, rest.join(most, "token"), "prefixes")
