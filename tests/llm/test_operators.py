@@ -139,8 +139,10 @@ def test_chains_and_clouds(spark):
     same(minhash.near_duplicates(spark, df, shingle=4).collect(), plain_components(rows))
 
 
-def test_pairs_of_large_buckets(spark):
+@pytest.mark.parametrize("table", [minhash.TABLE, 0])
+def test_pairs_of_large_buckets(spark, table, monkeypatch):
     """A bucket of 70 copies that no centre joins: the ten pairs edited in the same places are compared, and few others."""
+    monkeypatch.setattr(minhash, "TABLE", table)
     rng = random.Random(5)
     places = [rng.sample(range(4, 296, 4), 6) for _ in range(50)] + [rng.sample(range(4, 296, 4), 7) for _ in range(10)] * 2
     rows = [(i, " ".join(f"e{i}_{j}" if j in at else f"w{j}" for j in range(300))) for i, at in enumerate(places)]
