@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +107,11 @@ def classify_mail(subject: Column, sender: Column, body: Column) -> dict[str, Co
             scored.append(F.struct(n.alias("n"), F.lit(-i).alias("ord"), F.lit(category).alias("category"), why.alias("why")))
         return F.array_max(F.array(*scored))
 
-    best = let(everything, winner)
+    return _mail_fields(let(everything, winner), everything, (blank(subject) == "") & (blank(sender) == "") & (blank(body) == ""))
+
+
+def _mail_fields(best: Column, everything: Column, empty: Column) -> dict[str, Column]:
     some = (best["n"] > 0) & (F.length(F.trim(everything)) > 0)
-    empty = (blank(subject) == "") & (blank(sender) == "") & (blank(body) == "")
     return {
         "category": F.when(some, best["category"]).otherwise("other"),
         "score": F.when(some, best["n"]).otherwise(0),
@@ -115,3 +119,22 @@ def classify_mail(subject: Column, sender: Column, body: Column) -> dict[str, Co
         "reason": F.when(empty, "No content to classify").when(some, F.concat(F.lit("Matched: "), F.array_join(best["why"], ", "))).otherwise("No matching patterns found"),
         "is_transaction": ~empty & has_any(everything, rules.TRANSACTION_WORDS),
     }
+
+
+def with_mail_class(df: DataFrame, subject: str, sender: str, body: str) -> DataFrame:
+    """Adds the columns of ``classify_mail``. The counts are plain sums made once a row; only the winner's words are listed."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    low, who = F.col("__low"), F.col("__who")
+    found = lambda text, words, times: [F.contains(text, F.lit(w)).cast("int") * times for w in words]
+    total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
+    marked = df.select("*", F.lower(F.concat_ws(" ", blank(subject), blank(sender), blank(body))).alias("__low"), F.lower(blank(sender)).alias("__who"), ((blank(subject) == "") & (blank(sender) == "") & (blank(body) == "")).alias("__empty"))
+    counts = [F.struct(total(found(who, senders, 3) + found(low, words, 1)).alias("n"), F.lit(-i).alias("ord")) for i, (senders, words) in enumerate(rules.MAIL_CATEGORIES.values())]
+    won = marked.select("*", F.array_max(F.array(*counts)).alias("__won"))
+    at = (1 - F.col("__won.ord")).cast("int")
+    lists = lambda k: F.element_at(F.array(*[F.array(*[F.lit(w) for w in pair[k]]) for pair in rules.MAIL_CATEGORIES.values()]), at)
+    named = F.transform(F.filter(lists(0), lambda w: F.contains(who, w)), lambda w: F.concat(F.lit("sender:"), w))
+    why = F.slice(F.concat(named, F.filter(lists(1), lambda w: F.contains(low, w))), 1, 3)
+    category = F.element_at(F.array(*[F.lit(c) for c in rules.MAIL_CATEGORIES]), at)
+    best = won.select("*", F.struct(F.col("__won.n").alias("n"), category.alias("category"), why.alias("why")).alias("__best"))
+    fields = _mail_fields(F.col("__best"), low, F.col("__empty"))
+    return best.select(*df.columns, *[c.alias(k) for k, c in fields.items()])

@@ -100,3 +100,20 @@ def edge_tags(text: Column, amount: Column, txn_type: Column) -> Column:
             F.when(txn_type == "credit", "credit"),
         )
     )
+
+
+def is_valid_string(cols: dict[str, Column]) -> Column:
+    """The string variant: amount and type are there and not empty."""
+    return _filled(cols, ["amount", "type"])
+
+
+def is_complete_string(cols: dict[str, Column]) -> Column:
+    """The string variant: amount, type, account and date are there and not empty."""
+    return _filled(cols, ["amount", "type", "account", "date"])
+
+
+def _filled(cols: dict[str, Column], names: list[str]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & (F.coalesce(cols[n].cast("string"), F.lit("")) != "")
+    return out

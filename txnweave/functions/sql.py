@@ -1,40 +1,56 @@
-"""The scalar functions under names that SQL text can call."""
+"""The scalar functions under names that SQL text can call: SQL functions that Spark inlines, no Python."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
-#: name -> (parameter, expression over it): SQL functions that Spark inlines, no Python.
-SCALARS = {
-    "txn_amount": "try_cast(translate(regexp_replace(trim(x), '(?i)^(?:Rs\\\\.?|INR|₹)\\\\s*', ''), ', ', '') AS DOUBLE)",
-    "txn_account": "nullif(regexp_replace(x, '\\\\D', ''), '')",
-    "txn_reference": "nullif(regexp_replace(x, '[^A-Za-z0-9]', ''), '')",
-    "txn_vpa": "CASE WHEN contains(x, '@') THEN lower(trim(x)) END",
-}
+from .. import rules
+from .normalize import CREDIT_WORDS, DATE_FORMATS, DEBIT_WORDS, MERCHANT_PREFIXES
+from .patterns import java
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_lit(r'(?U)^\s+|\s+$')}, '')"
 
-@udtf(returnType="value string, priority int")
-class AllDates:
-    """Every date of a text with its pattern's priority, as a table function."""
 
-    def __init__(self) -> None:
-        import re
+def _any(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(x), {_lit(w)})" for w in words)
 
-        from .. import rules
 
-        self.patterns = [(re.compile(p, re.IGNORECASE), n) for p, n in sorted(rules.DATE, key=lambda x: -x[1])]
+def _merchant() -> str:
+    out = _strip("x")
+    for prefix in MERCHANT_PREFIXES:
+        out = _strip(f"regexp_replace({out}, {_lit('(?i)^' + prefix)}, '')")
+    return f"nullif({out}, '')"
+
+
+_SPACED = f"trim(regexp_replace(x, {_lit(r'(?U)\s+')}, ' '))"
+
+#: name -> (type, expression over x), in order of use.
+SCALARS = {
+    "txn_amount": ("DOUBLE", f"try_cast(translate(regexp_replace(trim(x), {_lit(r'(?i)^(?:Rs\.?|INR|₹)\s*')}, ''), ', ', '') AS DOUBLE)"),
+    "txn_day": ("DATE", f"CAST(coalesce({', '.join(f'try_to_timestamp({_SPACED}, {_lit(f)})' for f in DATE_FORMATS)}) AS DATE)"),
+    "txn_date": ("STRING", "date_format(add_months(txn_day(x), CASE WHEN year(txn_day(x)) >= 2069 THEN -1200 ELSE 0 END), 'dd-MM-yyyy')"),
+    "txn_account": ("STRING", f"nullif(regexp_replace(x, {_lit(r'\D')}, ''), '')"),
+    "txn_reference": ("STRING", "nullif(regexp_replace(x, '[^A-Za-z0-9]', ''), '')"),
+    "txn_vpa": ("STRING", f"CASE WHEN contains(x, '@') THEN lower({_strip('x')}) END"),
+    "txn_merchant": ("STRING", _merchant()),
+    "txn_type": ("STRING", f"CASE WHEN {_any(DEBIT_WORDS)} THEN 'debit' WHEN {_any(CREDIT_WORDS)} THEN 'credit' END"),
+}
+
 
-    def eval(self, text: str) -> Iterator[tuple[str, int]]:
-        for pattern, n in self.patterns:
-            for m in pattern.finditer(text or ""):
-                yield m[1], n
+def _dates() -> str:
+    """Every match of every date pattern, by falling priority."""
+    each = [f"transform(regexp_extract_all(x, {_lit(java(p))}, 1), v -> named_struct('value', v, 'priority', {n}))" for p, n in sorted(rules.DATE, key=lambda p: -p[1])]
+    return f"SELECT d.value, d.priority FROM (SELECT explode(concat({', '.join(each)})) AS d)"
 
 
 def register(spark: SparkSession) -> None:
     """Temporary functions txn_* and the table function txn_dates."""
-    for name, body in SCALARS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {body}" if name != "txn_amount" else f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS DOUBLE RETURN {body}")
-    spark.udtf.register("txn_dates", AllDates)
+    for name, (kind, body) in SCALARS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION txn_dates(x STRING) RETURNS TABLE (value STRING, priority INT) RETURN {_dates()}")

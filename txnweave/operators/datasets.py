@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import let
+
 
 def unit_hash(key: Column, seed: str) -> Column:
     """[0, 1) by a digest of seed and key: the same on any engine and partitioning."""
@@ -58,36 +60,178 @@ def chat(text: Column, answer: Column) -> Column:
     return F.array(turn("system", F.lit("You extract financial entities and answer in JSON.")), turn("user", text), turn("assistant", answer))
 
 
-#: Abbreviations of the noise step.
-ABBREVIATIONS = {"account": "a/c", "transaction": "txn", "reference": "ref", "amount": "amt", "balance": "bal", "available": "avl", "debited": "dr", "credited": "cr"}
-SYNONYMS = {"debited": "deducted", "credited": "deposited", "received": "got", "sent": "transferred", "paid": "settled", "balance": "bal"}
+#: Fields as a prompt describes them.
+FIELD_DESCRIPTIONS = {
+    "amount": "amount (as a number)",
+    "type": 'type ("debit" or "credit")',
+    "date": "date (DD-MM-YYYY format)",
+    "account": "account (number or last 4 digits)",
+    "reference": "reference (UPI/transaction ID)",
+    "vpa": "vpa (UPI address like user@bank)",
+    "merchant": "merchant (vendor name)",
+    "category": "category (food/shopping/transport/etc)",
+}
+#: Formats that have a prefix of their own.
+FORMATS = ["BANK_STATEMENT", "PHONEPE", "GPAY", "PAYTM"]
+
+
+def field_prompt(field: str, text: Column) -> Column:
+    """Asks for one field."""
+    if field not in FIELD_DESCRIPTIONS:
+        raise ValueError(f"no field {field}")
+    return F.concat(F.lit(f'Give only the {FIELD_DESCRIPTIONS[field]} of this transaction, or "unknown".\n\nTransaction: '), text, F.lit(f"\n\n{field.capitalize()}:"))
+
+
+def fields_prompt(fields: list[str], text: Column) -> Column:
+    """Asks for some fields as JSON; for all of them if none is named."""
+    if not fields:
+        return prompt(text)
+    wanted = ", ".join(FIELD_DESCRIPTIONS.get(f, f) for f in fields)
+    return F.concat(F.lit(f"Extract only these fields from the transaction: {wanted}\n\nAnswer with a JSON object, null for what is not there.\n\nTransaction:\n"), text, F.lit("\n\nJSON output:"))
+
+
+def format_prompt(kind: str, text: Column) -> Column:
+    """The prompt of a statement row or an app's message, with the format's prefix."""
+    if kind not in FORMATS:
+        raise ValueError(f"no format {kind}")
+    what = "bank statement row" if kind == "BANK_STATEMENT" else "transaction"
+    return F.concat(F.lit(f"[{kind}] Extract financial entities from this {what}:\n\n"), text)
+
+
+def weighted_choice(key: Column, weights: dict[str, float], seed: str) -> Column:
+    """One of the choices, by the hash's place among the cumulative weights."""
+    total, reach, out = sum(weights.values()), 0.0, F
+    names = [*weights]
+    for name in names[:-1]:
+        reach += weights[name]
+        out = out.when(unit_hash(key, seed) < reach / total, name)
+    return out.otherwise(names[-1]) if len(names) > 1 else F.lit(names[0])
+
+
+def assemble(phrases: list[Column], values: dict[str, Column]) -> Column:
+    """Phrases (nulls left out) with one blank between them, {placeholders} filled, blanks and punctuation tidied."""
+    text = F.concat_ws(" ", *phrases)
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), value)
+    return F.trim(F.regexp_replace(F.regexp_replace(text, " +", " "), r" ([.,])", "$1"))
+
+
+#: Fixed values of the noise steps: abbreviations, spacings, typos, each with its alternatives.
+ABBREVIATIONS = {
+    "Account": ["A/c", "Acc", "Acct", "a/c"],
+    "Reference": ["Ref", "Ref.", "ref"],
+    "Transaction": ["Txn", "txn", "Trans"],
+    "Available": ["Avl", "Avail", "avl"],
+    "Balance": ["Bal", "bal", "Bal."],
+    "Credited": ["Cr", "cr", "Cr."],
+    "Debited": ["Dr", "dr", "Dr."],
+    "Number": ["No", "No.", "Num"],
+}
+SPACINGS = [(". ", "."), (": ", ":"), ("Rs. ", "Rs."), ("Rs ", "Rs"), (", ", ",")]
+TYPOS = {
+    "debited": ["debitd", "debite", "debitted"],
+    "credited": ["creditd", "credite", "creditted"],
+    "transaction": ["transction", "transcation", "transacton"],
+    "available": ["availble", "avialable", "availabel"],
+    "balance": ["balace", "balnce", "balanc"],
+}
+#: Synonyms of the augmentation.
+SYNONYMS = {
+    "debited": ["withdrawn", "deducted", "paid", "transferred", "sent"],
+    "credited": ["received", "deposited", "added", "transferred"],
+    "transaction": ["payment", "transfer", "txn"],
+    "account": ["A/c", "Acc", "Acct", "a/c"],
+    "reference": ["Ref", "UTR", "Txn ID"],
+    "available": ["Avl", "remaining", "left"],
+    "balance": ["Bal", "amt"],
+}
 EDGE_WEIGHTS = {"failed_txn": 5.0, "pending_txn": 3.0, "large_amount": 2.0, "small_amount": 2.0, "unicode": 4.0, "credit": 1.5}
 
 
-def add_noise(text: Column, key: Column, chance: float = 0.3) -> Column:
-    """Abbreviations, case, doubled blanks, cut at 160 characters and lost full stops, each by its own coin."""
-    coin = lambda step: unit_hash(key, step) < chance
-    short = text
-    for word, mark in ABBREVIATIONS.items():
-        short = F.replace(short, F.lit(word), F.lit(mark))
-    out = F.when(coin("abbr"), short).otherwise(text)
-    out = F.when(coin("case"), F.upper(out)).otherwise(out)
-    out = F.when(coin("space"), F.replace(out, F.lit(" "), F.lit("  "))).otherwise(out)
-    out = F.when(coin("stop"), F.replace(out, F.lit("."), F.lit(""))).otherwise(out)
-    return F.when(coin("cut"), F.substring(out, 1, 160)).otherwise(out)
-
-
-def variants(df: DataFrame, text_col: str, key_col: str) -> DataFrame:
-    """Each row and its augmented copies: synonyms, upper case, cut, words in reversed halves."""
-    text = F.col(text_col)
-    swapped = text
-    for a, b in SYNONYMS.items():
-        swapped = F.replace(swapped, F.lit(a), F.lit(b))
-    row = lambda kind, t: F.struct(F.lit(kind).alias("variant_kind"), t.alias("variant_text"))
-    halves = F.split(text, r"\. ")
-    turned = F.array_join(F.reverse(halves), ". ")
-    each = F.array(row("original", text), row("synonym", swapped), row("case", F.upper(text)), row("cut", F.substring(text, 1, 60)), row("reorder", turned))
-    return df.select(key_col, F.explode(each).alias("v")).select(key_col, "v.*")
+def one_of(values: list[str], key: Column, seed: str) -> Column:
+    """One of the values by hash."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(unit_hash(key, seed) * len(values)) + 1).cast("int"))
+
+
+def add_noise(text: Column, key: Column, level: float = 1.0) -> Column:
+    """Abbreviations, spacing, case, the cut at 160 characters, typos and punctuation: each step by a coin
+    whose chance grows with ``level``, each word in it by one of its own. What a coin leaves out is replaced by nothing."""
+
+    def coin(*chances: tuple[str, float]) -> Column:
+        out = F.lit(True)
+        for step, chance in chances:
+            out = out & (unit_hash(key, step) < chance)
+        return out
+
+    def first(out: Column, on: Column, pattern: str, value: Column) -> Column:
+        return F.regexp_replace(out, F.when(on, F.lit(f"(?s)^(.*?){pattern}")).otherwise(F.lit("\\x00")), F.concat(F.lit("$1"), value))
+
+    def swap(out: Column, on: Column, old: str, new: str) -> Column:
+        return F.replace(out, F.when(on, F.lit(old)).otherwise(F.lit("")), F.lit(new))
+
+    out = text
+    for word, short in ABBREVIATIONS.items():
+        out = first(out, coin(("abbr", 0.5 * level), (f"abbr {word}", 0.5)), word, one_of(short, key, f"abbr which {word}"))
+    for old, new in SPACINGS:
+        out = swap(out, coin(("space", 0.3 * level), (f"space {old}", 0.3)), old, new)
+    upper, lower = coin(("case", 0.2 * level), ("upper", 0.3)), coin(("case", 0.2 * level), ("lower", 0.1))
+    out = let(out, lambda x: F.when(upper, F.upper(x)).when(lower, F.lower(x)).otherwise(x))
+    out = let(out, lambda x: F.when(coin(("cut", 0.1 * level)) & (F.length(x) > 160), F.concat(F.substring(x, 1, 157), F.lit("..."))).otherwise(x))
+    for word, wrong in TYPOS.items():
+        out = first(out, coin(("typo", 0.05 * level), (f"typo {word}", 0.2)), f"(?i:{word})", one_of(wrong, key, f"typo which {word}"))
+    out = swap(out, coin(("stop", 0.2 * level), (".", 0.3)), ".", "")
+    return swap(out, coin(("stop", 0.2 * level), (",", 0.2)), ",", "")
+
+
+TECHNIQUES = ["synonym", "noise", "case", "cut", "reorder"]
+
+
+def with_synonyms(text: Column, key: Column, chance: float = 0.3) -> Column:
+    """Words (without . , ; : around them) by a synonym, each by its own coin; a capital stays one."""
+    table = F.create_map(*[x for w, s in SYNONYMS.items() for x in (F.lit(w), F.array(*[F.lit(v) for v in s]))])
+
+    def turned(word: Column, i: Column) -> Column:
+        place = F.concat(key.cast("string"), F.lit("-"), i.cast("string"))
+        choices = F.try_element_at(table, F.btrim(F.lower(word), F.lit(".,;:")))
+        new = F.element_at(choices, (F.floor(unit_hash(place, "synonym which") * F.size(choices)) + 1).cast("int"))
+        new = F.when(word.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 100))).otherwise(new)
+        return F.when(choices.isNotNull() & (unit_hash(place, "synonym") < chance), new).otherwise(word)
+
+    return F.array_join(F.transform(F.split(text, " "), turned), " ")
+
+
+def variants(df: DataFrame, text_col: str, key_col: str, factor: int = 6) -> DataFrame:
+    """(key, copy_no, variant_kind, is_augmented, variant_text): each row, and factor - 1 copies by the techniques in turn."""
+    text, key = F.col(text_col), F.col(key_col)
+    made = {
+        "synonym": lambda k: with_synonyms(text, k),
+        "noise": lambda k: add_noise(text, k),
+        "case": lambda k: F.when(unit_hash(k, "copy case") < 0.5, F.upper(text)).otherwise(F.lower(text)),
+        "cut": lambda k: F.when(F.length(text) > 60, F.concat(F.substring(text, 1, 57), F.lit("..."))).otherwise(text),
+        "reorder": lambda k: F.array_join(F.reverse(F.split(text, r"\. ")), ". "),
+    }
+    row = lambda i, kind, t: F.struct(F.lit(i).alias("copy_no"), F.lit(kind).alias("variant_kind"), F.lit(i > 0).alias("is_augmented"), t.alias("variant_text"))
+    each = [row(0, "original", text)]
+    for i in range(1, factor):
+        kind = TECHNIQUES[(i - 1) % len(TECHNIQUES)]
+        each.append(row(i, kind, made[kind](F.concat(key.cast("string"), F.lit(f"/{i}")))))
+    return df.select(key_col, F.explode(F.array(*each)).alias("v")).select(key_col, "v.*")
+
+
+def review_queues(labelled: DataFrame, urgent: float = 0.5) -> DataFrame:
+    """The rows that wait for a review, with queue = urgent (low confidence) or normal."""
+    return labelled.where(~F.col("verified")).withColumn("queue", F.when(F.col("confidence") < urgent, "urgent").otherwise("normal"))
+
+
+def apply_reviews(labelled: DataFrame, decisions: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Decisions (key, action, at, notes, some fields): rejected rows go; verified ones take what the decision corrects, confidence 1, its time and notes."""
+    named = decisions.select(F.col(key).alias("__key"), "action", F.col("at").alias("verified_at"), "notes", *[F.col(f).alias(f"__{f}") for f in fields if f in decisions.columns])
+    joined = labelled.join(named, F.col(key) == F.col("__key"), "left").where("action IS NULL OR action != 'reject'")
+    done = F.coalesce(F.col("action") == "verify", F.lit(False))
+    new = {f: F.coalesce(F.when(done, F.col(f"__{f}")), F.col(f)) for f in fields if f in decisions.columns}
+    new |= {"verified": F.col("verified") | done, "confidence": F.when(done, 1.0).otherwise(F.col("confidence"))}
+    stamp = [F.when(done, F.col(c)).alias(c) for c in ("verified_at", "notes")]
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in labelled.columns], *stamp)
 
 
 def mask_entities(text: Column, values: dict[str, Column]) -> Column:
@@ -110,10 +254,10 @@ def edge_weight(tags: Column) -> Column:
     return F.aggregate(tags, F.lit(1.0), lambda a, t: a * F.coalesce(F.try_element_at(table, t), F.lit(1.0)))
 
 
-def oversample(df: DataFrame, key: str, weight: str, size: int, seed: str = "42") -> DataFrame:
-    """About ``size`` rows: each row floor(expected) times, once more by a coin for the rest."""
-    total = df.agg(F.sum(weight)).first()[0] or 1.0
-    expected = F.col(weight) * F.lit(size / total)
+def oversample(df: DataFrame, key: str, weight: str, size: int | None = None, seed: str = "42") -> DataFrame:
+    """About ``size`` rows (as many as there are, if not given): each row floor(expected) times, once more by a coin for the rest."""
+    all_ = df.agg(F.sum(weight).alias("total"), F.count("*").alias("n")).first()
+    expected = F.col(weight) * F.lit((all_["n"] if size is None else size) / (all_["total"] or 1.0))
     times = F.floor(expected) + (unit_hash(F.col(key), seed) < expected - F.floor(expected)).cast("long")
     return df.withColumn("copies", times).where("copies > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))
 

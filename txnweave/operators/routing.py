@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.patterns import count_matching, has_any, matches_any
 
+#: Fixed values.
 AMOUNT_SIGN = r"(?:rs\.?|inr|₹)\s*[\d,]+"
 STRICT_KEEP = [
     r"has been debited", r"has been credited", r"is debited from", r"is credited to", r"Rs\.\s*[\d,]+.*debited", r"Rs\.\s*[\d,]+.*credited",
@@ -45,8 +46,18 @@ def classify(text: Column, compat: bool = False) -> tuple[Column, Column]:
 
 
 def with_class(df: DataFrame, text_col: str = "text", compat: bool = False) -> DataFrame:
-    kind, reason = classify(F.col(text_col), compat)
-    return df.select("*", kind.alias("classification"), reason.alias("filter_reason"))
+    """Adds classification and filter_reason. Each list of patterns is a column of its own, so it is tried once a row, and only where those before decided nothing."""
+    text = F.col(text_col)
+    low = F.lower(text)
+    short = text.isNull() | (F.length(F.trim(text)) < 20)
+    keep = count_matching(low, rules.KEEP_PATTERNS) >= 2
+    out = df.select("*", F.when(short, "short").when(matches_any(low, garbage_patterns(compat)), "garbage").alias("__found"))
+    out = out.select(*df.columns, F.when(F.col("__found").isNotNull(), F.col("__found")).when(keep, "keep").when(low.rlike("(?U)" + AMOUNT_SIGN), "amount").otherwise("none").alias("__found"))
+    found = F.col("__found")
+    kind = F.when(found.isin("short", "garbage"), "garbage").when(found == "keep", "keep").otherwise("uncertain")
+    reasons = {"short": "too_short", "garbage": "matched_garbage_pattern", "keep": "matched_transaction_pattern", "amount": "has_amount_no_transaction_type", "none": "no_strong_signals"}
+    reason = F.element_at(F.create_map(*[F.lit(x) for p in reasons.items() for x in p]), found)
+    return out.select(*df.columns, kind.alias("classification"), reason.alias("filter_reason"))
 
 
 def training_filter(subject: Column, body: Column) -> Column:

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import jsonx, score
+from ..functions.normalize import category as to_category
+from .datasets import field_prompt, prompt
 
+#: How sure a model's answer is.
+MODEL_CONFIDENCE = 0.7
 Factory = Callable[[], Callable[[list[str]], list[str]]]
 
 
@@ -35,3 +39,26 @@ def enrich(df: DataFrame, key: str, text_col: str, factory: Factory, fields: lis
     answers = answers.select("__key", *[found[f].alias(f"__{f}") for f in fields])
     joined = df.join(answers, F.col(key) == F.col("__key"), "left")
     return joined.select(*[F.coalesce(c, f"__{c}").alias(c) if c in fields else F.col(c) for c in df.columns])
+
+
+def enrich_by_field(df: DataFrame, key: str, text_col: str, factory: Factory, fields: tuple[str, ...] = ("merchant", "category", "date", "reference"), required: tuple[str, ...] = ("amount", "type")) -> DataFrame:
+    """Rows that lack fields ask the model for each lacking one of ``fields``, and, where a required field lacks, for the whole object.
+
+    Answers fill null fields only; ``meta`` maps each filled field to the model's confidence. A field that the model
+    does not know stays null, and rows that lack nothing are never sent.
+    """
+    text = F.col(text_col)
+    ask = lambda name, on, words: F.when(on, F.struct(F.lit(name).alias("field"), words.alias("prompt")))
+    lacks = [F.col(f).isNull() for f in required]
+    asks = F.array_compact(F.array(*[ask(f, F.col(f).isNull(), field_prompt(f, text)) for f in fields], ask("*", F.array_contains(F.array(*lacks), True), prompt(text))))
+    lacking = df.where(score.needs_enrichment({f: F.col(f) for f in score.WEIGHTS}))
+    asked = lacking.select(F.col(key).alias("__key"), F.explode(asks).alias("a")).select("__key", "a.field", "a.prompt")
+    said = score_texts(asked, "prompt", factory).select("__key", "field", jsonx.single_field(F.col("response")).alias("one"), jsonx.parse(F.col("response")).alias("v"))
+    whole = jsonx.validated(F.col("v"))
+    one = lambda f: F.max(F.when(F.col("field") == f, to_category(F.col("one")) if f == "category" else F.col("one")))
+    every = lambda f: F.max(F.when(F.col("field") == "*", whole[f]))
+    found = said.groupBy("__key").agg(*[F.coalesce(one(f), every(f)).alias(f"__{f}") for f in fields], *[every(f).alias(f"__{f}") for f in required])
+    joined = df.join(found, F.col(key) == F.col("__key"), "left")
+    names = [*fields, *required]
+    filled = F.map_filter(F.create_map(*[x for f in names for x in (F.lit(f), F.when(F.col(f).isNull() & F.col(f"__{f}").isNotNull(), F.lit(MODEL_CONFIDENCE)))]), lambda _, v: v.isNotNull())
+    return joined.select(*[F.coalesce(c, F.col(f"__{c}").cast(df.schema[c].dataType)).alias(c) if c in names else F.col(c) for c in df.columns], filled.alias("meta"))

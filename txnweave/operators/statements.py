@@ -14,6 +14,7 @@ ALIASES = {
     "balance": ["balance", "closing"],
     "reference": ["ref", "chq", "cheque"],
 }
+LINE_NUMBER = r"([\d,]+\.?\d*)"
 DATE = r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
 KEYS = ["doc", "page", "table_id"]
 
@@ -83,3 +84,21 @@ def is_transaction_line(line: Column) -> Column:
     """Has a date and a number of more than three characters."""
     long = F.filter(F.regexp_extract_all(line, F.lit(r"([\d,]+\.?\d*)"), F.lit(1)), lambda x: F.length(x) > 3)
     return line.rlike(DATE) & (F.size(long) > 0)
+
+
+def statement_rows(cells: DataFrame) -> DataFrame:
+    """(doc, page, table_id, row_idx, raw_text, date, description, debit, credit, balance): table rows of at least 10 characters with a debit or credit that is no zero."""
+    rows = cells.where("row_idx > 0").join(column_map(cells), KEYS)
+    cell = lambda name: F.trim(F.try_element_at("cells", F.col(f"at_{name}").cast("int")))
+    raw = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " | ")
+    out = rows.select(*KEYS, "row_idx", raw.alias("raw_text"), cell("date").alias("date"), cell("description").alias("description"), *[clean_amount(cell(n)).alias(n) for n in ("debit", "credit", "balance")])
+    some = lambda n: F.coalesce(F.col(n), F.lit(0.0)) != 0
+    return out.where((F.length(F.trim("raw_text")) >= 10) & (some("debit") | some("credit")))
+
+
+def statement_lines(lines: DataFrame) -> DataFrame:
+    """The other columns with raw_text and date of lines of at least 15 characters that hold a number of more than three."""
+    trimmed = F.trim("line")
+    numbers = F.filter(F.regexp_extract_all("line", F.lit(LINE_NUMBER), F.lit(1)), lambda x: F.length(x) > 3)
+    kept = lines.where((F.length(trimmed) >= 15) & (F.size(numbers) > 0))
+    return kept.select(*[c for c in lines.columns if c != "line"], trimmed.alias("raw_text"), F.nullif(F.regexp_extract("line", f"({DATE})", 1), F.lit("")).alias("date"))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..functions import jsonx, normalize, score
+from ..functions import jsonx, lookup, normalize, score
+from ..functions.patterns import has_any as has_stem
 from ..operators import datasets as D
 from ..operators import extraction, routing, scorer
 from ..operators import statements as S
 from .extraction_queries import CLASSED, FOUND, RAW, SCORED, _string_fields
 from .messages import messages
-from .oracle_base import MSG, has_any, lit
+from .oracle_base import MSG, array, has_any, lit, norm_date
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -84,20 +85,34 @@ def row_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     f = X.extract(messages(spark, d).where("true_type != ''"))
+    merchant, category = lookup.merchant_and_category(F.col("vpa"), F.col("text"))
+    f = f.select("*", merchant.alias("merchant"), category.alias("category"))
     return f.select(
         "msg_id", "true_bank", F.col("true_amount").cast("decimal(18,2)").cast("string").alias("e_amount"), F.col("true_type").alias("e_type"), F.col("true_account").alias("e_account"),
-        F.when(F.col("variant") < 5, F.col("true_reference")).alias("e_reference"), F.col("amount").cast("decimal(18,2)").cast("string").alias("p_amount"), F.col("type").alias("p_type"),
-        F.col("account").alias("p_account"), F.col("reference").alias("p_reference"),
+        F.when(F.col("variant") < 5, F.col("true_reference")).alias("e_reference"), F.when(F.col("variant") < 4, F.date_format("ts", "dd-MM-yyyy")).alias("e_date"),
+        F.when(F.col("variant") < 4, F.initcap("shop")).alias("e_merchant"), F.when(F.col("shop").isin("swiggy", "zomato"), "food").alias("e_category"),
+        F.col("amount").cast("decimal(18,2)").cast("string").alias("p_amount"), F.col("type").alias("p_type"), F.col("account").alias("p_account"), F.col("reference").alias("p_reference"),
+        normalize.date(F.col("date")).alias("p_date"), F.col("merchant").alias("p_merchant"), F.col("category").alias("p_category"),
     )
 
 
+EVALUATED = ("amount", "type", "date", "reference", "merchant", "category", "account")
+
+
 def evaluate_banks(spark: SparkSession, d: str) -> DataFrame:
     """Any-sample rule: missing equals missing; overall is amount and type. Per bank and, rolled up, overall."""
     p = _pairs(spark, d)
-    same = {f: F.col(f"e_{f}").eqNullSafe(F.col(f"p_{f}")) for f in ("amount", "type", "account", "reference")}
+    same = {f: F.lower(f"e_{f}").eqNullSafe(F.lower(f"p_{f}")) for f in EVALUATED}
     return p.rollup("true_bank").agg(F.count("*").alias("total"), F.count_if(same["amount"] & same["type"]).alias("correct"), *[F.count_if(c).alias(f"ok_{f}") for f, c in same.items()])
 
 
+def evaluate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The flags of each row."""
+    p = _pairs(spark, d)
+    same = {f: F.lower(f"e_{f}").eqNullSafe(F.lower(f"p_{f}")) for f in EVALUATED}
+    return p.select("msg_id", *[c.alias(f"ok_{f}") for f, c in same.items()], (same["amount"] & same["type"]).alias("correct"))
+
+
 def evaluate_fields(spark: SparkSession, d: str) -> DataFrame:
     long = D.evaluate(_pairs(spark, d), ["amount", "type", "account", "reference"], "e_", "p_")
     return long.groupBy("true_bank", "field").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
@@ -118,15 +133,19 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-STEMS = ["th", "er", "ed"]
+#: Stems of finance terms.
+STEMS = [
+    "upi", "neft", "rtgs", "imps", "bank", "account", "transaction", "payment", "credit", "debit", "balance", "transfer", "amount",
+    "rupees", "rs", "inr", "loan", "emi", "interest", "deposit", "withdrawal", "statement", "passbook", "cheque", "card",
+]
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    words = docs(spark, d).select(F.explode(F.split(F.lower("text"), r"(?U)[^\p{L}\p{N}_]+")).alias("word")).where(F.col("word").rlike("^[a-z]{2,}$"))
-    stem = F.lit(False)
-    for s in STEMS:
-        stem = stem | F.contains("word", F.lit(s))
-    return words.where(stem).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
+    """The most frequent finance terms of documents and messages."""
+    texts = docs(spark, d).select("text").union(messages(spark, d).select("text"))
+    words = texts.select(F.explode(F.split(F.lower("text"), r"(?U)[^\p{L}\p{N}_]+")).alias("word")).where(F.col("word").rlike("^[a-z]{2,}$"))
+    # Counted first: each distinct word is compared with the stems once.
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(has_stem(F.col("word"), STEMS)).orderBy(F.desc("n"), "word").limit(100)
 
 
 def labeling_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -189,10 +208,13 @@ def dedup_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_reference(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each bank and reference; rows without a reference all stay."""
-    m = X.extract(messages(spark, d).select("msg_id", "text", "true_bank")).select("msg_id", "true_bank", F.substring("reference", 1, 10).alias("reference"))
-    some = D.keep_first(m.where("reference IS NOT NULL"), ["true_bank", "reference"], [F.col("msg_id")])
-    return some.select("msg_id", "true_bank", "reference").union(m.where("reference IS NULL"))
+    """One row for each bank and whole reference; rows without a reference all stay. A message comes once for each line of its order."""
+    m = X.extract(messages(spark, d).select("msg_id", "text", "true_bank")).select("msg_id", "true_bank", "reference")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("msg_id"), F.col("l_linenumber").alias("line_no"))
+    m = m.join(li, "msg_id")
+    some = D.keep_first(m.where("reference IS NOT NULL"), ["true_bank", "reference"], [F.col("msg_id"), F.col("line_no")])
+    columns = ["msg_id", "line_no", "true_bank", "reference"]
+    return some.select(*columns).union(m.where("reference IS NULL").select(*columns))
 
 
 def sample_banks(spark: SparkSession, d: str) -> DataFrame:
@@ -295,15 +317,13 @@ def auto_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_reviews(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions from a table: rejected rows go, corrected ones take the corrected value and confidence 1."""
-    x = auto_labels(spark, d)
+    """Decisions from a table: rejected rows go, corrected ones take the corrected values, confidence 1, time and notes."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     action = F.when(F.col("o_orderpriority") == "1-URGENT", "reject").when(F.col("o_orderpriority") == "2-HIGH", "verify")
-    decisions = o.select(F.col("o_orderkey").alias("id"), action.alias("action"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("fixed")).where("action IS NOT NULL")
-    kept = x.join(decisions.where("action = 'reject'"), F.col("msg_id") == F.col("id"), "left_anti")
-    verified = decisions.where("action = 'verify'").select("id", "fixed")
-    out = kept.join(verified, F.col("msg_id") == F.col("id"), "left")
-    return out.select("msg_id", F.coalesce("fixed", "amount").alias("amount"), (F.col("verified") | F.col("id").isNotNull()).alias("verified"), F.when(F.col("id").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"))
+    fixed = F.when(F.col("o_orderkey") % 3 == 0, "debit")
+    decisions = o.select(F.col("o_orderkey").alias("msg_id"), action.alias("action"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), F.col("o_orderpriority").alias("notes"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"), fixed.alias("type"))
+    out = D.apply_reviews(auto_labels(spark, d), decisions.where("action IS NOT NULL"), "msg_id", ["amount", "type"])
+    return out.select("msg_id", "amount", "type", "verified", "confidence", "verified_at", "notes")
 
 
 def noise(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +338,7 @@ def edge_oversample(spark: SparkSession, d: str) -> DataFrame:
     m = X.extract(messages(spark, d).select("msg_id", "text"))
     tags = score.edge_tags(F.col("text"), F.col("amount"), F.col("type"))
     w = m.select("msg_id", D.edge_weight(tags).alias("weight"))
-    return D.oversample(w, "msg_id", "weight", 5000).groupBy("msg_id").agg(F.count("*").alias("copies"))
+    return D.oversample(w, "msg_id", "weight").groupBy("msg_id").agg(F.count("*").alias("copies"))
 
 
 def masked(spark: SparkSession, d: str) -> DataFrame:
@@ -326,11 +346,12 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("msg_id", D.mask_entities(F.col("text"), values).alias("masked"))
 
 
+WEIGHTS = {"plain": 0.6, "short": 0.3, "long": 0.1}
+
+
 def weighted_choice(spark: SparkSession, d: str) -> DataFrame:
-    """One of three kinds by cumulative weights 0.6, 0.3, 0.1."""
-    u = D.unit_hash(F.col("o_orderkey"), "choice")
-    kind = F.when(u < 0.6, "plain").when(u < 0.9, "short").otherwise("long")
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", kind.alias("kind"))
+    """One of three kinds by cumulative weights."""
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", D.weighted_choice(F.col("o_orderkey"), WEIGHTS, "choice").alias("kind"))
 
 
 LANGUAGES = {"en": "Rs.{a} {t}", "hi": "रु.{a} {t}", "ta": "ரூ.{a} {t}"}
@@ -409,8 +430,10 @@ _STR = f"str AS (SELECT * FROM (SELECT msg_id, text, subject, true_bank, {_strin
 _STR_SCORE = "round(0.6::DOUBLE * ((amount IS NOT NULL)::INT + (type IS NOT NULL)::INT) / 2 + 0.4::DOUBLE * ((account IS NOT NULL)::INT + (date IS NOT NULL)::INT + (reference IS NOT NULL)::INT + (merchant IS NOT NULL)::INT + (category IS NOT NULL)::INT) / 5, 6)"
 _AUTO = f"""{_STR}, auto AS (SELECT *, confidence >= 0.8 AS verified FROM (SELECT msg_id, true_bank AS source,
 coalesce(nullif(subject, ''), upper(coalesce(type, 'transaction')[1]) || coalesce(type, 'transaction')[2:] || ' Alert - Rs.' || coalesce(amount, '0')) AS subject, amount, type, {_STR_SCORE} AS confidence FROM str))"""
-_PAIRS = f"""{RAW}, pairs AS (SELECT msg_id, true_bank, true_amount::DECIMAL(18,2)::VARCHAR AS e_amount, true_type AS e_type, true_account AS e_account, CASE WHEN variant < 5 THEN true_reference END AS e_reference,
-amount::DECIMAL(18,2)::VARCHAR AS p_amount, type AS p_type, account AS p_account, reference AS p_reference FROM raw WHERE true_type <> '')"""
+_PAIRS = f"""{FOUND}, pairs AS (SELECT msg_id, true_bank, true_amount::DECIMAL(18,2)::VARCHAR AS e_amount, true_type AS e_type, true_account AS e_account, CASE WHEN variant < 5 THEN true_reference END AS e_reference,
+CASE WHEN variant < 4 THEN strftime(ts, '%d-%m-%Y') END AS e_date, CASE WHEN variant < 4 THEN shop END AS e_merchant, CASE WHEN shop IN ('swiggy', 'zomato') THEN 'food' END AS e_category,
+amount::DECIMAL(18,2)::VARCHAR AS p_amount, type AS p_type, account AS p_account, reference AS p_reference, {norm_date('date')} AS p_date, merchant AS p_merchant, category AS p_category FROM cat WHERE true_type <> '')"""
+_SAME = {f: f"lower(e_{f}) IS NOT DISTINCT FROM lower(p_{f})" for f in EVALUATED}
 _LONG = _PAIRS + ", longer AS (" + " UNION ALL ".join(f"SELECT msg_id, true_bank, '{f}' AS field, lower(e_{f}) IS NOT DISTINCT FROM lower(p_{f}) AS correct FROM pairs WHERE e_{f} IS NOT NULL AND e_{f} <> ''" for f in ("amount", "type", "account", "reference")) + ")"
 _ROWCOUNT = " + ".join(f"({f} IS NOT NULL)::INT" for f in ("amount", "type", "account", "date", "reference", "merchant", "category"))
 _TRAIN = f"""{_STR}, train AS (SELECT msg_id, text, amount, type, account, date, reference, merchant FROM str WHERE {has_any("lower(concat_ws(' ', subject, text))", ['debited', 'credited', 'payment of', 'transferred'])} AND {has_any("lower(concat_ws(' ', subject, text))", ['rs', '₹'])}
@@ -422,18 +445,35 @@ _CELLS = """cells AS (SELECT l_orderkey::VARCHAR AS doc, l_linenumber::INTEGER A
 CASE WHEN l_returnflag = 'R' THEN l_extendedprice::DECIMAL(18,2)::DOUBLE END AS debit, CASE WHEN l_returnflag = 'A' THEN l_extendedprice::DECIMAL(18,2)::DOUBLE END AS credit, round(l_quantity * 100, 2) AS balance FROM lineitem)"""
 
 
-def _noise() -> str:
-    def coin(step: str) -> str:
-        return f"{_hash('msg_id', step)} < 0.3"
+def _one_of(values: list[str], key: str, seed: str) -> str:
+    return f"({array(values)})[floor({_hash(key, seed)} * {len(values)})::INTEGER + 1]"
+
+
+def _noise(text: str = "text", key: str = "msg_id") -> str:
+    def coin(*chances: tuple[str, float]) -> str:
+        return " AND ".join(f"{_hash(key, step)} < {chance}" for step, chance in chances)
+
+    out = text
+    for word, short in D.ABBREVIATIONS.items():
+        out = f"regexp_replace({out}, CASE WHEN {coin(('abbr', 0.5), (f'abbr {word}', 0.5))} THEN '{word}' ELSE '\\x00' END, {_one_of(short, key, f'abbr which {word}')})"
+    for old, new in D.SPACINGS:
+        out = f"replace({out}, CASE WHEN {coin(('space', 0.3), (f'space {old}', 0.3))} THEN '{old}' ELSE chr(1) END, '{new}')"
+    out = f"list_transform([{out}], lambda x: CASE WHEN {coin(('case', 0.2), ('upper', 0.3))} THEN upper(x) WHEN {coin(('case', 0.2), ('lower', 0.1))} THEN lower(x) ELSE x END)[1]"
+    out = f"list_transform([{out}], lambda x: CASE WHEN {coin(('cut', 0.1))} AND length(x) > 160 THEN substr(x, 1, 157) || '...' ELSE x END)[1]"
+    for word, wrong in D.TYPOS.items():
+        out = f"regexp_replace({out}, CASE WHEN {coin(('typo', 0.05), (f'typo {word}', 0.2))} THEN '(?i){word}' ELSE '\\x00' END, {_one_of(wrong, key, f'typo which {word}')})"
+    for mark, chance in ((".", 0.3), (",", 0.2)):
+        out = f"replace({out}, CASE WHEN {coin(('stop', 0.2), (mark, chance))} THEN '{mark}' ELSE chr(1) END, '')"
+    return out
+
 
-    short = "text"
-    for a, b in D.ABBREVIATIONS.items():
-        short = f"replace({short}, '{a}', '{b}')"
-    out = f"(CASE WHEN {coin('abbr')} THEN {short} ELSE text END)"
-    out = f"(CASE WHEN {coin('case')} THEN upper({out}) ELSE {out} END)"
-    out = f"(CASE WHEN {coin('space')} THEN replace({out}, ' ', '  ') ELSE {out} END)"
-    out = f"(CASE WHEN {coin('stop')} THEN replace({out}, '.', '') ELSE {out} END)"
-    return f"CASE WHEN {coin('cut')} THEN substr({out}, 1, 160) ELSE {out} END"
+def _synonyms(key: str) -> str:
+    bare = "trim(lower(w), '.,;:')"
+    choices = "CASE " + " ".join(f"WHEN {bare} = '{w}' THEN {array(s)}" for w, s in D.SYNONYMS.items()) + " END"
+    place = f"({key} || '-' || (i - 1))"
+    new = f"({choices})[floor({_hash(place, 'synonym which')} * len({choices}))::INTEGER + 1]"
+    new = f"CASE WHEN regexp_matches(w, '^\\p{{Lu}}') THEN upper(({new})[1]) || substr({new}, 2) ELSE {new} END"
+    return f"array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN ({choices}) IS NOT NULL AND {_hash(place, 'synonym')} < 0.3 THEN {new} ELSE w END), ' ')"
 
 
 def _masked() -> str:
@@ -444,11 +484,15 @@ def _masked() -> str:
 
 
 def _variants() -> str:
-    swapped = "text"
-    for a, b in D.SYNONYMS.items():
-        swapped = f"replace({swapped}, '{a}', '{b}')"
-    kinds = {"original": "text", "synonym": swapped, "case": "upper(text)", "cut": "substr(text, 1, 60)", "reorder": "array_to_string(list_reverse(string_split(text, '. ')), '. ')"}
-    return " UNION ALL ".join(f"SELECT msg_id, '{k}' AS variant_kind, {e} AS variant_text FROM msg" for k, e in kinds.items())
+    made = {
+        "synonym": _synonyms,
+        "noise": lambda k: _noise("text", k),
+        "case": lambda k: f"CASE WHEN {_hash(k, 'copy case')} < 0.5 THEN upper(text) ELSE lower(text) END",
+        "cut": lambda k: "CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END",
+        "reorder": lambda k: "array_to_string(list_reverse(string_split(text, '. ')), '. ')",
+    }
+    rows = ["SELECT msg_id, 0 AS copy_no, 'original' AS variant_kind, false AS is_augmented, text AS variant_text FROM msg"]
+    return " UNION ALL ".join(rows + [f"SELECT msg_id, {i}, '{kind}', true, {made[kind](f"(msg_id || '/{i}')")} FROM msg" for i, kind in enumerate(D.TECHNIQUES, 1)])
 
 
 _TAGW = " * ".join(
@@ -467,14 +511,15 @@ QUERIES = {
     "f1_coverage": (coverage, f"WITH {MSG}, {SCORED} SELECT count(*) AS total, round(avg((amount IS NOT NULL AND type IS NOT NULL)::INT) * 100, 4) AS pct_success, {', '.join(f'round(avg(({f} IS NOT NULL)::INT) * 100, 4) AS pct_{f}' for f in ('amount', 'type', 'merchant', 'category'))} FROM done"),
     "f2_value_counts": (value_counts, f"WITH {MSG}, {SCORED} SELECT * FROM (SELECT confidence, type, category, payment_method, grouping(confidence, type, category, payment_method)::INTEGER AS g, count(*) AS n FROM done GROUP BY GROUPING SETS ((confidence), (type), (category), (payment_method))) WHERE coalesce(confidence, type, category, payment_method) IS NOT NULL"),
     "f3_row_quality": (row_quality, f"WITH {MSG}, {SCORED} SELECT msg_id, {_ROWCOUNT} AS fields_extracted, amount IS NOT NULL AND type IS NOT NULL AS success FROM done"),
-    "f5_evaluate_banks": (evaluate_banks, f"""WITH {MSG}, {_PAIRS} SELECT true_bank, count(*) AS total, count_if(e_amount IS NOT DISTINCT FROM p_amount AND e_type IS NOT DISTINCT FROM p_type)::BIGINT AS correct,
-{', '.join(f'count_if(e_{f} IS NOT DISTINCT FROM p_{f})::BIGINT AS ok_{f}' for f in ('amount', 'type', 'account', 'reference'))} FROM pairs GROUP BY ROLLUP (true_bank)"""),
+    "f5_evaluate_banks": (evaluate_banks, f"""WITH {MSG}, {_PAIRS} SELECT true_bank, count(*) AS total, count_if({_SAME['amount']} AND {_SAME['type']})::BIGINT AS correct,
+{', '.join(f'count_if({c})::BIGINT AS ok_{f}' for f, c in _SAME.items())} FROM pairs GROUP BY ROLLUP (true_bank)"""),
+    "f4_evaluate_rows": (evaluate_rows, f"WITH {MSG}, {_PAIRS} SELECT msg_id, {', '.join(f'{c} AS ok_{f}' for f, c in _SAME.items())}, {_SAME['amount']} AND {_SAME['type']} AS correct FROM pairs"),
     "f6_evaluate_fields": (evaluate_fields, f"WITH {MSG}, {_LONG} SELECT true_bank, field, count(*) AS n, count_if(correct)::BIGINT AS correct FROM longer GROUP BY ALL"),
     "f8_evaluate_samples": (evaluate_samples, f"WITH {MSG}, {_LONG}, w AS (SELECT msg_id, true_bank, bool_and(correct) AS f FROM longer GROUP BY ALL) SELECT true_bank, count(*) AS n, count_if(f)::BIGINT AS full_matches, round(avg(f::INT), 6) AS accuracy FROM w GROUP BY ALL"),
     "f9_corpus_stats": (corpus_stats, r"""WITH x AS (SELECT source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, length(text) AS c FROM documents)
 SELECT source, count(*) AS docs, sum(w)::BIGINT AS words, sum(c)::BIGINT AS chars, floor(sum(w) * 1.3)::BIGINT AS tokens, floor(sum(c) / 4)::BIGINT AS tokens_by_chars FROM x GROUP BY ROLLUP (source)"""),
-    "f10_vocabulary": (vocabulary, r"""WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents)
-SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]{2,}$') AND (contains(word, 'th') OR contains(word, 'er') OR contains(word, 'ed')) GROUP BY word ORDER BY n DESC, word LIMIT 100"""),
+    "f10_vocabulary": (vocabulary, rf"""WITH {MSG}, t AS (SELECT text FROM documents UNION ALL SELECT text FROM msg), w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS word FROM t)
+SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]{{2,}}$') AND {has_any('word', STEMS)} GROUP BY word ORDER BY n DESC, word LIMIT 100"""),
     "f11_labeling_stats": (labeling_stats, f"WITH {MSG}, {_AUTO} SELECT source, count(*) AS total, count_if(verified)::BIGINT AS verified, count_if(NOT verified)::BIGINT AS pending, count_if(confidence < 0.5)::BIGINT AS urgent, round(avg(confidence), 6) AS avg_confidence FROM auto GROUP BY ALL"),
     "f13_class_balance": (class_balance, f"WITH {MSG}, {_TRAIN} SELECT count(*) AS n, count_if(type = 'debit')::BIGINT AS debit, count_if(type = 'credit')::BIGINT AS credit, count_if(type IS NULL)::BIGINT AS other FROM train"),
     "f14_validate_dataset": (validate_dataset, f"""WITH {MSG}, {SCORED}, g AS (SELECT coalesce(category, 'none') AS category, count(*) AS n, count_if(amount IS NULL)::BIGINT AS no_amount, count_if(type IS NULL)::BIGINT AS no_type, count(DISTINCT text) AS distinct_texts FROM done GROUP BY ALL)
@@ -489,8 +534,8 @@ FROM done JOIN classed USING (msg_id) GROUP BY ALL"""),
 OVER (PARTITION BY cust_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS balance FROM msg JOIN customer ON cust_id = c_custkey"""),
     "g3_dedup_body": (dedup_body, "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1"),
     "g4_dedup_key": (dedup_key, "SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS day, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_shipdate::DATE, l_returnflag ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1"),
-    "g5_dedup_reference": (dedup_reference, f"""WITH {MSG}, {RAW}, x AS (SELECT msg_id, true_bank, substr(reference, 1, 10) AS reference FROM merch)
-SELECT msg_id, true_bank, reference FROM (SELECT *, row_number() OVER (PARTITION BY true_bank, reference ORDER BY msg_id) AS r FROM x) WHERE r = 1 OR reference IS NULL"""),
+    "g5_dedup_reference": (dedup_reference, f"""WITH {MSG}, {RAW}, x AS (SELECT msg_id, l_linenumber AS line_no, true_bank, reference FROM merch JOIN lineitem ON l_orderkey = msg_id)
+SELECT msg_id, line_no, true_bank, reference FROM (SELECT *, row_number() OVER (PARTITION BY true_bank, reference ORDER BY msg_id, line_no) AS r FROM x) WHERE r = 1 OR reference IS NULL"""),
     "g6_sample_banks": (sample_banks, f"WITH {MSG} SELECT msg_id, true_bank FROM (SELECT *, row_number() OVER (PARTITION BY true_bank ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM msg) WHERE r <= 20"),
     "g7_sample_n": (sample_n, f"WITH {MSG} SELECT msg_id FROM msg ORDER BY {_hash('msg_id', '42')}, msg_id LIMIT 50"),
     "g8_top_senders": (top_senders, f"WITH {MSG} SELECT sender, shop, count(*) AS n FROM msg GROUP BY ALL ORDER BY n DESC, sender, shop LIMIT 20"),
@@ -511,11 +556,12 @@ SELECT split, 'system' AS role, count(*) AS n, (count(*) * length('You extract f
 UNION ALL SELECT split, 'user', count(*), sum(a)::BIGINT FROM p GROUP BY split UNION ALL SELECT split, 'assistant', count(*), sum(b)::BIGINT FROM p GROUP BY split"""),
     "k5_exact_split": (exact_split, f"WITH {MSG}, r AS (SELECT msg_id, row_number() OVER (ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM msg) SELECT CASE WHEN r <= floor((SELECT count(*) FROM msg) * 0.95) THEN 'train' ELSE 'valid' END AS split, count(*) AS n, sum(msg_id)::BIGINT AS ids FROM r GROUP BY ALL"),
     "k7_auto_labels": (auto_labels, f"WITH {MSG}, {_AUTO} SELECT msg_id, source, subject, amount, type, confidence, verified FROM auto"),
-    "k8_apply_reviews": (apply_reviews, f"""WITH {MSG}, {_AUTO} SELECT msg_id, CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice::DECIMAL(18,2)::VARCHAR ELSE amount END AS amount, verified OR o_orderpriority = '2-HIGH' AS verified,
-CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE confidence END AS confidence FROM auto JOIN orders ON msg_id = o_orderkey WHERE o_orderpriority <> '1-URGENT'"""),
+    "k8_apply_reviews": (apply_reviews, f"""WITH {MSG}, {_AUTO}, r AS (SELECT *, o_orderpriority = '2-HIGH' AS done FROM auto JOIN orders ON msg_id = o_orderkey WHERE o_orderpriority <> '1-URGENT')
+SELECT msg_id, CASE WHEN done THEN o_totalprice::DECIMAL(18,2)::VARCHAR ELSE amount END AS amount, CASE WHEN done AND msg_id % 3 = 0 THEN 'debit' ELSE type END AS type, verified OR done AS verified,
+CASE WHEN done THEN 1.0 ELSE confidence END AS confidence, CASE WHEN done THEN strftime(o_orderdate, '%Y-%m-%d') END AS verified_at, CASE WHEN done THEN o_orderpriority END AS notes FROM r"""),
     "k10_noise": (noise, f"WITH {MSG} SELECT msg_id, {_noise()} AS noisy FROM msg"),
     "k11_augmented": (augmented, f"WITH {MSG} {_variants()}"),
-    "k12_edge_oversample": (edge_oversample, f"""WITH {MSG}, {RAW}, w AS (SELECT msg_id, {_TAGW} AS weight FROM merch), x AS (SELECT msg_id, weight * (5000 / (SELECT sum(weight) FROM w)) AS e FROM w)
+    "k12_edge_oversample": (edge_oversample, f"""WITH {MSG}, {RAW}, w AS (SELECT msg_id, {_TAGW} AS weight FROM merch), x AS (SELECT msg_id, weight * ((SELECT count(*) FROM w) / (SELECT sum(weight) FROM w)) AS e FROM w)
 SELECT msg_id, copies FROM (SELECT msg_id, (floor(e) + ({_hash('msg_id', '42')} < e - floor(e))::INT)::BIGINT AS copies FROM x) WHERE copies > 0"""),
     "k14_masked": (masked, f"WITH {MSG} SELECT msg_id, {_masked()} AS masked FROM msg"),
     "k2_weighted_choice": (weighted_choice, f"SELECT o_orderkey, CASE WHEN {_hash('o_orderkey', 'choice')} < 0.6 THEN 'plain' WHEN {_hash('o_orderkey', 'choice')} < 0.9 THEN 'short' ELSE 'long' END AS kind FROM orders"),

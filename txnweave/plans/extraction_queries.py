@@ -218,7 +218,7 @@ def name_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def mail_classes(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d)
-    out = m.select("msg_id", *[c.alias(k) for k, c in lookup.classify_mail(F.col("subject"), F.col("sender"), F.col("text")).items()])
+    out = lookup.with_mail_class(m.select("msg_id", "subject", "sender", "text"), "subject", "sender", "text").drop("subject", "sender", "text")
     return out.select("*", ((F.col("category") == "finance") | F.col("is_transaction")).alias("is_financial")).drop("reason")
 
 

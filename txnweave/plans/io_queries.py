@@ -39,31 +39,46 @@ def _write_exports(m: DataFrame, row, path: str) -> None:
 
 
 def xml_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Two exports, one with each of the known tags."""
     path = new_folder(spark, "xml")
+    m = _text(spark, d)
+    _write_xml(m.where("msg_id % 2 = 0"), f"{path}/a", "sms")
+    _write_xml(m.where("msg_id % 2 = 1"), f"{path}/b", "message")
+    return sources.read_sms_xml(spark, f"{path}/*")
+
+
+def _write_xml(m: DataFrame, path: str, tag: str) -> None:
     millis = F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("000"))
-    m = _text(spark, d).select(F.col("sender").alias("_address"), millis.alias("_date"), F.col("text").alias("_body"), F.lit("x").alias("kind"))
-    m.write.format("xml").option("rowTag", "sms").option("rootTag", "smses").save(path)
-    return sources.read_sms_xml(spark, path)
+    m = m.select(F.col("sender").alias("_address"), millis.alias("_date"), F.col("text").alias("_body"), F.lit("x").alias("kind"))
+    m.write.format("xml").option("rowTag", tag).option("rootTag", "smses").save(path)
 
 
 def mbox_scan(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "mbox")
+    _write_mails(_text(spark, d), path)
+    return sources.read_mbox(spark, path)
+
+
+def _write_mails(m: DataFrame, path: str) -> None:
     date = F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss")
     mail = F.concat(
         F.lit("From x\nDate: "), date, F.lit(" +0000\nFrom: =?utf-8?q?"), "sender", F.lit("?=\nSubject: "), "subject", F.lit("\nMIME-Version: 1.0\nContent-Type: "),
         F.when(F.col("variant") % 2 == 0, "text/plain").otherwise("text/html"), F.lit("; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"),
         F.base64(F.when(F.col("variant") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("<p>"), "text", F.lit("</p>"))).cast("binary")),
     )
-    _text(spark, d).select(mail.alias("value")).write.text(path)
-    return sources.read_mbox(spark, path)
+    m.select(mail.alias("value")).write.text(path)
 
 
 def unified(spark: SparkSession, d: str) -> DataFrame:
+    """Every message in one of the four formats, every fifth in a second one."""
     root = new_folder(spark, "unify")
     m = _text(spark, d)
-    m.where("msg_id % 2 = 0").select(F.date_format("ts", "yyyy").alias("Date"), "sender", F.col("text").alias("SMS")).write.option("header", True).option("escape", '"').csv(f"{root}/csv")
-    _write_exports(m.where("msg_id % 3 = 0"), F.struct(F.date_format("ts", "yyyy").alias("date"), F.col("sender").alias("address"), F.col("text").alias("message")), f"{root}/json")
-    return sources.unify(spark, root, ("csv", "json")).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("body").alias("bodies"))
+    of = lambda i: m.where((F.col("msg_id") % 4 == i) | (F.col("msg_id") % 5 == i))
+    of(0).select(F.date_format("ts", "yyyy").alias("Date"), "sender", F.col("text").alias("SMS")).write.option("header", True).option("escape", '"').csv(f"{root}/csv")
+    _write_exports(of(1), F.struct(F.date_format("ts", "yyyy").alias("date"), F.col("sender").alias("address"), F.col("text").alias("message")), f"{root}/json")
+    _write_xml(of(2), f"{root}/xml", "message")
+    _write_mails(of(3), f"{root}/mbox")
+    return sources.unify(spark, root).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("body").alias("bodies"))
 
 
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -139,15 +154,18 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     last.write.mode("append").parquet(f"{root}/in")
     streaming.run_once(spark, streaming.live_counts(stream), f"{root}/out", f"{root}/ck")
     out = spark.read.parquet(f"{root}/out").where("event_type != 'end'")
-    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "event_type", "n", "total")
+
+
+def stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals since the start, from the windows."""
+    return streaming.totals(stream_counts(spark, d))
 
 
 def stream_fan_out(spark: SparkSession, d: str) -> DataFrame:
     stream, root = _stream(spark, d, "fan")
-    folders = {k: f"{root}/{k}" for k in ("keep", "garbage", "uncertain")}
-    streaming.fan_out(routing.with_class(stream), folders, f"{root}/ck")
-    parts = [spark.read.parquet(p).groupBy(F.lit(k).alias("folder")).agg(F.count("*").alias("n")) for k, p in folders.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    streaming.fan_out(routing.with_class(stream), f"{root}/out", f"{root}/ck")
+    return spark.read.parquet(f"{root}/out").groupBy(F.col("classification").alias("folder")).agg(F.count("*").alias("n"))
 
 
 def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +191,7 @@ QUERIES = {
     "a4_json_scan": (json_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%d') AS timestamp, sender, CASE WHEN variant = 3 THEN 'Transaction: Rs.' || msg_id || ' to ' || sender ELSE text END AS body, 'json' AS source FROM msg"),
     "a6_xml_scan": (xml_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, sender, text AS body, 'xml' AS source FROM msg"),
     "a1_mbox_scan": (mbox_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, sender, text AS body, 'mbox' AS source, subject FROM msg"),
-    "a7_unify": (unified, f"""WITH {MSG}, u AS (SELECT text, 'csv' AS source FROM msg WHERE msg_id % 2 = 0 UNION ALL SELECT text, 'json' FROM msg WHERE msg_id % 3 = 0),
+    "a7_unify": (unified, f"""WITH {MSG}, u AS ({" UNION ALL ".join(f"SELECT text, '{k}' AS source FROM msg WHERE msg_id % 4 = {i} OR msg_id % 5 = {i}" for i, k in enumerate(("csv", "json", "xml", "mbox")))}),
 f AS (SELECT text, min(source) AS source FROM u GROUP BY text) SELECT source, count(*) AS n, count(DISTINCT text) AS bodies FROM f GROUP BY ALL"""),
     "a13_jsonl": (jsonl_round_trip, f"WITH {MSG} SELECT text AS input, msg_id::VARCHAR AS output FROM msg"),
     "a11_lines": (line_scan, f"WITH {MSG} SELECT text, count(*) AS n FROM msg GROUP BY ALL"),
@@ -186,7 +204,8 @@ SELECT doc_id, n_lines, chars, coalesce(n_sections, 0) AS n_sections FROM a LEFT
 SELECT source, count(*) AS docs FROM u WHERE len(regexp_extract_all(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,!?;:''"()\[\]₹$%/@#&*+=<>-]', '', 'g')), '[^ ]+')) >= 10 GROUP BY ALL"""),
     "l1_stream_extract": (stream_extract, f"WITH {MSG}, {SCORED}, {CLASSED} SELECT classification, confidence, count(*) AS n, count(amount) AS n_amount FROM done JOIN classed USING (msg_id) GROUP BY ALL"),
     "l2_stream_dedup": (stream_dedup, f"WITH {MSG} SELECT count(DISTINCT lower(text)) AS n, count(DISTINCT lower(text)) AS keys FROM msg"),
-    "l3_stream_counts": (stream_counts, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "l3_stream_counts": (stream_counts, "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "l3_stream_totals": (stream_totals, "SELECT event_type, sum(n)::BIGINT AS n, round(sum(total), 4) AS total FROM (SELECT date_trunc('minute', ts) AS m, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) GROUP BY ALL"),
     "l4_stream_incremental": (stream_incremental, f"WITH {MSG} SELECT count(*) + count_if(msg_id % 7 = 0)::BIGINT AS n, count(DISTINCT msg_id) AS ids FROM msg"),
     "l5_stream_fan_out": (stream_fan_out, f"WITH {MSG}, {CLASSED} SELECT classification AS folder, count(*) AS n FROM classed GROUP BY ALL"),
 }

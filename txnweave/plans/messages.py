@@ -87,4 +87,10 @@ def render(fact: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(facts(spark.read.parquet(f"{sf_dir}/orders.parquet")))
+    return render(facts(spread(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"))))
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores is dealt over all of them: here rendering is the work, not reading."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

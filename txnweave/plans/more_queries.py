@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import extract as X
-from ..functions import jsonx, sql
+from ..functions import jsonx, normalize, sql
 from ..functions.patterns import first_label
 from ..operators import datasets as D
 from ..operators import routing
 from ..scratch import new_folder
 from .dataset_queries import _AUTO, _PAIRS, _hash, _pairs, auto_labels
-from .extraction_queries import _STRICT, CLASSED
+from .extraction_queries import _STRICT, CLASSED, RAW
 from .messages import messages
-from .oracle_base import MSG, in_order
+from .oracle_base import MSG, digits_only, has_any, in_order, norm_date
 from .oracle_base import first_label as sql_label
 
 
 def text_folder(spark: SparkSession, d: str) -> DataFrame:
-    """One file for each document of a language, read as whole texts."""
+    """One file for each document, read as whole texts."""
     path = new_folder(spark, "texts")
-    x = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'es'")
-    x.select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\x01").text(path)
+    x = spark.read.parquet(f"{d}/documents.parquet")
+    x.select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\x01").text(path)
     back = sources.read_text_folder(spark, path)
     return back.select(F.sha2(F.regexp_replace("text", "\x01$", ""), 256).alias("digest"))
 
@@ -33,24 +33,20 @@ def labeled_rows(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "rows")
     m = messages(spark, d).select(F.floor(F.col("msg_id") / 500).alias("pack"), F.struct(F.col("text").alias("raw_text"), F.when(F.col("msg_id") % 2 == 0, F.col("true_bank")).alias("bank")).alias("row"))
     m.groupBy("pack").agg(F.collect_list("row").alias("rows")).select(F.to_json(F.struct("rows")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    rows = spark.read.option("multiLine", True).json(path).select(F.explode("rows").alias("r"))
-    out = rows.select(F.coalesce("r.bank", F.lit("unknown")).alias("bank"), F.col("r.raw_text").alias("raw_text"), F.lit(False).alias("labeled"))
-    return out.groupBy("bank", "labeled").agg(F.count("*").alias("n"), F.count_distinct("raw_text").alias("texts"))
+    return sources.read_labeled_rows(spark, path).groupBy("bank", "labeled").agg(F.count("*").alias("n"), F.count_distinct("raw_text").alias("texts"))
 
 
 def corpus_export(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "export")
-    x = spark.read.parquet(f"{d}/documents.parquet")
-    x.select("text", "source", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.size(F.split("text", " ")).alias("word_count")).write.json(path)
-    back = sources.read_jsonl(spark, path, "text string, source string, metadata map<string,string>, word_count int")
-    return back.groupBy(F.col("metadata")["lang"].alias("lang")).agg(F.count("*").alias("n"), F.sum("word_count").alias("words"))
+    sources.write_corpus(spark.read.parquet(f"{d}/documents.parquet").select("text", "source", "lang"), path)
+    back = sources.read_jsonl(spark, path, "text string, source string, metadata string, word_count int")
+    return back.groupBy(F.get_json_object("metadata", "$.lang").alias("lang")).agg(F.count("*").alias("n"), F.sum("word_count").alias("words"))
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "report")
     sources.write_report(messages(spark, d).groupBy("true_bank").agg(F.count("*").alias("n")), path)
-    back = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<true_bank string, n long>>")).alias("r"))
-    return back.select("r.*")
+    return spark.read.schema("true_bank string, n long").json(path)
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -92,18 +88,13 @@ def classify_response(spark: SparkSession, d: str) -> DataFrame:
     """A model's class answer: only known classes count."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     said = F.element_at(F.array(F.lit('{"category": "Finance", "reason": "x"}'), F.lit('I think {"category": "sports"}'), F.lit("none")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    got = F.lower(jsonx.get(jsonx.parse_with_fallbacks(said), "category"))
-    known = F.when(got.isin("finance", "shopping", "work", "newsletter", "promotional", "social"), got).otherwise("other")
-    return o.select(F.coalesce(known, F.lit("other")).alias("category")).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("category") == "finance").alias("transactions"))
+    return o.select(jsonx.class_answer(said).alias("category")).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("category") == "finance").alias("transactions"))
 
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
     """Phrases joined, blanks and punctuation tidied."""
-    m = messages(spark, d)
-    raw = F.concat_ws(" ", F.lit("Rs. {a} "), F.when(F.col("true_type") == "debit", "debited ,").otherwise("noted ,"), F.lit(" at  {s} ."))
-    text = F.replace(F.replace(raw, F.lit("{a}"), F.format_string("%.2f", "true_amount")), F.lit("{s}"), F.col("shop"))
-    tidy = F.regexp_replace(F.regexp_replace(text, " +", " "), r" ([.,])", "$1")
-    return m.select("msg_id", F.trim(tidy).alias("message"))
+    phrases = [F.lit("Rs. {a} "), F.when(F.col("true_type") == "debit", "debited ,").otherwise("noted ,"), F.lit(" at  {s} .")]
+    return messages(spark, d).select("msg_id", D.assemble(phrases, {"a": F.format_string("%.2f", "true_amount"), "s": F.col("shop")}).alias("message"))
 
 
 def export_verified(spark: SparkSession, d: str) -> DataFrame:
@@ -126,9 +117,12 @@ def benchmark_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions over what was extracted from each message."""
     sql.register(spark)
-    messages(spark, d).select("msg_id", "text").createOrReplaceTempView("txn_messages")
-    return spark.sql("SELECT msg_id, txn_amount('Rs. 1,250.50') AS amount, txn_account('XX-' || msg_id) AS account, txn_reference(' r/' || msg_id) AS reference, txn_vpa('A@YBL') AS vpa FROM txn_messages")
+    m = X.extract(messages(spark, d).select("msg_id", "text", "true_amount"))
+    m.select("msg_id", "text", F.concat(F.lit("Rs. "), F.format_number("true_amount", 2)).alias("money"), "account", "date", "reference", "vpa").createOrReplaceTempView("txn_messages")
+    return spark.sql("""SELECT msg_id, txn_amount(money) AS amount, txn_account(concat('XX-', account)) AS account, txn_reference(concat(' r/', reference)) AS reference, txn_vpa(upper(vpa)) AS vpa,
+        txn_date(date) AS date, txn_merchant(concat('Paid to ', vpa)) AS merchant, txn_type(text) AS type FROM txn_messages""")
 
 
 def table_function(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +135,7 @@ _DATES = " UNION ALL ".join(
     f"SELECT {n} AS priority, unnest(regexp_extract_all(text, '(?i){p}', 1)) AS value FROM msg" for p, n in X.rules.DATE
 )
 QUERIES = {
-    "a8_text_folder": (text_folder, "SELECT sha256(text) AS digest FROM documents WHERE lang = 'es'"),
+    "a8_text_folder": (text_folder, "SELECT sha256(coalesce(text, '')) AS digest FROM documents"),
     "a10_labeled_rows": (labeled_rows, f"WITH {MSG} SELECT CASE WHEN msg_id % 2 = 0 THEN true_bank ELSE 'unknown' END AS bank, false AS labeled, count(*) AS n, count(DISTINCT text) AS texts FROM msg GROUP BY ALL"),
     "a15_corpus_export": (corpus_export, "SELECT lang, count(*) AS n, sum(len(string_split(text, ' ')))::BIGINT AS words FROM documents GROUP BY ALL"),
     "a14_report": (report, f"WITH {MSG} SELECT true_bank, count(*) AS n FROM msg GROUP BY ALL"),
@@ -158,6 +152,7 @@ CASE WHEN o_orderkey % 2 = 0 THEN 'Ref: ' || o_orderkey END) AS sentence FROM or
 CASE WHEN contains(lower(text), 'debited') THEN 'debit' WHEN contains(lower(text), 'credited') THEN 'credit' END AS type, {in_order('text', X.STRICT_REFERENCE)} AS reference FROM msg WHERE {_STRICT}),
 o AS (SELECT *, row_number() OVER (PARTITION BY bank, reference ORDER BY msg_id) AS k FROM x WHERE bank IS NOT NULL AND amount IS NOT NULL AND type IS NOT NULL AND reference IS NOT NULL),
 s AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM o WHERE k = 1) SELECT msg_id, bank, amount, type, reference FROM s WHERE r <= 15"""),
-    "m5_sql_functions": (sql_functions, "SELECT o_orderkey AS msg_id, 1250.5::DOUBLE AS amount, o_orderkey::VARCHAR AS account, 'r' || o_orderkey AS reference, 'a@ybl' AS vpa FROM orders"),
+    "m5_sql_functions": (sql_functions, f"""WITH {MSG}, {RAW} SELECT msg_id, true_amount AS amount, {digits_only('account')} AS account, 'r' || regexp_replace(reference, '[^A-Za-z0-9]', '', 'g') AS reference, CASE WHEN contains(vpa, '@') THEN lower(vpa) END AS vpa,
+{norm_date('date')} AS date, vpa AS merchant, CASE WHEN {has_any('lower(text)', normalize.DEBIT_WORDS)} THEN 'debit' WHEN {has_any('lower(text)', normalize.CREDIT_WORDS)} THEN 'credit' END AS type FROM raw"""),
     "m5_table_function": (table_function, f"WITH {MSG}, m AS ({_DATES}) SELECT priority, count(*) AS n, count(DISTINCT value) AS n_values FROM m GROUP BY ALL"),
 }

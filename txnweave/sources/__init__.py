@@ -10,6 +10,7 @@ import email.header
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,13 +46,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _unified(spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path), "csv")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of messages, or an object that holds one under a known name; rows with an amount become sentences."""
-    raw = spark.read.option("multiLine", True).json(path)
-    for name in ("messages", "transactions", "items", "data"):
-        if name in raw.columns:
-            raw = raw.select(F.explode(name).alias("x")).select("x.*")
-            break
+#: Names under which an object holds its messages, in order.
+WRAPPERS = ["messages", "transactions", "items", "data"]
+
+
+def _json_rows(raw: DataFrame) -> DataFrame:
     if "amount" in raw.columns:
         who = F.lit("unknown")
         if "merchant" in raw.columns:
@@ -62,10 +61,33 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return _unified(raw, "json")
 
 
-def read_sms_xml(spark: SparkSession, path: str, tag: str = "sms") -> DataFrame:
-    """<sms address date body/> exports."""
-    raw = spark.read.format("xml").option("rowTag", tag).load(path)
-    return _unified(raw.toDF(*[c.lstrip("_") for c in raw.columns]), "xml")
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Lists of messages, and objects that hold one under a known name, each file its own way; rows with an amount become sentences."""
+    raw = spark.read.option("multiLine", True).json(path)
+    names = [n for n in WRAPPERS if n in raw.columns and raw.schema[n].dataType.typeName() == "array"]
+    plain = raw.where(reduce(lambda a, b: a & b, [F.col(n).isNull() for n in names], F.lit(True))).drop(*names)
+    parts = [_json_rows(plain)]
+    for i, name in enumerate(names):
+        mine = raw.where(reduce(lambda a, b: a & b, [F.col(n).isNull() for n in names[:i]], F.col(name).isNotNull()))
+        parts.append(_json_rows(mine.select(F.explode(name).alias("x")).select("x.*")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_sms_xml(spark: SparkSession, path: str, tags: tuple[str, ...] = ("sms", "message")) -> DataFrame:
+    """<sms address date body/> exports; of a file without the first tag the elements of the next one."""
+    out, before = [], None
+    for tag in tags:
+        raw = spark.read.format("xml").option("rowTag", tag).load(path)
+        if not raw.columns:
+            continue
+        rows = raw.select("*", F.col("_metadata.file_path").alias("__file"))
+        if before is not None:
+            rows = rows.join(before, "__file", "left_anti")
+        seen = raw.select(F.col("_metadata.file_path").alias("__file")).distinct()  # one row a file
+        before = seen if before is None else before.union(seen)
+        rows = rows.drop("__file")
+        out.append(_unified(rows.toDF(*[c.lstrip("_") for c in rows.columns]), "xml"))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "timestamp string, sender string, body string, source string")
 
 
 def _header(value: str | None) -> str:
@@ -176,8 +198,22 @@ def write_training_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """An aggregate as one JSON document."""
-    df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).write.text(path)
+    """An aggregate as JSON, one object a line: no row passes through another's task."""
+    df.write.json(path)
+
+
+def read_labeled_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(bank, raw_text, labeled) of documents {rows: [...]}, with defaults for keys that are not there."""
+    rows = spark.read.option("multiLine", True).schema("rows array<struct<bank string, raw_text string, labeled boolean>>").json(path).select(F.explode("rows").alias("r"))
+    return rows.select(F.coalesce("r.bank", F.lit("unknown")).alias("bank"), F.coalesce("r.raw_text", F.lit("")).alias("raw_text"), F.coalesce("r.labeled", F.lit(False)).alias("labeled"))
+
+
+def write_corpus(df: DataFrame, path: str, plain: bool = False) -> None:
+    """Corpus rows (text, source, ...) as JSON lines; ``plain``: the texts alone, a blank line after each."""
+    if plain:
+        df.select(F.concat("text", F.lit("\n")).alias("value")).write.text(path)
+    else:
+        df.select("text", "source", F.to_json(F.struct(*[c for c in df.columns if c not in ("text", "source", "word_count")])).alias("metadata"), F.size(F.split("text", " ")).alias("word_count")).write.json(path)
 
 
 def write_routed(df: DataFrame, path: str) -> None:

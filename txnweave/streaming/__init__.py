@@ -20,11 +20,16 @@ def drop_repeats(messages: DataFrame, time_col: str = "ts", delay: str = "10 day
     return keyed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["content_key"])
 
 
-def live_counts(events: DataFrame, time_col: str = "ts", width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+def live_counts(events: DataFrame, time_col: str = "ts", width: str = "1 minute", delay: str = "2 hours") -> DataFrame:
     """Counts in tumbling windows."""
     return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def totals(counts: DataFrame) -> DataFrame:
+    """Since the start, over the windows that have been written."""
+    return counts.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
 def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, mode: str = "append", partition_by: str | None = None) -> None:
     """Process what is there and stop; a later call goes on where this one ended."""
     writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -32,11 +37,13 @@ def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str,
     query.awaitTermination()
 
 
-def fan_out(stream: DataFrame, folders: dict[str, str], checkpoint: str) -> None:
-    """Each batch's keep, garbage and uncertain rows to their own folders."""
+def fan_out(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Each batch's keep, garbage and uncertain rows to their own folders, classification=... in the batch's own folder, in one pass.
+
+    A batch that runs again overwrites what it wrote before, so no row is there twice.
+    """
+    stream.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, _: int) -> None:
-        for kind, path in folders.items():
-            batch.where(F.col("classification") == kind).write.mode("append").parquet(path)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def write_batch(batch: DataFrame, number: int, out: str) -> None:
+    batch.write.mode("overwrite").partitionBy("classification").parquet(f"{out}/batch={number}")
