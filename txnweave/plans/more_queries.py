@@ -14,7 +14,7 @@ from ..operators import routing
 from ..scratch import new_folder
 from .dataset_queries import _AUTO, _PAIRS, _hash, _pairs, auto_labels
 from .extraction_queries import _STRICT, CLASSED, RAW
-from .messages import messages
+from .messages import messages, spread
 from .oracle_base import MSG, digits_only, has_any, in_order, norm_date
 from .oracle_base import first_label as sql_label
 
@@ -22,7 +22,7 @@ from .oracle_base import first_label as sql_label
 def text_folder(spark: SparkSession, d: str) -> DataFrame:
     """One file for each document, read as whole texts."""
     path = new_folder(spark, "texts")
-    x = spark.read.parquet(f"{d}/documents.parquet")
+    x = spread(spark, spark.read.parquet(f"{d}/documents.parquet"))
     x.select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\x01").text(path)
     back = sources.read_text_folder(spark, path)
     return back.select(F.sha2(F.regexp_replace("text", "\x01$", ""), 256).alias("digest"))
