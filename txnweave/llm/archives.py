@@ -228,7 +228,7 @@ def write_arc(spark: SparkSession, pages: DataFrame, out: str, version: int) ->
     """ARC files of one version. pages: page_id, url, html (string)."""
     given = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("binary"))
     records = _dealt(spark, given)[0].mapInArrow(_arc_rows(version, "pages"), "record binary")
-    records.select(F.col("record").cast("string")).write.mode("append").option("compression", "gzip").option("lineSep", "\n").text(out)
+    records.select(F.col("record").cast("string")).write.mode("append").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(out)
 
 
 def read_archives(spark: SparkSession, path: str, pattern: str = "*.txt.gz") -> DataFrame:
