@@ -51,9 +51,12 @@ def plain_line_dedup(rows):
         form = tuple(x if x != "<*>" and counts[leaf, p, x] >= line_dedup.MIN_DOCS else "<*>" for p, x in enumerate(m))
         if sum(x != "<*>" for x in form) >= line_dedup.MIN_CONSTANT * len(form):
             groups[leaf, form].append((i, t, no, d))
+        elif len(w) >= line_dedup.LONG_TOKENS:
+            groups[leaf, " ".join(w)].append((i, t, no, d))
     gone = collections.defaultdict(set)
-    for members in groups.values():
-        if len({(i, t) for i, t, _, _ in members}) >= line_dedup.MIN_DOCS:
+    for (leaf, _), members in groups.items():
+        enough = line_dedup.LONG_DOCS if leaf[0] >= line_dedup.LONG_TOKENS else line_dedup.MIN_DOCS
+        if len({(i, t) for i, t, _, _ in members}) >= enough:
             first = min((x[:3] for x in members), key=lambda x: (x[0] is not None, x[0] or 0))
             for i, t, no, d in members:
                 if (i, t, no) != first:
@@ -77,6 +80,15 @@ def test_line_dedup_alone_and_empty(spark, empty):
     assert {r.text for r in line_dedup.drop_recurring_lines(spark, few).collect()} == {"a b c d\nq", "a b c d"}
 
 
+def test_line_dedup_long_passages(spark):
+    """A passage of fifty tokens or more goes from the second of two documents, a shorter one stays; other numbers are another passage."""
+    passage = lambda n, mark="x": " ".join(f"{mark}{i}" if i % 2 else f"w{'abcdefgh'[i % 8]}" for i in range(n))
+    rows = [(1, "own one\n" + passage(60)), (2, passage(60) + "\nown two"), (3, "own three\n" + passage(60, "y")), (4, passage(49)), (5, passage(49) + "\nown five")]
+    got = [(r.doc_id, r.text) for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    same(got, plain_line_dedup(rows))
+    assert dict(got) == {**dict(rows), 2: "own two"}
+
+
 def test_line_dedup_names(spark):
     """Columns with the operator's own names."""
     names = ["__id", "__key", "__no", "id", "key", "no", "k", "lines", "c0", "leaf", "__n_lines", "text"]

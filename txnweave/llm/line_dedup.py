@@ -11,6 +11,10 @@ order-free form of the parse: token counts replace one-by-one matching against
 the groups of a leaf, so the same input gives the same templates in any order
 and on any number of executors.
 
+A line of at least ``long_tokens`` tokens is a passage of its own: two documents are
+enough for its template, and where too few of its positions are constant, the
+template is the line's own tokens.
+
 The first line of a recurring template stays (smallest document id, then line
 number), all its other lines are dropped. Lines of fewer than ``min_tokens``
 tokens are too short to tell a template from chance and always stay.
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 DEPTH, MIN_DOCS, MIN_CONSTANT, MIN_TOKENS = 3, 3, 0.7, 4
+LONG_TOKENS, LONG_DOCS = 50, 2
 WILD = "<*>"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -56,13 +61,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth:
     return lines.select("id", "key", "no", "n", "leaf", F.xxhash64("line").alias("exact"), "line")
 
 
-def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """(id, key, no, docs, first): every line of a recurring template."""
     depth = min(depth, min_tokens)
+    long = F.col("n") >= long_tokens
+    enough = F.when(long, LONG_DOCS).otherwise(min_docs)
     # Tokenised once; all that follows reads this table.
     every = materialize(spark, _lines(docs, id_col, text_col, min_tokens, depth), "lines")
     # Leaves that enough lines share. What is alone in its leaf needs no template.
-    shared = every.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
+    shared = every.groupBy("leaf", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("leaf")
     busy = every.groupBy("leaf", "exact").agg(F.count("*").alias("c")).join(shared, "leaf", "left_semi")
     # Aggregated before the join: a line that many documents share is one row a task.
     texts = every.groupBy("leaf", "exact").agg(F.first("line").alias("line"))
@@ -77,14 +84,16 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     forms = fixed.groupBy("leaf", "exact").agg(F.count("*").alias("constant"), F.bit_xor(F.xxhash64("p", "token")).alias("x"), F.sum(F.xxhash64("token", "p") % 1000000007).alias("y"))
     heads = F.size(F.filter(F.slice(tokens, 1, depth), lambda t: ~t.rlike("[0-9]")))
     sizes = distinct.select("leaf", "exact", F.size(tokens).alias("n"), heads.alias("heads"))
-    forms = sizes.join(forms, ["leaf", "exact"], "left").where(F.col("heads") + F.coalesce("constant", F.lit(0)) >= min_constant * F.col("n"))
     none = F.lit(0).cast("long")
-    forms = forms.select("leaf", "exact", F.xxhash64(F.coalesce("x", none), F.coalesce("y", none), F.coalesce("constant", none)).alias("form"))
+    template = F.xxhash64(F.coalesce("x", none), F.coalesce("y", none), F.coalesce("constant", none))
+    known = F.col("heads") + F.coalesce("constant", F.lit(0)) >= min_constant * F.col("n")
+    forms = sizes.join(forms, ["leaf", "exact"], "left").where(known | long)
+    forms = forms.select("leaf", "exact", F.when(known, template).otherwise(F.xxhash64("exact", F.lit("itself"))).alias("form"))
     forms = materialize(spark, forms, "line-forms")
-    found = materialize(spark, every.select("id", "key", "no", "leaf", "exact").join(forms, ["leaf", "exact"]).select("id", "key", "no", "leaf", "form"), "line-templates")
+    found = materialize(spark, every.select("id", "key", "no", "n", "leaf", "exact").join(forms, ["leaf", "exact"]).select("id", "key", "no", "n", "leaf", "form"), "line-templates")
     order = F.struct(F.col("id"), F.col("key"), F.col("no"))
-    per_doc = found.groupBy("leaf", "form", "id", "key").agg(F.min("no").alias("no"))
-    totals = per_doc.groupBy("leaf", "form").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
+    per_doc = found.groupBy("leaf", "n", "form", "id", "key").agg(F.min("no").alias("no"))
+    totals = per_doc.groupBy("leaf", "n", "form").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= enough).drop("n")
     # A table of its own: the join then has the lines of a hot template split over tasks.
     totals = materialize(spark, totals, "line-totals")
     return found.join(totals, ["leaf", "form"]).select("id", "key", "no", "docs", (order == F.col("first")).alias("first"))
@@ -126,7 +135,7 @@ WITH l AS (
 ), t AS (
   SELECT doc_id, no, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') AS w FROM l
 ), m AS (
-  SELECT doc_id, no, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS w
+  SELECT doc_id, no, len(w) AS n, array_to_string(w, ' ') AS itself, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS w
   FROM t WHERE len(w) >= {MIN_TOKENS}
 ), leafed AS (
   SELECT *, n || chr(10) || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM m
@@ -139,13 +148,15 @@ WITH l AS (
          string_agg(CASE WHEN c >= {MIN_DOCS} THEN token ELSE '{WILD}' END, ' ' ORDER BY p) AS template
   FROM often GROUP BY ALL
 ), known AS (
-  SELECT doc_id, no, leaf || chr(10) || template AS template FROM form WHERE constant >= {MIN_CONSTANT} * n
+  SELECT doc_id, no, n, CASE WHEN constant >= {MIN_CONSTANT} * n THEN leaf || chr(10) || template ELSE chr(10) || itself END AS template
+  FROM form JOIN (SELECT doc_id, no, itself FROM leafed) USING (doc_id, no)
+  WHERE constant >= {MIN_CONSTANT} * n OR n >= {LONG_TOKENS}
 ), ranked AS (
-  SELECT doc_id, no, row_number() OVER (PARTITION BY template ORDER BY doc_id, no) AS r,
+  SELECT doc_id, no, n, row_number() OVER (PARTITION BY template ORDER BY doc_id, no) AS r,
          count(DISTINCT doc_id) OVER (PARTITION BY template) AS docs
   FROM known
 ), gone AS (
-  SELECT doc_id, no FROM ranked WHERE docs >= {MIN_DOCS} AND r > 1
+  SELECT doc_id, no FROM ranked WHERE docs >= CASE WHEN n >= {LONG_TOKENS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AND r > 1
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256
 FROM documents d LEFT JOIN (
