@@ -53,8 +53,17 @@ def plain_line_dedup(rows):
             groups[leaf, form].append((i, t, no, d))
         elif len(w) >= line_dedup.LONG_TOKENS:
             groups[leaf, " ".join(w)].append((i, t, no, d))
+    sizes, shared = collections.Counter(), collections.Counter()
+    for i, t, _, n in {(i, t, no, len(w)) for _, i, t, no, _, w, _ in lines}:
+        sizes[i, t] += n
+    pair = lambda leaf, members: frozenset((i, t) for i, t, _, _ in members) if leaf[0] >= line_dedup.LONG_TOKENS else frozenset()
+    for (leaf, _), members in groups.items():
+        shared[pair(leaf, members)] += leaf[0]
     gone = collections.defaultdict(set)
     for (leaf, _), members in groups.items():
+        two = pair(leaf, members)
+        if len(two) == line_dedup.LONG_DOCS and line_dedup.VERSION * shared[two] >= min(sizes[x] for x in two):
+            continue
         enough = line_dedup.LONG_DOCS if leaf[0] >= line_dedup.LONG_TOKENS else line_dedup.MIN_DOCS
         if len({(i, t) for i, t, _, _ in members}) >= enough:
             first = min((x[:3] for x in members), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -83,10 +92,14 @@ def test_line_dedup_alone_and_empty(spark, empty):
 def test_line_dedup_long_passages(spark):
     """A passage of fifty tokens or more goes from the second of two documents, a shorter one stays; other numbers are another passage."""
     passage = lambda n, mark="x": " ".join(f"{mark}{i}" if i % 2 else f"w{'abcdefgh'[i % 8]}" for i in range(n))
-    rows = [(1, "own one\n" + passage(60)), (2, passage(60) + "\nown two"), (3, "own three\n" + passage(60, "y")), (4, passage(49)), (5, passage(49) + "\nown five")]
+    own = lambda i: "\n".join(f"line {j} of {i} says {chr(97 + i)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(40))
+    rows = [(1, own(1) + "\n" + passage(60)), (2, passage(60) + "\n" + own(2)), (3, own(3) + "\n" + passage(60, "y")), (4, own(4) + "\n" + passage(49)), (5, passage(49) + "\n" + own(5))]
+    # Two versions of one document; a null id and a repeated row.
+    rows += [(6, "six " * 8 + "\n" + passage(90, "z")), (7, "seven " * 9 + "\n" + passage(90, "z")), (None, own(8) + "\n" + passage(55, "q")), (9, own(9) + "\n" + passage(55, "q")), (9, own(9) + "\n" + passage(55, "q"))]
     got = [(r.doc_id, r.text) for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     same(got, plain_line_dedup(rows))
-    assert dict(got) == {**dict(rows), 2: "own two"}
+    texts = dict(got)
+    assert [i for i, t in rows if texts[i] != t] == [2, 9, 9] and passage(60) not in texts[2] and passage(55, "q") not in texts[9]
 
 
 def test_line_dedup_names(spark):

@@ -13,7 +13,11 @@ and on any number of executors.
 
 A line of at least ``long_tokens`` tokens is a passage of its own: two documents are
 enough for its template, and where too few of its positions are constant, the
-template is the line's own tokens.
+template is the line's own tokens. Where exactly two documents have it, it goes
+unless the long lines that these two alone share hold a third or more of the
+words (in lines of at least ``min_tokens``) of either: then one is a version of
+the other, which is for the comparison of whole documents to settle, and taking
+its lines away would hide that.
 
 The first line of a recurring template stays (smallest document id, then line
 number), all its other lines are dropped. Lines of fewer than ``min_tokens``
@@ -39,6 +43,8 @@ from .common import documents, materialize
 
 DEPTH, MIN_DOCS, MIN_CONSTANT, MIN_TOKENS = 3, 3, 0.7, 4
 LONG_TOKENS, LONG_DOCS = 50, 2
+#: Two documents that share so large a part (one in VERSION) of the words of either are versions of each other.
+VERSION = 3
 WILD = "<*>"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -61,6 +67,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth:
     return lines.select("id", "key", "no", "n", "leaf", F.xxhash64("line").alias("exact"), "line")
 
 
+def _without_versions(every: DataFrame, totals: DataFrame) -> DataFrame:
+    """``totals`` without the templates of two documents that are versions of each other."""
+    pairs = totals.where(F.col("docs") == LONG_DOCS).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    placed = every.select(F.struct("id", "key").alias("doc"), "no", "n").join(sides, "doc", "left_semi")
+    sizes = placed.distinct().groupBy("doc").agg(F.sum("n").alias("words"))
+    both = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("words").alias("wa")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("words").alias("wb")), "b")
+    versions = both.where(VERSION * F.col("shared") >= F.least("wa", "wb")).select("a", "b", F.lit(LONG_DOCS).cast("long").alias("docs"))
+    return totals.join(versions, ["a", "b", "docs"], "left_anti")
+
+
 def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """(id, key, no, docs, first): every line of a recurring template."""
     depth = min(depth, min_tokens)
@@ -93,9 +110,11 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     found = materialize(spark, every.select("id", "key", "no", "n", "leaf", "exact").join(forms, ["leaf", "exact"]).select("id", "key", "no", "n", "leaf", "form"), "line-templates")
     order = F.struct(F.col("id"), F.col("key"), F.col("no"))
     per_doc = found.groupBy("leaf", "n", "form", "id", "key").agg(F.min("no").alias("no"))
-    totals = per_doc.groupBy("leaf", "n", "form").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= enough).drop("n")
+    doc = F.struct("id", "key")
+    totals = per_doc.groupBy("leaf", "n", "form").agg(F.count("*").alias("docs"), F.min(order).alias("first"), F.min(doc).alias("a"), F.max(doc).alias("b")).where(F.col("docs") >= enough)
+    totals = materialize(spark, totals, "line-recurring")
     # A table of its own: the join then has the lines of a hot template split over tasks.
-    totals = materialize(spark, totals, "line-totals")
+    totals = materialize(spark, _without_versions(every, totals).select("leaf", "form", "docs", "first"), "line-totals")
     return found.join(totals, ["leaf", "form"]).select("id", "key", "no", "docs", (order == F.col("first")).alias("first"))
 
 
@@ -152,11 +171,19 @@ WITH l AS (
   FROM form JOIN (SELECT doc_id, no, itself FROM leafed) USING (doc_id, no)
   WHERE constant >= {MIN_CONSTANT} * n OR n >= {LONG_TOKENS}
 ), ranked AS (
-  SELECT doc_id, no, n, row_number() OVER (PARTITION BY template ORDER BY doc_id, no) AS r,
+  SELECT doc_id, no, n, template, row_number() OVER (PARTITION BY template ORDER BY doc_id, no) AS r,
          count(DISTINCT doc_id) OVER (PARTITION BY template) AS docs
   FROM known
+), two AS (
+  SELECT template, n, min(doc_id) AS a, max(doc_id) AS b FROM ranked WHERE docs = {LONG_DOCS} AND n >= {LONG_TOKENS} GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, sum(n) AS words FROM m GROUP BY ALL
+), versions AS (
+  SELECT a, b FROM (SELECT a, b, sum(n) AS shared FROM two GROUP BY ALL) JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE {VERSION} * shared >= least(x.words, y.words)
 ), gone AS (
   SELECT doc_id, no FROM ranked WHERE docs >= CASE WHEN n >= {LONG_TOKENS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AND r > 1
+  AND template NOT IN (SELECT template FROM two SEMI JOIN versions USING (a, b))
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256
 FROM documents d LEFT JOIN (
