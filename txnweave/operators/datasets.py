@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import let
+from . import ranges
 
 
 def unit_hash(key: Column, seed: str) -> Column:
@@ -28,19 +29,12 @@ def split(df: DataFrame, key: str, ratio: float, seed: str = "42") -> DataFrame:
 
 def exact_split(df: DataFrame, key: str, ratio: float, seed: str = "42") -> DataFrame:
     """Exactly floor(n x ratio) train rows, the smallest hashes; the rank is a distributed one."""
-    ranked = global_rank(df.withColumn("__h", unit_hash(F.col(key), seed)), [F.col("__h"), F.col(key)], "__rank")
-    total = df.count()
-    return ranked.withColumn("split", F.when(F.col("__rank") <= int(total * ratio), "train").otherwise("valid")).drop("__h", "__rank")
+    return ranges.exact_split(df, [unit_hash(F.col(key), seed), F.col(key)], ratio)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """1..n in an order, without one task for all rows: ranks within ranges, plus the sizes of earlier ranges."""
-    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    within = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = within.groupBy("__part").agg(F.max("__at").alias("__n"))
-    before = sizes.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    joined = within.join(F.broadcast(before), F.col("__part") == F.col("__p"))
-    return joined.withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__part", "__at", "__p", "__before")
+    """1..n in an order, by ranges that are written once (see ``ranges``)."""
+    return ranges.global_rank(df, order, name)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: str = "42") -> DataFrame:
@@ -254,12 +248,9 @@ def edge_weight(tags: Column) -> Column:
     return F.aggregate(tags, F.lit(1.0), lambda a, t: a * F.coalesce(F.try_element_at(table, t), F.lit(1.0)))
 
 
-def oversample(df: DataFrame, key: str, weight: str, size: int | None = None, seed: str = "42") -> DataFrame:
-    """About ``size`` rows (as many as there are, if not given): each row floor(expected) times, once more by a coin for the rest."""
-    all_ = df.agg(F.sum(weight).alias("total"), F.count("*").alias("n")).first()
-    expected = F.col(weight) * F.lit((all_["n"] if size is None else size) / (all_["total"] or 1.0))
-    times = F.floor(expected) + (unit_hash(F.col(key), seed) < expected - F.floor(expected)).cast("long")
-    return df.withColumn("copies", times).where("copies > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))
+def oversample(df: DataFrame, key: str, weight: str, size: int | None = None) -> DataFrame:
+    """Exactly ``size`` rows (as many as there are, if not given), each row floor or ceil of its expected times."""
+    return ranges.systematic_sample(df, key, F.col(weight), size)
 
 
 def bigrams(df: DataFrame, text_col: str) -> DataFrame:
@@ -270,9 +261,9 @@ def bigrams(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def running_balance(df: DataFrame, account: str, order: list[str], signed: Column, opening: Column) -> DataFrame:
-    """Opening plus the sum of signed amounts so far, for each account."""
-    w = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("balance", opening + F.sum(signed).over(w))
+    """Opening plus the sum of signed amounts so far, for each account; an account of any size is summed in many tasks."""
+    summed = ranges.prefix_sums(df.withColumn("__opening", opening), [account], [F.col(c) for c in order], {"__moved": signed})
+    return summed.withColumn("balance", F.col("__opening") + F.col("__moved")).drop("__opening", "__moved")
 
 
 def evaluate(df: DataFrame, fields: list[str], expected: str, predicted: str) -> DataFrame:

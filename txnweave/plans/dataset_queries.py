@@ -186,8 +186,9 @@ def service_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_ids(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
-    return D.global_rank(o, [F.col("o_orderdate"), F.col("o_orderkey")], "row_id").select("o_orderkey", "row_id")
+    """Numbers in the final order, beside all columns of the rows."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return D.global_rank(o, [F.col("o_orderdate"), F.col("o_orderkey")], "row_id").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "row_id")
 
 
 def running_balance(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +304,8 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_split(spark: SparkSession, d: str) -> DataFrame:
-    return D.exact_split(messages(spark, d).select("msg_id"), "msg_id", 0.95).groupBy("split").agg(F.count("*").alias("n"), F.sum("msg_id").alias("ids"))
+    x = D.exact_split(messages(spark, d).select("msg_id", "text", "true_bank"), "msg_id", 0.95)
+    return x.groupBy("split", "true_bank").agg(F.count("*").alias("n"), F.sum("msg_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
 
 
 def auto_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -529,7 +531,7 @@ SELECT *, round(n / sum(n) OVER (), 6) AS share FROM g"""),
 SELECT w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 5"""),
     "f17_service_counters": (service_counters, f"""WITH {MSG}, {SCORED}, {CLASSED} SELECT strftime(done.ts, '%Y-%m') AS month, count(*) AS total, count(amount) AS extracted, count_if(classification = 'keep')::BIGINT AS kept, count_if(confidence = 'failed')::BIGINT AS failed
 FROM done JOIN classed USING (msg_id) GROUP BY ALL"""),
-    "g1_row_ids": (row_ids, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id FROM orders"),
+    "g1_row_ids": (row_ids, "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id FROM orders"),
     "g2_running_balance": (running_balance, f"""WITH {MSG} SELECT msg_id, cust_id, (c_acctbal::DECIMAL(18,2) + sum(CASE true_type WHEN 'credit' THEN true_amount::DECIMAL(18,2) WHEN 'debit' THEN -true_amount::DECIMAL(18,2) ELSE 0 END)
 OVER (PARTITION BY cust_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS balance FROM msg JOIN customer ON cust_id = c_custkey"""),
     "g3_dedup_body": (dedup_body, "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1"),
@@ -554,15 +556,15 @@ CASE WHEN msg_id % 5 IN (0, 3) THEN CASE WHEN msg_id % 2 = 0 THEN 'Debit' ELSE '
     "k4_prompts": (prompts, f"""WITH {MSG}, {_TRAIN}, p AS (SELECT CASE WHEN {_hash('msg_id', '42')} < 0.9 THEN 'train' ELSE 'valid' END AS split, length({_PROMPT}) AS a, length({_COMPLETION}) AS b FROM train)
 SELECT split, 'system' AS role, count(*) AS n, (count(*) * length('You extract financial entities and answer in JSON.'))::BIGINT AS chars FROM p GROUP BY split
 UNION ALL SELECT split, 'user', count(*), sum(a)::BIGINT FROM p GROUP BY split UNION ALL SELECT split, 'assistant', count(*), sum(b)::BIGINT FROM p GROUP BY split"""),
-    "k5_exact_split": (exact_split, f"WITH {MSG}, r AS (SELECT msg_id, row_number() OVER (ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM msg) SELECT CASE WHEN r <= floor((SELECT count(*) FROM msg) * 0.95) THEN 'train' ELSE 'valid' END AS split, count(*) AS n, sum(msg_id)::BIGINT AS ids FROM r GROUP BY ALL"),
+    "k5_exact_split": (exact_split, f"WITH {MSG}, r AS (SELECT msg_id, text, true_bank, row_number() OVER (ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM msg) SELECT CASE WHEN r <= floor((SELECT count(*) FROM msg) * 0.95) THEN 'train' ELSE 'valid' END AS split, true_bank, count(*) AS n, sum(msg_id)::BIGINT AS ids, sum(length(text))::BIGINT AS chars FROM r GROUP BY ALL"),
     "k7_auto_labels": (auto_labels, f"WITH {MSG}, {_AUTO} SELECT msg_id, source, subject, amount, type, confidence, verified FROM auto"),
     "k8_apply_reviews": (apply_reviews, f"""WITH {MSG}, {_AUTO}, r AS (SELECT *, o_orderpriority = '2-HIGH' AS done FROM auto JOIN orders ON msg_id = o_orderkey WHERE o_orderpriority <> '1-URGENT')
 SELECT msg_id, CASE WHEN done THEN o_totalprice::DECIMAL(18,2)::VARCHAR ELSE amount END AS amount, CASE WHEN done AND msg_id % 3 = 0 THEN 'debit' ELSE type END AS type, verified OR done AS verified,
 CASE WHEN done THEN 1.0 ELSE confidence END AS confidence, CASE WHEN done THEN strftime(o_orderdate, '%Y-%m-%d') END AS verified_at, CASE WHEN done THEN o_orderpriority END AS notes FROM r"""),
     "k10_noise": (noise, f"WITH {MSG} SELECT msg_id, {_noise()} AS noisy FROM msg"),
     "k11_augmented": (augmented, f"WITH {MSG} {_variants()}"),
-    "k12_edge_oversample": (edge_oversample, f"""WITH {MSG}, {RAW}, w AS (SELECT msg_id, {_TAGW} AS weight FROM merch), x AS (SELECT msg_id, weight * ((SELECT count(*) FROM w) / (SELECT sum(weight) FROM w)) AS e FROM w)
-SELECT msg_id, copies FROM (SELECT msg_id, (floor(e) + ({_hash('msg_id', '42')} < e - floor(e))::INT)::BIGINT AS copies FROM x) WHERE copies > 0"""),
+    "k12_edge_oversample": (edge_oversample, f"""WITH {MSG}, {RAW}, w AS (SELECT msg_id, round({_TAGW} * 1000000)::HUGEINT AS w FROM merch), t AS (SELECT sum(w)::HUGEINT AS a, count(*)::HUGEINT AS n FROM w),
+x AS (SELECT msg_id, w, sum(w) OVER (ORDER BY msg_id)::HUGEINT AS c FROM w) SELECT msg_id, copies FROM (SELECT msg_id, ((c * n + (a + 1) // 2) // a - ((c - w) * n + (a + 1) // 2) // a)::BIGINT AS copies FROM x, t) WHERE copies > 0"""),
     "k14_masked": (masked, f"WITH {MSG} SELECT msg_id, {_masked()} AS masked FROM msg"),
     "k2_weighted_choice": (weighted_choice, f"SELECT o_orderkey, CASE WHEN {_hash('o_orderkey', 'choice')} < 0.6 THEN 'plain' WHEN {_hash('o_orderkey', 'choice')} < 0.9 THEN 'short' ELSE 'long' END AS kind FROM orders"),
     "k17_multilingual": (multilingual, f"""WITH {MSG}, m AS (SELECT msg_id, ['en', 'hi', 'ta', 'xx'][msg_id % 4 + 1] AS lang, printf('%.2f', true_amount) || ' ' || true_type AS t FROM msg)

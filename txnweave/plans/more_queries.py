@@ -80,8 +80,8 @@ def first_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def shuffled(spark: SparkSession, d: str) -> DataFrame:
     """Rows in seeded order, with their places."""
-    m = messages(spark, d).select("msg_id").withColumn("h", D.unit_hash(F.col("msg_id"), "7"))
-    return D.global_rank(m, [F.col("h"), F.col("msg_id")], "place").select("msg_id", "place")
+    m = messages(spark, d).select("msg_id", "sender", "text")
+    return D.global_rank(m, [D.unit_hash(F.col("msg_id"), "7"), F.col("msg_id")], "place")
 
 
 def classify_response(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +144,7 @@ CASE WHEN o_orderkey % 2 = 0 THEN 'Ref: ' || o_orderkey END) AS sentence FROM or
     "f7_exact_documents": (exact_documents, f"WITH {MSG}, {_PAIRS} SELECT true_bank, count_if(e_amount IS NOT DISTINCT FROM p_amount AND e_type IS NOT DISTINCT FROM p_type AND e_account IS NOT DISTINCT FROM p_account)::BIGINT AS exact, count(*) AS n FROM pairs GROUP BY ALL"),
     "f12_collection_stats": (collection_stats, f"WITH {MSG}, {CLASSED} SELECT true_bank, count(*) AS processed, count_if(classification = 'keep')::BIGINT AS transactions, count(DISTINCT sender || shop) AS sources FROM classed GROUP BY ALL"),
     "g9_first_rows": (first_rows, f"WITH {MSG} SELECT msg_id, true_bank FROM msg ORDER BY ts, msg_id LIMIT 25"),
-    "g12_shuffled": (shuffled, f"WITH {MSG} SELECT msg_id, row_number() OVER (ORDER BY {_hash('msg_id', '7')}, msg_id) AS place FROM msg"),
+    "g12_shuffled": (shuffled, f"WITH {MSG} SELECT msg_id, sender, text, row_number() OVER (ORDER BY {_hash('msg_id', '7')}, msg_id) AS place FROM msg"),
     "j8_classify_response": (classify_response, "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'finance' ELSE 'other' END AS category, count(*) AS n, count_if(o_orderkey % 3 = 0)::BIGINT AS transactions FROM orders GROUP BY ALL"),
     "k3_assembled": (assembled, f"WITH {MSG} SELECT msg_id, 'Rs. ' || printf('%.2f', true_amount) || ' ' || CASE WHEN true_type = 'debit' THEN 'debited' ELSE 'noted' END || ', at ' || shop || '.' AS message FROM msg"),
     "k9_export_verified": (export_verified, f"WITH {MSG}, {_AUTO} SELECT CASE WHEN {_hash('msg_id', '42')} < 0.9 THEN 'train' ELSE 'valid' END AS split, count(*) AS n, count_if(type = 'debit')::BIGINT AS debit FROM auto WHERE verified GROUP BY ALL"),
