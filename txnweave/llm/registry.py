@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, decontaminate, lattice_lm, line_dedup, minhash, quality_rules, secrets, sharding, token_files
+from . import archives, bpe, conversations, decontaminate, lattice_lm, line_dedup, minhash, mixing, quality_rules, search, secrets, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.query,
         "op9_archives": archives.query,
         "op10_secrets": secrets.query,
+        "op11_ranked_search": search.query,
+        "op12_conversations": conversations.query,
+        "op13_mixing": mixing.query,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op9_archives": archives.ORACLE_SQL,
+        "op11_ranked_search": search.ORACLE_SQL,
+        "op13_mixing": mixing.ORACLE_SQL,
     }
