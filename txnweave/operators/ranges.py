@@ -13,6 +13,7 @@ begin with ``__r_`` are used inside.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,9 +54,8 @@ def _ranked(placed: DataFrame, columns: list[str], name: str) -> DataFrame:
 def exact_split(df: DataFrame, order: list[Column], ratio: float) -> DataFrame:
     """Adds split: the first floor(n x ratio) rows of the order are train, the others valid."""
     placed = place(df, order, "split")
-    total = placed.agg(F.count("*").alias("__r_n"))
-    ranked = _ranked(placed, df.columns, "__r_rank").join(F.broadcast(total))  # one row
-    side = F.when(F.col("__r_rank") <= F.floor(F.col("__r_n") * ratio), "train").otherwise("valid")
+    ranked = _ranked(placed, df.columns, "__r_rank")
+    side = F.when(F.col("__r_rank") <= int(placed.count() * ratio), "train").otherwise("valid")
     return ranked.select(*[c for c in df.columns if c != "split"], side.alias("split"))
 
 
@@ -94,11 +94,11 @@ def systematic_sample(df: DataFrame, key: str, weight: Column, size: int | None
         raise ValueError("start must lie in [0, 1)")
     micro = F.greatest(F.coalesce(F.round(weight * 1000000).cast("long"), F.lit(0)), F.lit(0))
     summed = prefix_sums(df.withColumn("__s_w", micro), [], [F.col(key)], {"__s_upto": F.col("__s_w").cast("decimal(20,0)")})
-    totals = summed.agg(F.max("__s_upto").cast("decimal(20,0)").alias("__s_all"), F.count("*").alias("__s_n"))
-    upto = summed.withColumn("__s_upto", F.col("__s_upto").cast("decimal(20,0)")).join(F.broadcast(totals))  # one row
-    n = "__s_n" if size is None else str(int(size))
-    shift = f"CAST(__s_all * {start!r}BD AS DECIMAL(37,0))"
-    step = lambda c: F.expr(f"(CAST({c} AS DECIMAL(20,0)) * CAST({n} AS DECIMAL(16,0)) + {shift}) div __s_all")
-    copies = F.when(F.col("__s_all") > 0, step("__s_upto") - step("__s_upto - __s_w")).otherwise(0)
-    taken = upto.withColumn("copies", copies.cast("long")).where("copies > 0")
+    totals = summed.agg(F.coalesce(F.max("__s_upto"), F.lit(0)).cast("decimal(20,0)").alias("all"), F.count("*").alias("n")).first()
+    if not totals["all"]:
+        return df.select(*[c for c in df.columns if c not in ("copies", "copy_no")]).limit(0).select("*", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("copy_no"))
+    n, whole = totals["n"] if size is None else int(size), totals["all"]
+    shift = int(whole * Decimal(str(start)))
+    step = lambda c: F.expr(f"(CAST({c} AS DECIMAL(20,0)) * CAST({n} AS DECIMAL(16,0)) + CAST('{shift}' AS DECIMAL(37,0))) div CAST('{whole}' AS DECIMAL(20,0))")
+    taken = summed.withColumn("copies", (step("__s_upto") - step("__s_upto - __s_w")).cast("long")).where("copies > 0")
     return taken.select(*[c for c in df.columns if c not in ("copies", "copy_no")], "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))

@@ -564,7 +564,7 @@ CASE WHEN done THEN 1.0 ELSE confidence END AS confidence, CASE WHEN done THEN s
     "k10_noise": (noise, f"WITH {MSG} SELECT msg_id, {_noise()} AS noisy FROM msg"),
     "k11_augmented": (augmented, f"WITH {MSG} {_variants()}"),
     "k12_edge_oversample": (edge_oversample, f"""WITH {MSG}, {RAW}, w AS (SELECT msg_id, round({_TAGW} * 1000000)::HUGEINT AS w FROM merch), t AS (SELECT sum(w)::HUGEINT AS a, count(*)::HUGEINT AS n FROM w),
-x AS (SELECT msg_id, w, sum(w) OVER (ORDER BY msg_id)::HUGEINT AS c FROM w) SELECT msg_id, copies FROM (SELECT msg_id, ((c * n + (a + 1) // 2) // a - ((c - w) * n + (a + 1) // 2) // a)::BIGINT AS copies FROM x, t) WHERE copies > 0"""),
+x AS (SELECT msg_id, w, sum(w) OVER (ORDER BY msg_id)::HUGEINT AS c FROM w) SELECT msg_id, copies FROM (SELECT msg_id, ((c * n + a // 2) // a - ((c - w) * n + a // 2) // a)::BIGINT AS copies FROM x, t) WHERE copies > 0"""),
     "k14_masked": (masked, f"WITH {MSG} SELECT msg_id, {_masked()} AS masked FROM msg"),
     "k2_weighted_choice": (weighted_choice, f"SELECT o_orderkey, CASE WHEN {_hash('o_orderkey', 'choice')} < 0.6 THEN 'plain' WHEN {_hash('o_orderkey', 'choice')} < 0.9 THEN 'short' ELSE 'long' END AS kind FROM orders"),
     "k17_multilingual": (multilingual, f"""WITH {MSG}, m AS (SELECT msg_id, ['en', 'hi', 'ta', 'xx'][msg_id % 4 + 1] AS lang, printf('%.2f', true_amount) || ' ' || true_type AS t FROM msg)

@@ -17,25 +17,40 @@ def _text(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("msg_id", "ts", "sender", "subject", "text", "variant")
 
 
+def _said(c: str = "text") -> F.Column:
+    """Some texts hold quotes, commas and line ends."""
+    return F.when(F.col("msg_id") % 5 == 0, F.concat(F.col(c), F.lit('\nsaid "yes, {and} no"\n'), F.col("sender"))).otherwise(F.col(c))
+
+
+_SAID = "CASE WHEN msg_id % 5 = 0 THEN text || chr(10) || 'said \"yes, {and} no\"' || chr(10) || sender ELSE text END"
+
+
 def csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Two kinds of exports with headers of their own; some bodies are blank, some go over several lines."""
     path = new_folder(spark, "csv")
     m = _text(spark, d)
-    m.select(F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.col("sender").alias("From"), F.when(F.col("msg_id") % 10 == 0, "").otherwise(F.col("text")).alias("SMS")).write.option("header", True).option("escape", '"').csv(path)
+    body = F.when(F.col("msg_id") % 10 == 1, "").otherwise(_said())
+    day = F.date_format("ts", "yyyy-MM-dd")
+    m.where("variant < 8").select(day.alias("Date"), F.col("sender").alias("From"), body.alias("SMS")).write.option("header", True).option("escape", '"').csv(f"{path}/a")
+    m.where("variant >= 8").select(F.col("msg_id").alias("no"), body.alias("MESSAGE"), F.col("sender").alias("Bank"), day.alias("created_at")).write.option("header", True).option("escape", '"').csv(f"{path}/b")
     return sources.read_csv(spark, path)
 
 
 def json_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Bare lists, objects that hold one, and single objects."""
     path = new_folder(spark, "json")
     merchant = F.struct(F.col("sender").alias("name"))
-    row = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("sender").alias("address"), F.when(F.col("variant") != 3, F.col("text")).alias("message"), F.when(F.col("variant") == 3, F.col("msg_id")).alias("amount"), merchant.alias("merchant"))
+    row = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.when(F.col("variant") % 2 == 0, F.col("sender")).alias("address"), F.when(F.col("variant") != 3, _said()).alias("message"), F.when(F.col("variant") == 3, F.col("msg_id")).alias("amount"), merchant.alias("merchant"))
     _write_exports(_text(spark, d), row, path)
     return sources.read_json(spark, path)
 
 
-def _write_exports(m: DataFrame, row, path: str) -> None:
-    """One JSON document {"messages": [...]} for each 500 messages, each in a file of its own."""
-    packs = m.groupBy(F.floor(F.col("msg_id") / 500).alias("pack")).agg(F.collect_list(row).alias("messages"))
-    packs.select(F.to_json(F.struct("messages")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+def _write_exports(m: DataFrame, row, path: str, name: str = "messages") -> None:
+    """A JSON document for each 500 messages, each in a file of its own: [...], {name: [...]} and, for the last in a pack, {...}."""
+    item = F.to_json(row)
+    packs = m.groupBy(F.floor(F.col("msg_id") / 500).alias("pack"), (F.col("msg_id") % 500 == 499).alias("alone")).agg(F.array_join(F.collect_list(item), ",\n").alias("x"))
+    whole = F.when(F.col("alone"), F.col("x")).when(F.col("pack") % 2 == 0, F.concat(F.lit("["), "x", F.lit("]"))).otherwise(F.concat(F.lit(f'{{"about": {{"n": [1]}}, "{name}": ['), "x", F.lit("]}")))
+    packs.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def xml_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -70,17 +85,29 @@ def _write_mails(m: DataFrame, path: str) -> None:
 
 
 def unified(spark: SparkSession, d: str) -> DataFrame:
-    """Every message in one of the four formats, every fifth in a second one."""
+    """Every message in one of the four formats, every fifth in a second one, in folders within folders, told apart by extension."""
     root = new_folder(spark, "unify")
     m = _text(spark, d)
     of = lambda i: m.where((F.col("msg_id") % 4 == i) | (F.col("msg_id") % 5 == i))
-    of(0).select(F.date_format("ts", "yyyy").alias("Date"), "sender", F.col("text").alias("SMS")).write.option("header", True).option("escape", '"').csv(f"{root}/csv")
-    _write_exports(of(1), F.struct(F.date_format("ts", "yyyy").alias("date"), F.col("sender").alias("address"), F.col("text").alias("message")), f"{root}/json")
-    _write_xml(of(2), f"{root}/xml", "message")
+    of(0).select(F.date_format("ts", "yyyy").alias("Date"), "sender", F.col("text").alias("SMS")).write.option("header", True).option("escape", '"').csv(f"{root}/2023/csv")
+    _write_exports(of(1), F.struct(F.date_format("ts", "yyyy").alias("date"), F.col("sender").alias("address"), F.col("text").alias("message")), f"{root}/2023/raw/json", "items")
+    _write_xml(of(2), f"{root}/2024/xml", "message")
     _write_mails(of(3), f"{root}/mbox")
+    _rename(spark, f"{root}/2023/raw/json", "json")
+    _rename(spark, f"{root}/mbox", "mbox")
     return sources.unify(spark, root).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("body").alias("bodies"))
 
 
+def _rename(spark: SparkSession, folder: str, kind: str) -> None:
+    """Spark's text files get the extension of what they hold."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in fs.listStatus(path(folder)):
+        name = x.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(x.getPath(), path(folder, f"{name[:-4]}.{kind}"))
+
+
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Training lines with broken ones among them."""
     path = new_folder(spark, "jsonl")
@@ -187,8 +214,8 @@ for _n, _c in sources.ENTITIES.items():
 _HTML = f"substr(array_to_string(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)), 1, 10000)"
 
 QUERIES = {
-    "a5_csv_scan": (csv_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%d') AS timestamp, sender, text AS body, 'csv' AS source FROM msg WHERE msg_id % 10 <> 0"),
-    "a4_json_scan": (json_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%d') AS timestamp, sender, CASE WHEN variant = 3 THEN 'Transaction: Rs.' || msg_id || ' to ' || sender ELSE text END AS body, 'json' AS source FROM msg"),
+    "a5_csv_scan": (csv_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%d') AS timestamp, sender, {_SAID} AS body, 'csv' AS source FROM msg WHERE msg_id % 10 <> 1"),
+    "a4_json_scan": (json_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%d') AS timestamp, sender, CASE WHEN variant = 3 THEN 'Transaction: Rs.' || msg_id || ' to ' || sender ELSE {_SAID} END AS body, 'json' AS source FROM msg"),
     "a6_xml_scan": (xml_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, sender, text AS body, 'xml' AS source FROM msg"),
     "a1_mbox_scan": (mbox_scan, f"WITH {MSG} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, sender, text AS body, 'mbox' AS source, subject FROM msg"),
     "a7_unify": (unified, f"""WITH {MSG}, u AS ({" UNION ALL ".join(f"SELECT text, '{k}' AS source FROM msg WHERE msg_id % 4 = {i} OR msg_id % 5 = {i}" for i, k in enumerate(("csv", "json", "xml", "mbox")))}),

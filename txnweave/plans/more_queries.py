@@ -29,11 +29,17 @@ def text_folder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labeled_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Row documents {rows: [...]} with defaults for missing keys."""
+    """Row documents {rows: [...]} and bare lists [...], with defaults for missing keys."""
     path = new_folder(spark, "rows")
-    m = messages(spark, d).select(F.floor(F.col("msg_id") / 500).alias("pack"), F.struct(F.col("text").alias("raw_text"), F.when(F.col("msg_id") % 2 == 0, F.col("true_bank")).alias("bank")).alias("row"))
-    m.groupBy("pack").agg(F.collect_list("row").alias("rows")).select(F.to_json(F.struct("rows")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return sources.read_labeled_rows(spark, path).groupBy("bank", "labeled").agg(F.count("*").alias("n"), F.count_distinct("raw_text").alias("texts"))
+    even = F.col("msg_id") % 2 == 0
+    row = F.struct(
+        F.concat("text", F.lit(' {"x": [')).alias("raw_text"), F.when(even, F.col("true_bank")).alias("bank"), F.when(even, F.date_format("ts", "dd/MM/yyyy")).alias("date"),
+        F.when(F.col("true_type") == "debit", F.format_string("%.2f", "true_amount")).alias("debit"), F.when(F.col("true_type") == "credit", F.format_string("%.2f", "true_amount")).alias("credit"),
+        F.when(even, (F.col("msg_id") % 9).cast("int")).alias("page"), F.when(even, F.lit(True)).alias("labeled"), F.when(even, F.create_map(F.lit("account"), F.col("true_account"))).alias("entities"),
+    )
+    packs = messages(spark, d).groupBy(F.floor(F.col("msg_id") / 500).alias("pack")).agg(F.collect_list(row).alias("rows"))
+    packs.select(F.when(F.col("pack") % 2 == 0, F.to_json(F.struct("rows"))).otherwise(F.to_json("rows")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return sources.read_labeled_rows(spark, path).select("raw_text", "bank", "date", "debit", "credit", "page", "labeled", F.element_at("entities", "account").alias("account"))
 
 
 def corpus_export(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +142,9 @@ _DATES = " UNION ALL ".join(
 )
 QUERIES = {
     "a8_text_folder": (text_folder, "SELECT sha256(coalesce(text, '')) AS digest FROM documents"),
-    "a10_labeled_rows": (labeled_rows, f"WITH {MSG} SELECT CASE WHEN msg_id % 2 = 0 THEN true_bank ELSE 'unknown' END AS bank, false AS labeled, count(*) AS n, count(DISTINCT text) AS texts FROM msg GROUP BY ALL"),
+    "a10_labeled_rows": (labeled_rows, f"""WITH {MSG} SELECT text || ' {{"x": [' AS raw_text, CASE WHEN msg_id % 2 = 0 THEN true_bank ELSE 'unknown' END AS bank, CASE WHEN msg_id % 2 = 0 THEN strftime(ts, '%d/%m/%Y') END AS date,
+CASE WHEN true_type = 'debit' THEN printf('%.2f', true_amount) END AS debit, CASE WHEN true_type = 'credit' THEN printf('%.2f', true_amount) END AS credit, CASE WHEN msg_id % 2 = 0 THEN msg_id % 9 ELSE 0 END::INTEGER AS page,
+msg_id % 2 = 0 AS labeled, CASE WHEN msg_id % 2 = 0 THEN true_account END AS account FROM msg"""),
     "a15_corpus_export": (corpus_export, "SELECT lang, count(*) AS n, sum(len(string_split(text, ' ')))::BIGINT AS words FROM documents GROUP BY ALL"),
     "a14_report": (report, f"WITH {MSG} SELECT true_bank, count(*) AS n FROM msg GROUP BY ALL"),
     "d19_sentences": (sentences, """SELECT o_orderkey, concat_ws(' ', 'Rs.' || printf('%.2f', o_totalprice), CASE WHEN o_orderstatus = 'F' THEN 'debited' ELSE 'credited' END, 'on ' || strftime(o_orderdate, '%d-%m-%Y.'),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_corpus, timestamp
 from ..operators.datasets import keep_first
+from . import splittable
 
 UNIFIED = ["timestamp", "sender", "body", "source"]
 #: Names that columns go by, in order.
@@ -26,6 +27,16 @@ ALIASES = {
     "sender": ["sender", "from", "address", "phone"],
     "body": ["body", "message", "text", "content", "sms"],
 }
+CSV_ALIASES = {
+    "timestamp": ALIASES["timestamp"],
+    "sender": ["sender", "from", "source", "bank", "merchant", "address", "phone"],
+    "body": ["body", "message", "text", "content", "description", "sms"],
+}
+JSON_ALIASES = {
+    "timestamp": ["timestamp", "date", "time", "created_at", "datetime"],
+    "sender": ["sender", "from", "source", "address", "phone"],
+    "body": ["body", "message", "text", "content", "description", "title", "sms"],
+}
 
 
 def _first_of(df: DataFrame, names: list[str]) -> Column:
@@ -35,49 +46,40 @@ def _first_of(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def _unified(df: DataFrame, source: str) -> DataFrame:
-    body = _first_of(df, ALIASES["body"])
-    out = df.select(timestamp(_first_of(df, ALIASES["timestamp"])).alias("timestamp"), _first_of(df, ALIASES["sender"]).alias("sender"), body.alias("body"), F.lit(source).alias("source"))
+def _unified(df: DataFrame, source: str, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+    body = _first_of(df, aliases["body"])
+    out = df.select(timestamp(_first_of(df, aliases["timestamp"])).alias("timestamp"), _first_of(df, aliases["sender"]).alias("sender"), body.alias("body"), F.lit(source).alias("source"))
     return out.where(F.col("body").isNotNull() & (F.lower("body") != "nan"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with any of the known headers; bad lines are skipped."""
-    return _unified(spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path), "csv")
+def read_csv(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """CSV with any of the known headers, each file its own; records with too many fields are skipped. Large files are read in splits."""
+    return _unified(splittable.csv_records(spark, path, CSV_ALIASES, suffix), "csv")
 
 
 #: Names under which an object holds its messages, in order.
-WRAPPERS = ["messages", "transactions", "items", "data"]
-
+WRAPPERS = ("messages", "transactions", "items", "data")
 
-def _json_rows(raw: DataFrame) -> DataFrame:
-    if "amount" in raw.columns:
-        who = F.lit("unknown")
-        if "merchant" in raw.columns:
-            kind = raw.schema["merchant"].dataType.typeName()
-            who = F.coalesce(F.col("merchant.name") if kind == "struct" else F.col("merchant"), F.lit("unknown"))
-        said = F.when(F.col("amount").isNotNull(), F.concat(F.lit("Transaction: Rs."), F.col("amount").cast("string"), F.lit(" to "), who))
-        raw = raw.withColumn("body", F.coalesce(said, _first_of(raw, ALIASES["body"])))
-    return _unified(raw, "json")
 
+def read_json(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Lists of messages, objects that hold one under a known name, and single objects, each file its own way; rows with an amount become sentences.
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lists of messages, and objects that hold one under a known name, each file its own way; rows with an amount become sentences."""
-    raw = spark.read.option("multiLine", True).json(path)
-    names = [n for n in WRAPPERS if n in raw.columns and raw.schema[n].dataType.typeName() == "array"]
-    plain = raw.where(reduce(lambda a, b: a & b, [F.col(n).isNull() for n in names], F.lit(True))).drop(*names)
-    parts = [_json_rows(plain)]
-    for i, name in enumerate(names):
-        mine = raw.where(reduce(lambda a, b: a & b, [F.col(n).isNull() for n in names[:i]], F.col(name).isNotNull()))
-        parts.append(_json_rows(mine.select(F.explode(name).alias("x")).select("x.*")))
-    return reduce(DataFrame.unionByName, parts)
+    The fields are known, so no pass infers them; large files are read in splits.
+    """
+    names = list(dict.fromkeys(x for aliases in JSON_ALIASES.values() for x in aliases))
+    schema = ", ".join(f"`{n}` string" for n in [*names, "amount", "merchant"])
+    raw = splittable.json_items(spark, path, WRAPPERS, suffix).select(F.from_json("item", schema).alias("x")).select("x.*")
+    who = F.when(F.startswith("merchant", F.lit("{")), F.get_json_object("merchant", "$.name")).otherwise(F.col("merchant"))
+    said = F.when(F.col("amount").isNotNull(), F.concat(F.lit("Transaction: Rs."), F.col("amount"), F.lit(" to "), F.coalesce(who, F.lit("unknown"))))
+    sender = F.coalesce(_first_of(raw, JSON_ALIASES["sender"]), who)
+    return _unified(raw.withColumns({"body": F.coalesce(said, _first_of(raw, JSON_ALIASES["body"])), "sender": sender}), "json", JSON_ALIASES)
 
 
-def read_sms_xml(spark: SparkSession, path: str, tags: tuple[str, ...] = ("sms", "message")) -> DataFrame:
+def read_sms_xml(spark: SparkSession, path: str, suffix: str = "", tags: tuple[str, ...] = ("sms", "message")) -> DataFrame:
     """<sms address date body/> exports; of a file without the first tag the elements of the next one."""
     out, before = [], None
     for tag in tags:
-        raw = spark.read.format("xml").option("rowTag", tag).load(path)
+        raw = spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
         if not raw.columns:
             continue
         rows = raw.select("*", F.col("_metadata.file_path").alias("__file"))
@@ -117,9 +119,9 @@ def _mail_body(message: email.message.Message) -> str:
     return (plain if plain is not None else markup or "").strip()
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
+def read_mbox(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """Mails of mbox files, split in parallel at their From lines; adds subject. MIME is decoded by the standard library."""
-    raw = spark.read.option("lineSep", "\nFrom ").text(path)
+    raw = spark.read.option("lineSep", "\nFrom ").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,14 +132,29 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     return out.where("body != ''").select(timestamp(F.col("timestamp")).alias("timestamp"), "sender", "body", F.lit("mbox").alias("source"), "subject")
 
 
-def unify(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("csv", "json", "xml", "mbox")) -> DataFrame:
-    """All exports of a folder (sub-folders by kind), one row for each distinct body: the first by source and time."""
-    readers = {"csv": read_csv, "json": read_json, "xml": read_sms_xml, "mbox": read_mbox}
-    parts = [readers[k](spark, f"{folder}/{k}").select(*UNIFIED) for k in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return keep_first(out, ["body"], [F.col("source"), F.col("timestamp"), F.col("sender")])
+READERS = {"csv": read_csv, "json": read_json, "xml": read_sms_xml, "mbox": read_mbox}
+
+
+def find_exports(spark: SparkSession, folder: str) -> set[str]:
+    """The kinds of files that a folder and all folders below it hold, by extension in any case. Names are listed, nothing is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, files = set(), hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    while files.hasNext() and len(found) < len(READERS):
+        name = files.next().getPath().getName()
+        kind = name.rpartition(".")[2].lower()
+        if kind in READERS and not name.startswith(("_", ".")):
+            found.add(kind)
+    return found
+
+
+def unify(spark: SparkSession, folder: str) -> DataFrame:
+    """All exports of a folder and the folders below it, each file by its extension, one row for each distinct body: the first by source and time."""
+    kinds = find_exports(spark, folder)
+    any_case = lambda k: "." + "".join(f"[{c}{c.upper()}]" for c in k)
+    parts = [READERS[k](spark, folder, any_case(k)).select(*UNIFIED) for k in READERS if k in kinds]
+    if not parts:
+        return spark.createDataFrame([], "timestamp string, sender string, body string, source string")
+    return keep_first(reduce(DataFrame.unionByName, parts), ["body"], [F.col("source"), F.col("timestamp"), F.col("sender")])
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -202,10 +219,15 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+LABELED = "raw_text string, date string, description string, debit string, credit string, balance string, bank string, page int, row_index int, labeled boolean, entities map<string,string>"
+
+
 def read_labeled_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(bank, raw_text, labeled) of documents {rows: [...]}, with defaults for keys that are not there."""
-    rows = spark.read.option("multiLine", True).schema("rows array<struct<bank string, raw_text string, labeled boolean>>").json(path).select(F.explode("rows").alias("r"))
-    return rows.select(F.coalesce("r.bank", F.lit("unknown")).alias("bank"), F.coalesce("r.raw_text", F.lit("")).alias("raw_text"), F.coalesce("r.labeled", F.lit(False)).alias("labeled"))
+    """Statement rows of documents {rows: [...]} and of bare lists [...], with defaults for keys that are not there."""
+    r = splittable.json_items(spark, path, ("rows",)).select(F.from_json("item", LABELED).alias("r")).select("r.*")
+    defaults = {"raw_text": "", "bank": "unknown", "page": 0, "row_index": 0, "labeled": False}
+    none = F.create_map().cast("map<string,string>")
+    return r.select(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.coalesce(c, none).alias(c) if c == "entities" else F.col(c) for c in r.columns])
 
 
 def write_corpus(df: DataFrame, path: str, plain: bool = False) -> None:
