@@ -66,17 +66,14 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     live = x.where("w > 0 AND source_size > 0")
     upto = ranges.prefix_sums(live, [], [F.col("source_size").cast("double") / F.col("w").cast("double"), F.col("source").isNull(), F.col("source")], {"words": F.col("source_size").cast("decimal(20,0)"), "ws": F.col("w")})
     # All words count to the total, those of sources without weight too.
-    whole = x.agg(F.sum(F.col("source_size").cast("decimal(20,0)")).alias("all_words"), F.sum(F.when(F.col("source_size") > 0, F.col("w"))).alias("all_w"))
-    upto = upto.join(F.broadcast(whole))  # one row
-    total = F.col("all_words").cast("double") * share
-    before, rest = (F.col("words") - F.col("source_size")).cast("double"), (F.col("all_w") - F.col("ws") + F.col("w")).cast("double")
-    level = (total - before * epochs) / rest  # if all before this source are at their caps and none from it on
-    fits = level * F.col("w").cast("double") <= F.col("source_size") * F.lit(float(epochs))
+    whole = x.agg(F.sum(F.col("source_size").cast("decimal(20,0)")).cast("double").alias("words"), F.sum(F.when(F.col("source_size") > 0, F.col("w"))).alias("w")).first()
+    before, rest = (F.col("words") - F.col("source_size")).cast("double"), (F.lit(whole["w"] or 0).cast("decimal(30,0)") - F.col("ws") + F.col("w")).cast("double")
+    level = (F.lit((whole["words"] or 0.0) * share) - before * epochs) / rest  # if all before this source are at their caps and none from it on
+    cap, w = F.col("source_size") * F.lit(float(epochs)), F.col("w").cast("double")
     # The first place whose source stays under its cap sets the level for it and all after it; without one, all are at their caps.
-    first = upto.select(level.alias("level"), F.when(fits, F.col("ws")).alias("at")).agg(F.min_by("level", "at").alias("level"))
-    cap = F.col("source_size") * F.lit(float(epochs))
-    target = F.when((F.col("w") > 0) & (F.col("source_size") > 0), F.least(cap, F.coalesce(F.col("level") * F.col("w").cast("double"), cap))).otherwise(0.0)
-    return x.join(F.broadcast(first)).select("source", "source_size", target.alias("target"))  # one row
+    first = upto.select(level.alias("level"), "ws", (level * w <= cap).alias("fits")).where("fits").agg(F.min_by("level", "ws").alias("level")).first()["level"]
+    target = cap if first is None else F.least(cap, F.lit(first) * w)
+    return x.select("source", "source_size", F.when((F.col("w") > 0) & (F.col("source_size") > 0), target).otherwise(0.0).alias("target"))
 
 
 def repetitions(sized: DataFrame, targets: DataFrame, epochs: float, seed: str = SEED) -> DataFrame:
