@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import extract as X
 from ..functions import lookup, normalize, score
-from ..operators import extraction, routing
+from ..operators import extraction, routing, rule_tables
 from .messages import messages
 from .oracle_base import MSG, by_priority, digits_only, first, first_label, has_any, in_order, lit, norm_date, rlike
 
@@ -203,10 +203,10 @@ def by_vpa():
 
 
 def merchant_join(spark: SparkSession, d: str) -> DataFrame:
-    """Parts against the merchant rules: a contains-join with a fixed list, the first rule in order wins."""
+    """Parts against the merchant rules as a table: the first rule in order wins."""
     parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower("p_name").alias("part_name"))
-    hits = parts.join(F.broadcast(lookup.merchant_rules(spark)), F.contains("part_name", "key"), "left")
-    return hits.groupBy("p_partkey").agg(F.min_by("category", "ord").alias("category"), F.count("key").alias("n_rules"))
+    rules = lookup.merchant_rules(spark).select("ord", F.col("key").alias("keyword"), F.col("category").alias("label"))
+    return rule_tables.with_rules(parts, "part_name", rules).select("p_partkey", F.col("first_label").alias("category"), "n_rules")
 
 
 def name_kinds(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dataset_queries, extraction_queries, io_queries, more_queries, set_queries
+from . import dataset_queries, extraction_queries, io_queries, more_queries, set_queries, table_queries
 
-ALL = extraction_queries.QUERIES | dataset_queries.QUERIES | io_queries.QUERIES | more_queries.QUERIES | set_queries.QUERIES
+ALL = extraction_queries.QUERIES | dataset_queries.QUERIES | io_queries.QUERIES | more_queries.QUERIES | set_queries.QUERIES | table_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

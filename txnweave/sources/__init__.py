@@ -186,11 +186,11 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 
 
 def html_text(page: Column, least: int = 100, most: int = 10000) -> Column:
-    """Text of a page: no scripts, styles or navigation, trimmed lines, cut; null if too short."""
+    """Text of a page: no scripts, styles or navigation (one that is never closed goes on to the end), trimmed lines, cut; null if too short."""
     out = page
     for tag in ("script", "style", "nav", "footer", "header"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)", "")
+    out = F.regexp_replace(out, r"(?s)<!--.*?(?:-->|\z)", "")
     out = F.regexp_replace(out, r"<[^>]*>", "\n")
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))

@@ -25,9 +25,29 @@ def live_counts(events: DataFrame, time_col: str = "ts", width: str = "1 minute"
     return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def totals(counts: DataFrame) -> DataFrame:
-    """Since the start, over the windows that have been written."""
-    return counts.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+def running_totals(events: DataFrame, keys: tuple[str, ...] = ("event_type",), value: str = "value") -> DataFrame:
+    """Totals since the first event, as keyed state of the stream: it lives in the checkpoint, so a later run goes on from it.
+
+    One row of state a key; values are added as decimals, so that the order of arrival doesn't matter.
+    """
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(28,6)")).alias("total"), F.max("ts").alias("last_seen"))
+
+
+def keep_totals(totals: DataFrame, out: str, checkpoint: str, update: bool = False) -> None:
+    """Each batch's totals to a folder of its own; a batch that runs again overwrites what it wrote.
+
+    ``update``: only the keys that the batch changed; ``latest_totals`` takes each key's last ones either way.
+    """
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    stream = totals.writeStream.outputMode("update" if update else "complete").foreachBatch(write)
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_totals(spark: SparkSession, out: str, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The last totals of each key."""
+    written = spark.read.parquet(out)
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
 
 
 def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, mode: str = "append", partition_by: str | None = None) -> None:
