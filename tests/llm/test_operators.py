@@ -479,11 +479,10 @@ def test_certified_cutoff(spark):
 
 
 def plain_cutoffs(rows, good, alpha, delta):
-    """rows: (id, stratum, {rule: signal}) that pass the base rules."""
+    """rows: (id, stratum, text, {rule: signal}) that pass the base rules. One row for each text of a stratum."""
     held = collections.defaultdict(lambda: ([], []))
-    for i, stratum, x in rows:
-        if i in good:
-            held[stratum][hashlib.md5(str(i).encode()).digest()[0] % 2].append(x)
+    for stratum, text, x in {(s, t): (s, t, x) for i, s, t, x in rows if i in good}.values():
+        held[stratum][hashlib.md5(text.encode()).digest()[0] % 2].append(x)
     grid, choice, tested = quality_rules.GRID, {}, {}
     for stratum, (a, b) in held.items():
         for rule, cuts in grid.items():
@@ -515,12 +514,36 @@ def test_cutoffs_by_stratum(spark):
     good = {i for i, _, _ in rows if i % 19}
     marks = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in range(0, len(rows), 19)], "doc_id long, quality int")
     scored = quality_rules._scored(df, ["doc_id", "lang"], "text").cache()
+    texts = {i: t for i, t, _ in rows}
     held = scored.where(~quality_rules.base_failed()).select("doc_id", F.coalesce("lang", F.lit("")).alias("s"), *[x.alias(r) for r, x in quality_rules.signals().items()]).collect()
     for alpha, delta in ((0.02, 0.05), (0.05, 0.2)):
         got = {tuple(r) for r in quality_rules.fit_cutoffs(spark, scored, marks, "doc_id", "lang", alpha, delta).collect()}
-        want = plain_cutoffs([(r.doc_id, r.s, r.asDict()) for r in held], good, alpha, delta)
+        want = plain_cutoffs([(r.doc_id, r.s, texts[r.doc_id], r.asDict()) for r in held], good, alpha, delta)
         assert got == want
         assert {s for s, _, _ in want} >= {"a"} and "c" not in {s for s, _, _ in want}
+    # Copies of labelled texts, under ids of their own, change no cutoff.
+    more = [(10_000 + k, rows[i][1], rows[i][2]) for k, i in enumerate([*range(40)] * 30)]
+    twice = quality_rules._scored(spark.createDataFrame(rows + more, df.schema), ["doc_id", "lang"], "text")
+    marked = marks.union(spark.createDataFrame([(i, 1) for i, _, _ in more], marks.schema))
+    all_good = good | {i for i, _, _ in more}
+    copied = {tuple(r) for r in quality_rules.fit_cutoffs(spark, twice, marked, "doc_id", "lang").collect()}
+    once = [(r.doc_id, r.s, texts[r.doc_id], r.asDict()) for r in held]
+    fresh = {rows[i][1] for i in range(40)}
+    assert copied == plain_cutoffs(once, {i for i, t, _ in rows if i in good or t in fresh}, quality_rules.ALPHA, quality_rules.DELTA) and all_good
+
+
+def test_certified_rules_equal_sql(spark):
+    """At a scale where levels are certified and documents go by them."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = {(r[0], r[-2], r[-1]) for r in con.execute(quality_rules.ORACLE_SQL).fetchall()}
+    got = {(r.doc_id, r.base_failed, r.kept) for r in quality_rules.query(spark, folder).collect()}
+    assert got == want
+    assert sum(not failed and not kept for _, failed, kept in got) > 100
 
 
 # --- archives -------------------------------------------------------------------------

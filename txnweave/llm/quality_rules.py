@@ -3,8 +3,9 @@
 Each document gets signals (symbol density, share of upper-case letters, mean
 word length, repeated lines, repeated words, table bars, exclamation marks). A
 rule rejects when its signal passes a cutoff. The cutoffs are not guessed:
-labelled good documents that pass the base rules form a holdout in each stratum, in two halves
-by a digest of the id. On the first half each rule takes the strictest cutoff that rejects at most
+labelled good documents that pass the base rules form a holdout in each stratum: one row for each text, however
+many documents are copies of it, in two halves by a digest of the text, so that no text that chose a
+cutoff also certifies it. On the first half each rule takes the strictest cutoff that rejects at most
 ``alpha`` divided by the number of rules. The second half, which chose nothing, certifies
 the rules together: at level 0 all have their cutoffs, at each further level all are one
 step of their grids more lenient (a rule beyond its grid is off). A level is eligible only if the exact binomial test rejects
@@ -17,8 +18,9 @@ every stratum at once.
 Defined cases: null text counts as empty (0 words, base failed); a null stratum
 is the stratum ``''``; labels without a document, or with null quality, count
 for nothing; repeated labels count once for each (doc_id, quality); repeated
-documents are judged alike, each on its own row; an empty table gives an empty
-result; extra columns do not matter.
+documents are judged alike, each on its own row, and count once in the holdout; an
+empty table gives an empty result; extra columns are carried if they are named, but for those
+called __q_*, __cuts, __s, __stratum, __base_failed or __kept, whose place the results take.
 """
 
 from __future__ import annotations
@@ -114,6 +116,7 @@ def with_metrics(docs: DataFrame, text_col: str, prefix: str = "__q_") -> DataFr
             f"{p}n_lines": F.size(f"{p}l").cast("long"),
             f"{p}n_marks": count_of("!|").cast("long"),
             f"{p}n_upper": upper.cast("long"),
+            f"{p}text": F.md5(text.cast("binary")),
         }
     )
     return df.drop(*[f"{p}{x}" for x in "whgrksl"])
@@ -157,9 +160,10 @@ def fit_cutoffs(spark: SparkSession, scored: DataFrame, labels: DataFrame, id_co
     """(__stratum, rule, cutoff): the cutoffs of each stratum's strictest certified level."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).distinct()
     held = scored.join(good, scored[id_col] == good["__id"], "left_semi").where(~base_failed())
-    half = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 2), 16, 10).cast("int") % 2
-    held = held.select(F.coalesce(F.col(stratum), F.lit("")).alias("__stratum"), half.alias("half"), *[x.alias(rule) for rule, x in signals().items()])
-    held = materialize(spark, held, "holdout")
+    half = F.conv(F.substring("__q_text", 1, 2), 16, 10).cast("int") % 2
+    held = held.select(F.coalesce(F.col(stratum), F.lit("")).alias("__stratum"), "__q_text", half.alias("half"), *[x.alias(rule) for rule, x in signals().items()])
+    # Copies of one text are one row: their signals are equal.
+    held = materialize(spark, held.distinct().drop("__q_text"), "holdout")
     each = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("at"), (F.col(rule) > float(cut)).alias("out")) for rule, cuts in GRID.items() for i, cut in enumerate(cuts)]
     counts = held.where("half = 0").select("__stratum", F.explode(F.array(*each)).alias("x")).groupBy("__stratum", "x.rule", "x.at").agg(F.count("*").alias("n"), F.count_if("x.out").alias("k"))
     chosen = counts.where(F.col("k") <= F.col("n") * F.lit(alpha / len(GRID))).groupBy("__stratum", "rule").agg(F.min("at").alias("at"))
@@ -195,7 +199,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, carry: list[s
     rules x strata rows; Spark broadcasts them when they are small and joins by
     stratum otherwise.
     """
-    names = list(dict.fromkeys([*carry, id_col, stratum]))
+    names = [n for n in dict.fromkeys([*carry, id_col, stratum]) if not n.startswith("__q_") and n not in ("__cuts", "__s", "__stratum", "__base_failed", "__kept")]
     scored = materialize(spark, _scored(docs, names, text_col), "quality")
     cuts = fit_cutoffs(spark, scored, labels, id_col, stratum).groupBy("__stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cuts"))
     cuts = materialize(spark, cuts, "cutoffs")
@@ -213,7 +217,8 @@ def _scored(docs: DataFrame, names: list[str], text_col: str) -> DataFrame:
 
 def filter_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(spark, docs, labels, docs.columns).where("__kept").select(*docs.columns)
+    carry = [c for c in docs.columns if not c.startswith("__q_") and c not in ("__cuts", "__s", "__stratum", "__base_failed", "__kept")]
+    return judge(spark, docs, labels, carry).where("__kept").select(*carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +247,7 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(DISTINCT p + k) AS n_repeat_words FROM twice, range({WINDOW}) AS r(k) GROUP BY rid
 ), m AS (
-  SELECT rid, doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+  SELECT rid, doc_id, stratum, md5(text) AS same, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          len(l) AS n_lines, length(regexp_replace(text, '[^!|]', '', 'g')) AS n_marks,
@@ -257,17 +262,17 @@ WITH d AS (
 ), grid(rule, step, cutoff) AS (VALUES
 {grid}
 ), v AS (
-  UNPIVOT (SELECT rid, doc_id, stratum, base_failed, {', '.join(GRID)} FROM s)
+  UNPIVOT (SELECT rid, doc_id, stratum, same, base_failed, {', '.join(GRID)} FROM s)
   ON {', '.join(GRID)} INTO NAME rule VALUE x
 ), held AS (
-  SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 2))::INTEGER % 2 AS half FROM v
+  SELECT DISTINCT stratum, same, rule, x, ('0x' || substr(same, 1, 2))::INTEGER % 2 AS half FROM v
   WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
 ), counts AS (
   SELECT stratum, rule, step, count(*) AS n, count_if(x > cutoff)::BIGINT AS k FROM held JOIN grid USING (rule) WHERE half = 0 GROUP BY ALL
 ), chosen AS (
   SELECT stratum, rule, min(step) AS step FROM counts WHERE k <= n * {ALPHA / len(GRID)!r}::DOUBLE GROUP BY ALL
 ), hit AS (
-  SELECT h.rid, h.stratum, level, bool_or(coalesce(x > cutoff, false)) AS gone
+  SELECT h.same, h.stratum, level, bool_or(coalesce(x > cutoff, false)) AS gone
   FROM held h JOIN chosen c ON h.stratum = c.stratum AND h.rule = c.rule CROSS JOIN range({LEVELS}) AS r(level)
   LEFT JOIN grid g ON g.rule = c.rule AND g.step = c.step + level
   WHERE half = 1 GROUP BY ALL
