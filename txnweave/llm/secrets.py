@@ -3,14 +3,16 @@
 Fixed patterns find key=value secrets, access keys and long hex runs (the base).
 The lexer reads source and configuration syntax around them: an identifier, quoted
 key or subscript, an assignment sign (=, :, :=, =>) and a value made of string literals, bare
-words and references, joined by + or by standing next to each other; or an element <name>value</name>. So every
+words and references, joined by + or by standing next to each other; or an element <name>value</name>, or the first two
+arguments of a call, name("key", value). Literals have one quote or three, these also over several lines. So every
 literal gets the name that it is assigned to. Constants are propagated, through any number of names: a reference
 or ${placeholder} stands for the literals that its name was given in the text
 (the last definition before it, else the first after it). A value is
 scored by its target name, how sensitive its parts are (``NAME_SCORES``), and by its own
 shape: length, entropy, mixed characters; placeholders, prose and repeats of
 the name count against it. Nothing is bounded: names, literals, parts and chains may have any length. From ``LIMIT`` on it is a secret, reported where the
-literal stands (kind ``lexed``), unless a base span covers it.
+literal stands (kind ``lexed``), unless a base span covers it; of a value in parts those under ``LEAST_PART``
+characters are left out, if a longer one is there.
 
 Each text is lexed alone, in time linear in its length: no shuffle.
 
@@ -49,6 +51,7 @@ NAME_SCORES = {
     "token": 2.5, "bearer": 2.5, "private": 2.0, "auth": 2.0, "access": 1.5, "signing": 1.5, "api": 1.5, "key": 1.5, "salt": 1.5, "pass": 2.0,
 }
 LIMIT = 5.0
+LEAST_PART = 4
 #: Without one of these no name has a score: the parts themselves, or apikey dealt over parts.
 _HINTS = re.compile("|".join([*NAME_SCORES, "[^A-Za-z0-9]*+".join("apikey")]), re.IGNORECASE)
 # Possessive: what follows never starts with what was taken, so nothing is tried twice.
@@ -57,11 +60,13 @@ _SIGN = r"[ \t]*+(?::=|=>|=(?![=>])|:(?![:/=]))"
 # A key, quoted or not, perhaps a subscript (conf["key"] = ...), and the sign. In a=b=c and a:b:c only a is a key.
 _KEY = rf"(?:(?<![\w$.\-=:]){_NAME}{_SIGN}|(?<=:){_NAME}[ \t]*+=(?![=>]))"
 _TARGET = re.compile(rf"""(?:(["'`])({_NAME})\1(?:[ \t]*+\])?+{_SIGN}|(?={_KEY})({_NAME}){_SIGN})[ \t]*+""")
+_CALL = re.compile(rf"""\(\s*+(["'`])({_NAME})\1\s*+,\s*+""")
 _ELEMENT = re.compile(rf"""<(?:[\w.\-]++:)?+({_NAME})(?:[ \t][^<>]*+)?+>([^<]*+)(?=</)""")
 # A bare literal goes on to a blank or bracket, or to where another key begins: no text is read for two values.
 _STOP = r"""\s"'`,;(){}\[\]<>+"""
 _BARE = rf"(?=[^{_STOP}])[\w$.\-]*+(?:(?:=|:(?!{_NAME}[ \t]*+=(?![=>]))|[^{_STOP}:=\w$.\-](?!{_NAME}{_SIGN}))[\w$.\-]*+)*+"
-_TERM = re.compile(rf"""(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1|\$\{{({_NAME})\}}|({_BARE})""")
+# Three quotes before one: an empty pair is no value where a third follows.
+_TERM = re.compile(rf"""(\"{{3}}|'{{3}})((?:\\[\s\S]|(?!\1)[^\\])*+)\1|(["'`])((?:\\.|(?!\3)[^\\\n])*+)\3|\$\{{({_NAME})\}}|({_BARE})""")
 _JOIN = re.compile(r"[ \t]*+\+[ \t]*+|[ \t]++(?=[\"'`])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|changeme|example|placeholder|todo|none|null|true|false|undefined|your[_\-]?.*|<.*>|\$\{.*\}|%.*%)$", re.IGNORECASE)
@@ -116,13 +121,14 @@ def _terms(text: str, pos: int) -> list[Term]:
     """(text, start, end, reference?) of the parts of the value at ``pos``."""
     out: list[Term] = []
     while m := _TERM.match(text, pos):
-        if m[1]:
-            out.append((m[2], m.start(2), m.end(2), False))
-        elif m[3]:
-            out.append((m[3], m.start(3), m.end(3), True))
+        if m[1] or m[3]:
+            at = 2 if m[1] else 4
+            out.append((m[at], m.start(at), m.end(at), False))
+        elif m[5]:
+            out.append((m[5], m.start(5), m.end(5), True))
         else:
-            bare = m[4].rstrip(".:")
-            out.append((bare, m.start(4), m.start(4) + len(bare), bool(_WHOLE_NAME.match(bare))))
+            bare = m[6].rstrip(".:")
+            out.append((bare, m.start(6), m.start(6) + len(bare), bool(_WHOLE_NAME.match(bare))))
         join = _JOIN.match(text, m.end())
         if not join:
             break
@@ -133,6 +139,7 @@ def _terms(text: str, pos: int) -> list[Term]:
 def lex(text: str) -> list[tuple[str, list[Term]]]:
     """(name, parts of its value) of each assignment and element, in the order of the text."""
     found = [(m.start(), m[2] or m[3], _terms(text, m.end())) for m in _TARGET.finditer(text)]
+    found += [(m.start(), m[2], _terms(text, m.end())) for m in _CALL.finditer(text)]
     for m in _ELEMENT.finditer(text):
         value = m[2].strip()
         if value:
@@ -189,14 +196,16 @@ def lexed_spans(text: str) -> set[tuple[int, int]]:
     for root, (name, _) in enumerate(found):
         if weights[root] <= 0 or weights[root] + shapes[root].score(name) < LIMIT:
             continue
-        stack = [root]
+        stack, parts = [root], []
         while stack:
             i = stack.pop()
             if i in seen:
                 continue
             seen.add(i)
             stack += [j for j in sources[i] if j is not None]
-            spans.update((a, b) for (_, a, b, _), j in zip(found[i][1], sources[i], strict=True) if j is None and b > a)
+            parts += [(a, b) for (_, a, b, _), j in zip(found[i][1], sources[i], strict=True) if j is None and b > a]
+        long = [(a, b) for a, b in parts if b - a >= LEAST_PART]
+        spans.update(long or parts)
     return spans
 
 
