@@ -49,8 +49,19 @@ def _dates() -> str:
     return f"SELECT d.value, d.priority FROM (SELECT explode(concat({', '.join(each)})) AS d)"
 
 
+def _matches() -> str:
+    """Every match of every pattern of every field, each field's by falling priority."""
+    each = [
+        f"transform(regexp_extract_all(x, {_lit(java(p))}, 1), v -> named_struct('field', '{field}', 'value', v, 'priority', {n}))"
+        for field, patterns in rules.FIELD_PATTERNS.items()
+        for p, n in sorted(patterns, key=lambda p: -p[1])
+    ]
+    return f"SELECT d.field, d.value, d.priority FROM (SELECT explode(concat({', '.join(each)})) AS d)"
+
+
 def register(spark: SparkSession) -> None:
-    """Temporary functions txn_* and the table function txn_dates."""
+    """Temporary functions txn_* and the table functions txn_dates and txn_matches."""
     for name, (kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION txn_dates(x STRING) RETURNS TABLE (value STRING, priority INT) RETURN {_dates()}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION txn_matches(x STRING) RETURNS TABLE (field STRING, value STRING, priority INT) RETURN {_matches()}")

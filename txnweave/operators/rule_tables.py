@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -118,16 +118,23 @@ def _blocks(rules: DataFrame) -> list[list[tuple]]:
     return [[tuple(r) for r in dealt.where(F.col("__block") == i).select(*columns).collect()] for i in range(last + 1)]
 
 
-def with_rules(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
-    """Adds first_rule, first_label, n_rules, best_label and best_score; null texts get nulls, texts without rules 0 rules."""
+def with_rules(df: DataFrame, text_col: str, rules: DataFrame, *more: tuple[str, DataFrame]) -> DataFrame:
+    """Adds first_rule, first_label, n_rules, best_label and best_score; null texts get nulls, texts without rules 0 rules.
+
+    ``more``: other texts with rules of their own, whose hits count with those of the first (a null text counts for nothing there);
+    ord must then be one order over all tables.
+    """
     global _count
     hits, out = [], df
-    for i, block in enumerate(_blocks(rules)):
-        _count += 1
-        out = out.withColumn(f"__hit{i}", _judge(df.sparkSession.sparkContext.broadcast(block), _count)(F.col(text_col)))
-        hits.append(F.col(f"__hit{i}"))
+    for column, table in ((text_col, rules), *more):
+        for block in _blocks(table):
+            name = f"__hit{len(hits)}"
+            _count += 1
+            out = out.withColumn(name, _judge(df.sparkSession.sparkContext.broadcast(block), _count)(F.col(column)))
+            hits.append(F.col(name))
     first = F.array_min(F.array(*[F.when(h["first"].isNotNull(), F.struct(h["first"].alias("first"), h["label"].alias("label"))) for h in hits]))
-    scores = F.flatten(F.array(*[h["scores"] for h in hits]))
+    none = F.array().cast(_HIT[_HIT.index("array<") :].removesuffix(">"))
+    scores = F.flatten(F.array(*[F.coalesce(h["scores"], none) for h in hits]))
     labels = F.array_distinct(F.transform(scores, lambda s: s["label"]))
 
     def summed(label: Column) -> Column:
@@ -137,11 +144,17 @@ def with_rules(df: DataFrame, text_col: str, rules: DataFrame) -> DataFrame:
     best = F.array_max(F.transform(labels, summed))
     n = hits[0]["n"]
     for h in hits[1:]:
-        n = n + h["n"]
+        n = n + F.coalesce(h["n"], F.lit(0))
     got = out.select(*df.columns, first.alias("__first"), best.alias("__best"), n.alias("__n"))
     return got.select(*df.columns, F.col("__first.first").alias("first_rule"), F.col("__first.label").alias("first_label"), F.col("__n").alias("n_rules"), F.col("__best.label").alias("best_label"), F.col("__best.score").alias("best_score"))
 
 
+def keyword_table(spark: SparkSession, rules: dict[str, list[str]], weight: float = 1.0, start: int = 0) -> DataFrame:
+    """(ord, keyword, label, weight) of rules label -> keywords, in their order."""
+    rows = [(start + i, k, label, weight) for i, (label, k) in enumerate((label, k) for label, words in rules.items() for k in words)]
+    return spark.createDataFrame(rows, "ord long, keyword string, label string, weight double")
+
+
 def weighted_choice(df: DataFrame, group: list[str], u: Column, weights: DataFrame, buckets: int = 64) -> DataFrame:
     """Adds choice: of the rows of a weights table (group columns, choice, weight) the one on which u in [0, 1) falls.
 
@@ -149,8 +162,6 @@ def weighted_choice(df: DataFrame, group: list[str], u: Column, weights: DataFra
     buckets of [0, 1) that its part touches, so a row meets the one or two choices of its own bucket by an equal join, and
     a group that holds most rows is dealt over all buckets. Groups without weights get null; null equals null.
     """
-    from pyspark.sql import Window
-
     over = Window.partitionBy(*group).orderBy("choice")
     whole = Window.partitionBy(*group)
     w = weights.where("weight > 0").select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("choice").alias("__choice"), F.col("weight").cast("double").alias("__w"), *group, "choice")

@@ -84,11 +84,13 @@ def row_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    f = X.extract(messages(spark, d).where("true_type != ''"))
+    """Expected and predicted fields of all messages; one that is no transaction is expected to have neither amount nor type nor account."""
+    f = X.extract(messages(spark, d))
     merchant, category = lookup.merchant_and_category(F.col("vpa"), F.col("text"))
     f = f.select("*", merchant.alias("merchant"), category.alias("category"))
+    txn = F.col("true_type") != ""
     return f.select(
-        "msg_id", "true_bank", F.col("true_amount").cast("decimal(18,2)").cast("string").alias("e_amount"), F.col("true_type").alias("e_type"), F.col("true_account").alias("e_account"),
+        "msg_id", "true_bank", F.when(txn, F.col("true_amount").cast("decimal(18,2)").cast("string")).alias("e_amount"), F.when(txn, F.col("true_type")).alias("e_type"), F.when(txn, F.col("true_account")).alias("e_account"),
         F.when(F.col("variant") < 5, F.col("true_reference")).alias("e_reference"), F.when(F.col("variant") < 4, F.date_format("ts", "dd-MM-yyyy")).alias("e_date"),
         F.when(F.col("variant") < 4, F.initcap("shop")).alias("e_merchant"), F.when(F.col("shop").isin("swiggy", "zomato"), "food").alias("e_category"),
         F.col("amount").cast("decimal(18,2)").cast("string").alias("p_amount"), F.col("type").alias("p_type"), F.col("account").alias("p_account"), F.col("reference").alias("p_reference"),
@@ -172,7 +174,7 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return D.bigrams(messages(spark, d), "text").where("n >= 5")
+    return D.bigrams(messages(spark, d), "text")
 
 
 def service_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -432,9 +434,9 @@ _STR = f"str AS (SELECT * FROM (SELECT msg_id, text, subject, true_bank, {_strin
 _STR_SCORE = "round(0.6::DOUBLE * ((amount IS NOT NULL)::INT + (type IS NOT NULL)::INT) / 2 + 0.4::DOUBLE * ((account IS NOT NULL)::INT + (date IS NOT NULL)::INT + (reference IS NOT NULL)::INT + (merchant IS NOT NULL)::INT + (category IS NOT NULL)::INT) / 5, 6)"
 _AUTO = f"""{_STR}, auto AS (SELECT *, confidence >= 0.8 AS verified FROM (SELECT msg_id, true_bank AS source,
 coalesce(nullif(subject, ''), upper(coalesce(type, 'transaction')[1]) || coalesce(type, 'transaction')[2:] || ' Alert - Rs.' || coalesce(amount, '0')) AS subject, amount, type, {_STR_SCORE} AS confidence FROM str))"""
-_PAIRS = f"""{FOUND}, pairs AS (SELECT msg_id, true_bank, true_amount::DECIMAL(18,2)::VARCHAR AS e_amount, true_type AS e_type, true_account AS e_account, CASE WHEN variant < 5 THEN true_reference END AS e_reference,
+_PAIRS = f"""{FOUND}, pairs AS (SELECT msg_id, true_bank, CASE WHEN true_type <> '' THEN true_amount::DECIMAL(18,2)::VARCHAR END AS e_amount, nullif(true_type, '') AS e_type, CASE WHEN true_type <> '' THEN true_account END AS e_account, CASE WHEN variant < 5 THEN true_reference END AS e_reference,
 CASE WHEN variant < 4 THEN strftime(ts, '%d-%m-%Y') END AS e_date, CASE WHEN variant < 4 THEN shop END AS e_merchant, CASE WHEN shop IN ('swiggy', 'zomato') THEN 'food' END AS e_category,
-amount::DECIMAL(18,2)::VARCHAR AS p_amount, type AS p_type, account AS p_account, reference AS p_reference, {norm_date('date')} AS p_date, merchant AS p_merchant, category AS p_category FROM cat WHERE true_type <> '')"""
+amount::DECIMAL(18,2)::VARCHAR AS p_amount, type AS p_type, account AS p_account, reference AS p_reference, {norm_date('date')} AS p_date, merchant AS p_merchant, category AS p_category FROM cat)"""
 _SAME = {f: f"lower(e_{f}) IS NOT DISTINCT FROM lower(p_{f})" for f in EVALUATED}
 _LONG = _PAIRS + ", longer AS (" + " UNION ALL ".join(f"SELECT msg_id, true_bank, '{f}' AS field, lower(e_{f}) IS NOT DISTINCT FROM lower(p_{f}) AS correct FROM pairs WHERE e_{f} IS NOT NULL AND e_{f} <> ''" for f in ("amount", "type", "account", "reference")) + ")"
 _ROWCOUNT = " + ".join(f"({f} IS NOT NULL)::INT" for f in ("amount", "type", "account", "date", "reference", "merchant", "category"))
@@ -528,7 +530,7 @@ SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]{{2,}}$') AN
 SELECT *, round(n / sum(n) OVER (), 6) AS share FROM g"""),
     "f15_calibration": (calibration, f"WITH {MSG}, {FOUND}, x AS (SELECT coalesce(category, 'none') AS category, ln(greatest(1.0, amount)) AS x FROM cat WHERE amount IS NOT NULL) SELECT category, count(*) AS n, round(avg(x), 6) AS mu, round(greatest(0.1, stddev_pop(x)), 6) AS sigma FROM x GROUP BY ROLLUP (category) HAVING count(*) >= 10"),
     "f16_bigrams": (bigrams, rf"""WITH {MSG}, w AS (SELECT regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM msg), t AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
-SELECT w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 5"""),
+SELECT w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS n FROM t GROUP BY ALL"""),
     "f17_service_counters": (service_counters, f"""WITH {MSG}, {SCORED}, {CLASSED} SELECT strftime(done.ts, '%Y-%m') AS month, count(*) AS total, count(amount) AS extracted, count_if(classification = 'keep')::BIGINT AS kept, count_if(confidence = 'failed')::BIGINT AS failed
 FROM done JOIN classed USING (msg_id) GROUP BY ALL"""),
     "g1_row_ids": (row_ids, "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id FROM orders"),

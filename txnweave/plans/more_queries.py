@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import extract as X
 from ..functions import jsonx, normalize, sql
-from ..functions.patterns import first_label
 from ..operators import datasets as D
-from ..operators import routing
+from ..operators import reports, routing
 from ..scratch import new_folder
 from .dataset_queries import _AUTO, _PAIRS, _hash, _pairs, auto_labels
 from .extraction_queries import _STRICT, CLASSED, RAW
@@ -113,13 +112,9 @@ def export_verified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_set(spark: SparkSession, d: str) -> DataFrame:
-    """Strict filter, bank, required fields, one row for each reference of a bank, at most 15 of a bank."""
-    m = messages(spark, d).where(routing.strict_filter(F.col("text")))
-    bank = first_label(F.lower(F.concat_ws(" ", "text", "sender")), X.STRICT_BANKS)
-    x = m.select("msg_id", bank.alias("bank"), *[c.alias(k) for k, c in X.strict_label_fields(F.col("text")).items()])
-    x = x.where("bank IS NOT NULL AND amount IS NOT NULL AND type IS NOT NULL AND reference IS NOT NULL")
-    one = D.keep_first(x, ["bank", "reference"], [F.col("msg_id")])
-    return D.sample_per_group(one, "bank", "msg_id", 15).select("msg_id", "bank", "amount", "type", "reference")
+    """Strict filter, bank, required fields, one row for each reference of a bank, at most 15 of a bank, with ids."""
+    out = reports.strict_set(messages(spark, d).select("msg_id", "text", "sender"), "msg_id", "text", "sender")
+    return out.select("id", "msg_id", "bank", "amount", "type", "reference")
 
 
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +154,7 @@ CASE WHEN o_orderkey % 2 = 0 THEN 'Ref: ' || o_orderkey END) AS sentence FROM or
     "k13_benchmark_set": (benchmark_set, f"""WITH {MSG}, x AS (SELECT msg_id, {sql_label("lower(text || ' ' || sender)", X.STRICT_BANKS)} AS bank, replace({in_order('text', X.STRICT_AMOUNT)}, ',', '') AS amount,
 CASE WHEN contains(lower(text), 'debited') THEN 'debit' WHEN contains(lower(text), 'credited') THEN 'credit' END AS type, {in_order('text', X.STRICT_REFERENCE)} AS reference FROM msg WHERE {_STRICT}),
 o AS (SELECT *, row_number() OVER (PARTITION BY bank, reference ORDER BY msg_id) AS k FROM x WHERE bank IS NOT NULL AND amount IS NOT NULL AND type IS NOT NULL AND reference IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM o WHERE k = 1) SELECT msg_id, bank, amount, type, reference FROM s WHERE r <= 15"""),
+s AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY {_hash('msg_id', '42')}, msg_id) AS r FROM o WHERE k = 1) SELECT row_number() OVER (ORDER BY {_hash('msg_id', '42')}, msg_id) AS id, msg_id, bank, amount, type, reference FROM s WHERE r <= 15"""),
     "m5_sql_functions": (sql_functions, f"""WITH {MSG}, {RAW} SELECT msg_id, true_amount AS amount, {digits_only('account')} AS account, 'r' || regexp_replace(reference, '[^A-Za-z0-9]', '', 'g') AS reference, CASE WHEN contains(vpa, '@') THEN lower(vpa) END AS vpa,
 {norm_date('date')} AS date, vpa AS merchant, CASE WHEN {has_any('lower(text)', normalize.DEBIT_WORDS)} THEN 'debit' WHEN {has_any('lower(text)', normalize.CREDIT_WORDS)} THEN 'credit' END AS type FROM raw"""),
     "m5_table_function": (table_function, f"WITH {MSG}, m AS ({_DATES}) SELECT priority, count(*) AS n, count(DISTINCT value) AS n_values FROM m GROUP BY ALL"),

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import formats, sources
+from .. import formats, rules, sources
 from ..functions import extract as X
-from ..functions import normalize
+from ..functions import normalize, sql
 from ..operators import datasets as D
 from ..operators import extraction, ranges, reports, rule_tables, store, templates
 from ..operators import statements as S
 from ..scratch import new_folder
 from .dataset_queries import _AUTO, _hash, auto_labels, docs
-from .extraction_queries import RAW, SCORED, _bank_part, _labels
+from .extraction_queries import RAW, SCORED, _bank_part, _labels, _mail_classes, _text_category
 from .messages import HANDLES, SHOPS, messages, spread
 from .oracle_base import MSG, array, has_any, in_order, lit
 from .oracle_base import first_label as sql_label
@@ -34,6 +36,33 @@ def rule_table(spark: SparkSession, d: str) -> DataFrame:
     return rule_tables.with_rules(x, "low", word_rules(spark, d)).drop("low")
 
 
+def mail_rule_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Mail classes and text categories with their words as tables: senders' words count three times, and all are looked for at once."""
+    m = messages(spark, d).select("msg_id", F.lower("sender").alias("who"), F.lower(F.concat_ws(" ", "subject", "sender", "text")).alias("everything"), F.lower("text").alias("low"))
+    place = {c: 1000 * i for i, c in enumerate(rules.MAIL_CATEGORIES)}
+    table = lambda at, weight: reduce(DataFrame.unionByName, [rule_tables.keyword_table(spark, {c: words[at]}, weight, place[c] + 500 * at) for c, words in rules.MAIL_CATEGORIES.items()])
+    x = rule_tables.with_rules(m, "everything", table(1, 1.0), ("who", table(0, 3.0)))
+    x = x.select("msg_id", "low", F.coalesce("best_label", F.lit("other")).alias("category"), F.coalesce("best_score", F.lit(0.0)).cast("int").alias("score"))
+    y = rule_tables.with_rules(x, "low", rule_tables.keyword_table(spark, rules.CATEGORY_WORDS))
+    y = y.select("msg_id", "low", "category", "score", F.col("best_label").alias("text_category"))
+    z = rule_tables.with_rules(y, "low", rule_tables.keyword_table(spark, X.CLEAN_BANKS))
+    return z.select("msg_id", "category", "score", "text_category", F.col("first_label").alias("bank"))
+
+
+def all_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every match of every pattern of all eight fields."""
+    named = lambda f: lambda m, i: F.struct(F.lit(f).alias("field"), i.alias("pos"), m["value"].alias("value"), m["priority"].alias("priority"))
+    each = [F.transform(X.all_matches(F.col("text"), f), named(f)) for f in rules.FIELD_PATTERNS]
+    return messages(spark, d).select("msg_id", F.explode(F.flatten(F.array(*each))).alias("m")).select("msg_id", "m.*")
+
+
+def matches_function(spark: SparkSession, d: str) -> DataFrame:
+    """The same through SQL's table function."""
+    sql.register(spark)
+    messages(spark, d).select("msg_id", "text").createOrReplaceTempView("txn_messages")
+    return spark.sql("SELECT field, priority, count(*) AS n, count(DISTINCT value) AS n_values FROM txn_messages, LATERAL txn_matches(text) GROUP BY field, priority")
+
+
 # --- weights, templates, layouts ---------------------------------------------------------------
 
 KINDS = ["plain", "short", "long", "formal"]
@@ -239,7 +268,16 @@ _JSON = "'{' || concat_ws(',', " + ", ".join(
 _SIMPLE_SQL = f"""s AS (SELECT msg_id, text FROM msg WHERE msg_id % 4 <> 0 AND length(text) >= 50 AND {has_any('lower(text)', reports.SIMPLE_VERBS)} AND {has_any('lower(text)', reports.AMOUNT_SIGNS)}
 AND substr(text, 1, 100) NOT IN (SELECT substr(text, 1, 100) FROM msg WHERE msg_id % 4 = 0)), k AS (SELECT *, row_number() OVER (ORDER BY {_hash('msg_id', '42')}, msg_id) AS id FROM s)"""
 
+_ALL_FIELDS = " UNION ALL ".join(
+    f"SELECT msg_id, '{field}' AS field, {n} AS priority, {i} AS k, unnest(range(len(v))) AS j, unnest(v) AS value FROM (SELECT msg_id, regexp_extract_all(text, {lit('(?i)' + p)}, 1) AS v FROM msg)"
+    for field, patterns in rules.FIELD_PATTERNS.items()
+    for i, (p, n) in enumerate(sorted(patterns, key=lambda x: -x[1]))
+)
+
 QUERIES = {
+    "c11_all_fields": (all_fields, f"WITH {MSG}, m AS ({_ALL_FIELDS}) SELECT msg_id, field, (row_number() OVER (PARTITION BY msg_id, field ORDER BY k, j) - 1)::INTEGER AS pos, value, priority FROM m"),
+    "m5_matches_function": (matches_function, f"WITH {MSG}, m AS ({_ALL_FIELDS}) SELECT field, priority, count(*) AS n, count(DISTINCT value) AS n_values FROM m GROUP BY ALL"),
+    "e8_rule_tables": (mail_rule_tables, f"""WITH {MSG}, c AS (WITH {_mail_classes()}) SELECT msg_id, category, score, {_text_category('text')} AS text_category, {sql_label('lower(text)', X.CLEAN_BANKS)} AS bank FROM c JOIN msg USING (msg_id)"""),
     "e6_rule_table": (rule_table, f"""WITH {_RULES}, hit AS (SELECT doc_id, r.* FROM documents JOIN rules r ON contains(lower(text), keyword)),
 f AS (SELECT doc_id, min(ord) AS first_rule, arg_min(label, ord) AS first_label, count(*) AS n_rules FROM hit GROUP BY doc_id),
 s AS (SELECT doc_id, label, sum(weight) AS score, min(ord) AS place FROM hit GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS k FROM s)
