@@ -29,7 +29,7 @@ BLOCK_BYTES = 16_000_000
 #: Automata that a worker keeps.
 KEPT = 4
 
-_HIT = "struct<first: long, label: string, n: long, scores: array<struct<label: string, score: double, first: long>>>"
+_HIT = "struct<first: long, label: string, exact: long, exact_label: string, n: long, scores: array<struct<label: string, score: double, first: long>>>"
 
 
 class Rules:
@@ -74,14 +74,17 @@ class Rules:
             return None
         numbers = sorted(self.fired(text))
         if not numbers:
-            return {"first": None, "label": None, "n": 0, "scores": []}
+            return {"first": None, "label": None, "exact": None, "exact_label": None, "n": 0, "scores": []}
+        same = next((self.rows[i] for i in numbers if self.rows[i][1] == text), None)
         scores: dict[str, list] = {}
         for i in numbers:
             at, _, label, weight, _ = self.rows[i]
             scores.setdefault(label, [0.0, at])[0] += weight
-        return {"first": self.rows[numbers[0]][0], "label": self.rows[numbers[0]][2], "n": len(numbers), "scores": [{"label": k, "score": s, "first": at} for k, (s, at) in scores.items()]}
+        exact = {"exact": same and same[0], "exact_label": same and same[2]}
+        return {"first": self.rows[numbers[0]][0], "label": self.rows[numbers[0]][2]} | exact | {"n": len(numbers), "scores": [{"label": k, "score": s, "first": at} for k, (s, at) in scores.items()]}
 
 
+_NOTHING = dict.fromkeys(("first", "label", "exact", "exact_label", "n", "scores"))
 _built: dict[int, Rules] = {}
 
 
@@ -93,9 +96,9 @@ def _judge(shared, token: int) -> Callable[[Column], Column]:
                 _built.pop(next(iter(_built)))
             _built[token] = Rules(shared.value)
         rules = _built[token]
-        rows = [rules.judge(t) or {"first": None, "label": None, "n": None, "scores": None} for t in texts]
-        out = pd.DataFrame(rows, columns=["first", "label", "n", "scores"])
-        return out.astype({"first": "Int64", "n": "Int64"})
+        rows = [rules.judge(t) or _NOTHING for t in texts]
+        out = pd.DataFrame(rows, columns=[*_NOTHING])
+        return out.astype({"first": "Int64", "exact": "Int64", "n": "Int64"})
 
     return judge
 
@@ -119,7 +122,7 @@ def _blocks(rules: DataFrame) -> list[list[tuple]]:
 
 
 def with_rules(df: DataFrame, text_col: str, rules: DataFrame, *more: tuple[str, DataFrame]) -> DataFrame:
-    """Adds first_rule, first_label, n_rules, best_label and best_score; null texts get nulls, texts without rules 0 rules.
+    """Adds first_rule, first_label, exact_label (of the first rule whose keyword is the text), n_rules, best_label and best_score; null texts get nulls, texts without rules 0 rules.
 
     ``more``: other texts with rules of their own, whose hits count with those of the first (a null text counts for nothing there);
     ord must then be one order over all tables.
@@ -133,6 +136,7 @@ def with_rules(df: DataFrame, text_col: str, rules: DataFrame, *more: tuple[str,
             out = out.withColumn(name, _judge(df.sparkSession.sparkContext.broadcast(block), _count)(F.col(column)))
             hits.append(F.col(name))
     first = F.array_min(F.array(*[F.when(h["first"].isNotNull(), F.struct(h["first"].alias("first"), h["label"].alias("label"))) for h in hits]))
+    exact = F.array_min(F.array(*[F.when(h["exact"].isNotNull(), F.struct(h["exact"].alias("exact"), h["exact_label"].alias("label"))) for h in hits]))
     none = F.array().cast(_HIT[_HIT.index("array<") :].removesuffix(">"))
     scores = F.flatten(F.array(*[F.coalesce(h["scores"], none) for h in hits]))
     labels = F.array_distinct(F.transform(scores, lambda s: s["label"]))
@@ -145,8 +149,8 @@ def with_rules(df: DataFrame, text_col: str, rules: DataFrame, *more: tuple[str,
     n = hits[0]["n"]
     for h in hits[1:]:
         n = n + F.coalesce(h["n"], F.lit(0))
-    got = out.select(*df.columns, first.alias("__first"), best.alias("__best"), n.alias("__n"))
-    return got.select(*df.columns, F.col("__first.first").alias("first_rule"), F.col("__first.label").alias("first_label"), F.col("__n").alias("n_rules"), F.col("__best.label").alias("best_label"), F.col("__best.score").alias("best_score"))
+    got = out.select(*df.columns, first.alias("__first"), exact.alias("__exact"), best.alias("__best"), n.alias("__n"))
+    return got.select(*df.columns, F.col("__first.first").alias("first_rule"), F.col("__first.label").alias("first_label"), F.col("__exact.label").alias("exact_label"), F.col("__n").alias("n_rules"), F.col("__best.label").alias("best_label"), F.col("__best.score").alias("best_score"))
 
 
 def keyword_table(spark: SparkSession, rules: dict[str, list[str]], weight: float = 1.0, start: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import formats, rules, sources
 from ..functions import extract as X
-from ..functions import normalize, sql
+from ..functions import lookup, normalize, sql
 from ..operators import datasets as D
 from ..operators import extraction, ranges, reports, rule_tables, store, templates
 from ..operators import statements as S
@@ -33,7 +33,17 @@ def word_rules(spark: SparkSession, d: str) -> DataFrame:
 def rule_table(spark: SparkSession, d: str) -> DataFrame:
     """Documents by a table of keyword rules: the first rule, their number, and the label of the largest weight."""
     x = docs(spark, d).select("doc_id", F.lower("text").alias("low"))
-    return rule_tables.with_rules(x, "low", word_rules(spark, d)).drop("low")
+    return rule_tables.with_rules(x, "low", word_rules(spark, d)).drop("low", "exact_label")
+
+
+def merchant_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses to merchants (the exact key, else the first that the user part holds) and merchants to categories (the first whose key the merchant holds or whose name holds the merchant), by the merchants' table."""
+    table = lookup.merchant_rules(spark)
+    m = X.extract(messages(spark, d).select("msg_id", "text")).select("msg_id", "vpa", lookup.vpa_user(F.col("vpa")).alias("user"))
+    x = rule_tables.with_rules(m, "user", table.select("ord", F.col("key").alias("keyword"), F.col("name").alias("label")))
+    x = x.select("msg_id", "vpa", F.coalesce("exact_label", "first_label").alias("merchant"), F.col("n_rules").alias("keys")).withColumn("low", F.lower("merchant"))
+    y = rule_tables.with_rules(x, "low", table.select("ord", F.col("key").alias("keyword"), F.col("category").alias("label"), F.lower("name").alias("name")))
+    return y.select("msg_id", "vpa", "merchant", "keys", F.col("first_label").alias("category"), F.col("n_rules").alias("rules"))
 
 
 def mail_rule_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -278,6 +288,11 @@ QUERIES = {
     "c11_all_fields": (all_fields, f"WITH {MSG}, m AS ({_ALL_FIELDS}) SELECT msg_id, field, (row_number() OVER (PARTITION BY msg_id, field ORDER BY k, j) - 1)::INTEGER AS pos, value, priority FROM m"),
     "m5_matches_function": (matches_function, f"WITH {MSG}, m AS ({_ALL_FIELDS}) SELECT field, priority, count(*) AS n, count(DISTINCT value) AS n_values FROM m GROUP BY ALL"),
     "e8_rule_tables": (mail_rule_tables, f"""WITH {MSG}, c AS (WITH {_mail_classes()}) SELECT msg_id, category, score, {_text_category('text')} AS text_category, {sql_label('lower(text)', X.CLEAN_BANKS)} AS bank FROM c JOIN msg USING (msg_id)"""),
+    "e1_rule_tables": (merchant_tables, f"""WITH {MSG}, {RAW}, r(ord, key, name, category) AS (VALUES {', '.join(f"({i}, {lit(k)}, {lit(n)}, {lit(c)})" for i, (k, n, c) in enumerate(rules.MERCHANTS))}),
+u AS (SELECT msg_id, vpa, split_part(lower(trim(vpa)), '@', 1) AS u FROM raw), h AS (SELECT msg_id, count(*) AS keys, arg_min(name, ord) AS part, arg_min(name, ord) FILTER (key = u) AS exact FROM u JOIN r ON contains(u, key) GROUP BY msg_id),
+m AS (SELECT u.msg_id, vpa, coalesce(exact, part) AS merchant, CASE WHEN vpa IS NOT NULL THEN coalesce(keys, 0) END AS keys FROM u LEFT JOIN h USING (msg_id)),
+n AS (SELECT DISTINCT merchant FROM m WHERE merchant IS NOT NULL), c AS (SELECT merchant, arg_min(category, ord) AS category, count(*) AS rules FROM n JOIN r ON contains(lower(merchant), key) OR contains(lower(name), lower(merchant)) GROUP BY merchant)
+SELECT msg_id, vpa, m.merchant, keys, category, CASE WHEN m.merchant IS NOT NULL THEN coalesce(rules, 0) END AS rules FROM m LEFT JOIN c ON c.merchant = m.merchant"""),
     "e6_rule_table": (rule_table, f"""WITH {_RULES}, hit AS (SELECT doc_id, r.* FROM documents JOIN rules r ON contains(lower(text), keyword)),
 f AS (SELECT doc_id, min(ord) AS first_rule, arg_min(label, ord) AS first_label, count(*) AS n_rules FROM hit GROUP BY doc_id),
 s AS (SELECT doc_id, label, sum(weight) AS score, min(ord) AS place FROM hit GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS k FROM s)
