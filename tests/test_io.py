@@ -32,6 +32,6 @@ def test_a_batch_that_runs_again_is_there_once(spark, tmp_path):
 
 def test_labelled_rows_and_plain_corpus(spark, tmp_path):
     (tmp_path / "rows.json").write_text(json.dumps({"rows": [{"raw_text": "a"}, {"bank": "SBI", "labeled": True}]}))
-    assert sorted(map(tuple, sources.read_labeled_rows(spark, f"{tmp_path}/rows.json").collect())) == [("SBI", "", True), ("unknown", "a", False)]
+    assert sorted(map(tuple, sources.read_labeled_rows(spark, f"{tmp_path}/rows.json").select("bank", "raw_text", "labeled").collect())) == [("SBI", "", True), ("unknown", "a", False)]
     sources.write_corpus(spark.createDataFrame([("one", "s"), ("two", "s")], "text string, source string"), f"{tmp_path}/plain", plain=True)
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/plain").collect()) == ["", "", "one", "two"]
