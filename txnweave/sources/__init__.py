@@ -135,23 +135,20 @@ def read_mbox(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 READERS = {"csv": read_csv, "json": read_json, "xml": read_sms_xml, "mbox": read_mbox}
 
 
+def _any_case(kind: str) -> str:
+    return "." + "".join(f"[{c}{c.upper()}]" for c in kind)
+
+
 def find_exports(spark: SparkSession, folder: str) -> set[str]:
-    """The kinds of files that a folder and all folders below it hold, by extension in any case. Names are listed, nothing is read."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found, files = set(), hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
-    while files.hasNext() and len(found) < len(READERS):
-        name = files.next().getPath().getName()
-        kind = name.rpartition(".")[2].lower()
-        if kind in READERS and not name.startswith(("_", ".")):
-            found.add(kind)
-    return found
+    """The kinds of files that a folder and all folders below it hold, by extension in any case. Spark lists them in parallel; nothing is read."""
+    files = lambda k: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{_any_case(k)}").load(folder)
+    return {k for k in READERS if not files(k).select("path").isEmpty()}
 
 
 def unify(spark: SparkSession, folder: str) -> DataFrame:
     """All exports of a folder and the folders below it, each file by its extension, one row for each distinct body: the first by source and time."""
     kinds = find_exports(spark, folder)
-    any_case = lambda k: "." + "".join(f"[{c}{c.upper()}]" for c in k)
-    parts = [READERS[k](spark, folder, any_case(k)).select(*UNIFIED) for k in READERS if k in kinds]
+    parts = [READERS[k](spark, folder, _any_case(k)).select(*UNIFIED) for k in READERS if k in kinds]
     if not parts:
         return spark.createDataFrame([], "timestamp string, sender string, body string, source string")
     return keep_first(reduce(DataFrame.unionByName, parts), ["body"], [F.col("source"), F.col("timestamp"), F.col("sender")])
