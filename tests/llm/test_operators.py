@@ -254,7 +254,7 @@ def test_document_scores(spark, tmp_path_factory):
     counts = collections.Counter(w for d, t in rows if not held(d) for w in words(t))
     ends = sum(not held(d) for d, _ in rows)
     n = sum(counts.values()) + ends
-    p = np.exp(first) * (1 - (ends + 0.01) / (n + 0.02))
+    p, stop = np.exp(first) * (1 - lattice_lm.FIRST_STOP), lattice_lm.FIRST_STOP
 
     def ways(word):
         """All segmentations as lists of piece numbers."""
@@ -267,16 +267,26 @@ def test_document_scores(spark, tmp_path_factory):
         return out
 
     every = {w: ways(b" " + w.encode()) for w in {w for _, t in rows for w in words(t)}}
-    for _ in range(lattice_lm.EM_ROUNDS):
+    last = -math.inf
+    for _ in range(lattice_lm.MOST_ROUNDS):
         expected = np.full(len(p), 0.01)
-        for w, c in counts.items():
+        gained = math.log(stop)
+        for w in counts:
             likely = [math.prod(p[i] for i in way) for way in every[w]]
+            gained += math.log(sum(likely)) / len(counts)
             for way, x in zip(every[w], likely, strict=True):
                 for i in way:
-                    expected[i] += c * x / sum(likely)
-        total = expected.sum() + ends + 0.01
-        p, end = expected / total, (ends + 0.01) / total
-    score = lambda t: math.log10(end) + sum(math.log10(sum(math.prod(p[i] for i in way) for way in every[w])) for w in words(t))
+                    expected[i] += x / sum(likely)
+        total = expected.sum() + len(counts) + 0.01
+        p, stop = expected / total, (len(counts) + 0.01) / total
+        if gained - last < lattice_lm.LEAST_GAIN * abs(gained):
+            break
+        last = gained
+    tokens, once, twice = sum(counts.values()), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    d1 = (once + 0.5) / (once + 2 * twice + 1)
+    end = (ends + 1) / (n + 2)
+    word = lambda w: (max(counts[w] - d1, 0) + d1 * len(counts) * stop * sum(math.prod(p[i] for i in way) for way in every[w])) / tokens
+    score = lambda t: math.log10(end) + sum(math.log10((1 - end) * word(w)) for w in words(t))
     want = sorted(((d is None, d or 0), held(d), len(words(t)) + 1, n, score(t)) for d, t in rows)
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.held_out, r.n_tokens, r.train_tokens, r.score) for r in lattice_lm.query(spark, folder).collect())
     for a, b in zip(got, want, strict=True):

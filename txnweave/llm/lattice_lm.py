@@ -1,28 +1,32 @@
 """Language-model scores by the likelihood of the subword lattice.
 
 The vocabulary is an existing one (pieces of a sentencepiece file with
-scores); the model is a unigram model over its pieces, bytes as a last resort.
-A word is the sum over all its segmentations, by a forward recursion in log
-space over its bytes; a text is the product of its words and an end symbol. So
-the score is the log of the marginal probability of the text, not of its best
-segmentation. Pieces give an open vocabulary a proper distribution, so the score of a token is below
-the base score of the same text, which gives each unseen word the weight 1/(N+V+1)
-however many there are.
+scores); bytes are a last resort. A word is the sum over all its segmentations, by a
+forward recursion in log space over its bytes, and a stop; a text is the product of its
+words and an end. So the score is the log of the marginal probability of the text, not
+of its best segmentation.
+
+A word of the training documents is one more edge of its own lattice, from its first byte to
+its last. With M tokens, V distinct words and c times the word, that edge weighs (c - d) / M and
+the way through the pieces d V / M (absolute discounting; d by the numbers of words
+seen once and twice). So the distribution stays a proper one over all words there can be.
 
 Learning: words of the training documents are counted. The file's scores (ranks) give the first
-weights; an expectation step over the lattices of all distinct words, with
-their counts, gives expected counts of pieces, and these the weights (``em_rounds``
-times). The base score (add-one word unigrams) uses the same counts.
+weights of the pieces; an expectation step over the lattices of all distinct words, each
+once, gives expected counts of pieces, and these the weights: what the pieces must
+explain is new words, so a word counts as often as it is new. Steps go on until one
+gains less than ``LEAST_GAIN`` of the log likelihood of a word. The base score
+(add-one word unigrams) uses the same counts.
 
 How it runs: the word table is a table in the shared folder and stays distributed.
 The ``HEAD`` most frequent words (a fixed number, found by a histogram of counts)
 with counts and scores are broadcast, and looked up by hash and then byte by byte; each task sums up what it finds there for
-its documents and writes the other words as (row, word, times) rows, which join with the
-word table. Nothing that grows with the corpus goes through the driver.
+its documents and writes the other words as (row, word, times, log likelihood) rows, which join
+with the word table. Nothing that grows with the corpus goes through the driver.
 
 Defined cases: null and empty texts are the end alone; a null id counts as the
 text '' when documents are divided; repeated rows count as often as they occur; with
-no training documents N is 0, V is 0, and weights stay those of the file; an empty
+no training documents N is 0, V is 0, weights stay those of the file and pieces explain all words; an empty
 table gives an empty result; extra columns are not read.
 """
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +50,10 @@ from .common import BLANKS, LOWER, WordTable, distinct_spans, documents, materia
 VOCABULARY = "piece_bpe_32k.model"
 #: Words whose counts and scores are broadcast, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 1_000_000, 64
-EM_ROUNDS = 2
+#: Expectation steps end with one that gains less than this share of the log likelihood of a word; a bound for their number.
+LEAST_GAIN, MOST_ROUNDS = 0.005, 20
+#: First probability of a word's stop.
+FIRST_STOP = 0.25
 #: Words longer than this many bytes take the recursion that goes word by word.
 LONG = 192
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -75,12 +83,15 @@ def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """Piece lookup by hash; log weights by piece. The last weight is the end's."""
+    """Piece lookup by hash, then byte by byte; log weights by piece. The last weight is the stop's."""
 
     def __init__(self, pieces: list[bytes], weights: np.ndarray):
         self.pieces, self.weights = pieces, weights
         self.longest = max(map(len, pieces))
         self.by_name = {x: i for i, x in enumerate(pieces)}
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.starts = np.cumsum(self.sizes) - self.sizes
         keys = np.array([self._hash(x) for x in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.numbers = keys[order], order
@@ -95,13 +106,18 @@ class Lattice:
             h = (h * int(_B) + b + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of h are pieces, their numbers)."""
+    def _find(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which rows of ends, with hashes h, are pieces, their numbers)."""
         hit = np.flatnonzero(self.maybe[(h * _B) >> self.bits])
         at = np.searchsorted(self.keys, h[hit])
         at[at == len(self.keys)] = 0
         ok = self.keys[at] == h[hit]
-        return hit[ok], self.numbers[at[ok]]
+        hit, piece = hit[ok], self.numbers[at[ok]]
+        size = ends.shape[1]
+        ok = self.sizes[piece] == size
+        hit, piece = hit[ok], piece[ok]
+        ok = (self.data[self.starts[piece][:, None] + np.arange(size)] == ends[hit]).all(1)
+        return hit[ok], piece[ok]
 
     def run(self, words: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihood of each word, expected counts of the pieces if counts are given)."""
@@ -135,7 +151,7 @@ class Lattice:
             byte = base + m[:, i - 1].astype(np.int64)
             total = alpha[i - 1] + self.weights[byte]
             for k in range(1, min(i, self.longest) + 1):
-                hit, piece = self._find(prefix[i] - prefix[i - k] * powers[k])
+                hit, piece = self._find(prefix[i] - prefix[i - k] * powers[k], m[:, i - k : i])
                 if len(hit):
                     total[hit] = np.logaddexp(total[hit], alpha[i - k, hit] + self.weights[piece])
                     if counts is not None:
@@ -227,41 +243,76 @@ def count_words(spark: SparkSession, training: DataFrame, text_col: str) -> Data
 def _expect(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _local_lattice(model)
-        total = np.zeros(len(lattice.weights))
+        total, likely = np.zeros(len(lattice.weights)), 0.0
         for batch in batches:
-            total += lattice.run(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))[1]
+            values, expected = lattice.run(batch.column(0).to_pylist(), np.ones(batch.num_rows))
+            total += expected
+            likely += values.sum()
         used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.float64())], names=["piece", "n"])
+        yield pa.record_batch([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(total[used], likely), pa.float64())], names=["piece", "n"])
 
     return run
 
 
-def learn_weights(spark: SparkSession, words: DataFrame, pieces: list[bytes], weights: np.ndarray, ends: int, rounds: int) -> np.ndarray:
-    """Log weights of pieces, bytes and the end after expectation steps over all distinct words."""
+def learn_weights(spark: SparkSession, words: DataFrame, pieces: list[bytes], weights: np.ndarray, distinct: int, rounds: int | None = None) -> np.ndarray:
+    """Log weights of pieces, bytes and the stop after expectation steps over all distinct words: ``rounds``, or as many as gain something."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    for r in range(rounds):
+    last = -math.inf
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         model = share_model(spark, pieces, weights)
-        sums = words.select("word", "c").mapInArrow(_expect(model), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        got = np.zeros(len(weights))
+        sums = words.select("word").mapInArrow(_expect(model), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        got, likely = np.zeros(len(pieces) + 256), 0.0
         for row in sums.collect():  # one row for each piece of the vocabulary at most
-            got[row["piece"]] = row["n"]
-        smooth = got[: len(pieces) + 256] + 0.01
-        weights = np.log(np.append(smooth, ends + 0.01)) - math.log(smooth.sum() + ends + 0.01)
+            if row["piece"] < 0:
+                likely = row["n"] / distinct + weights[-1]
+            else:
+                got[row["piece"]] = row["n"]
+        smooth = np.append(got, distinct) + 0.01
+        # Rounded, so that the order in which tasks are summed up seldom shows.
+        weights = np.round(np.log(smooth) - math.log(smooth.sum()), 9)
+        if rounds is None and likely - last < LEAST_GAIN * abs(likely):
+            break
+        last = likely
     small_batches(spark)
     return weights
 
 
+@dataclass(frozen=True)
+class Mixture:
+    """How known words and pieces share a word's probability: (c - discount) / tokens and, for the way through the pieces, exp(``through``)."""
+
+    discount: float
+    tokens: int
+    through: float
+
+    @classmethod
+    def of(cls, tokens: int, distinct: int, once: int, twice: int) -> Mixture:
+        if not tokens:
+            return cls(0.0, 1, 0.0)
+        discount = (once + 0.5) / (once + 2 * twice + 1)
+        return cls(discount, tokens, math.log(discount * distinct / tokens))
+
+    def known(self, counts: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Log probabilities of words by their counts and their log probabilities through the pieces."""
+        return np.logaddexp(np.log((counts - self.discount) / self.tokens), self.through + pieces)
+
+    def column(self, count: Column, pieces: Column) -> Column:
+        """The same as an expression; a word without a count is a new one."""
+        both = F.log((count - F.lit(self.discount)) / F.lit(float(self.tokens)) + F.exp(pieces + F.lit(self.through)))
+        return F.when(count.isNull(), pieces + F.lit(self.through)).otherwise(both)
+
+
 def _score_words(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _local_lattice(model)
         for batch in batches:
-            likely, _ = lattice.run(batch.column(0).to_pylist())
+            likely = lattice.run(batch.column(0).to_pylist())[0] + lattice.weights[-1]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(likely)], names=["word", "c", "likely"])
 
     return run
 
 
-def head_words(spark: SparkSession, words: DataFrame, model: Broadcast, limit: int) -> Broadcast:
+def head_words(spark: SparkSession, words: DataFrame, model: Broadcast, mixture: Mixture, limit: int) -> Broadcast:
     """(table, counts, log likelihoods) of the most frequent words, at most ``limit`` of at most HEAD_BYTES bytes each."""
     short = words.where(F.octet_length("word") <= HEAD_BYTES)
     level = F.floor(F.log2("c") * 4).cast("int")
@@ -277,7 +328,8 @@ def head_words(spark: SparkSession, words: DataFrame, model: Broadcast, limit: i
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     rows = short.where(level >= least).select("word", "c").mapInArrow(_score_words(model), "word binary, c long, likely double").toArrow()
     small_batches(spark)
-    return spark.sparkContext.broadcast((WordTable(rows.column("word").to_pylist()), rows.column("c").to_numpy(), rows.column("likely").to_numpy()))
+    counts = rows.column("c").to_numpy()
+    return spark.sparkContext.broadcast((WordTable(rows.column("word").to_pylist()), counts, mixture.known(counts, rows.column("likely").to_numpy())))
 
 
 # --- scoring ----------------------------------------------------------------
@@ -304,7 +356,8 @@ def _score(model: Broadcast, head: Broadcast):
                 value[known] = likely[place[known]]
                 rest = np.flatnonzero(~known)
                 others = dict(zip(rest.tolist(), _texts(part, s[rest], e[rest]), strict=True))
-                value[rest] = lattice.run([*others.values()])[0]
+                pieces = np.zeros(len(s))
+                pieces[rest] = lattice.run([*others.values()])[0] + lattice.weights[-1]
                 sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])  # noqa: E731, B023
                 of = np.repeat(np.arange(n), np.diff(at))
                 loose = ~known[token]
@@ -318,7 +371,7 @@ def _score(model: Broadcast, head: Broadcast):
                         pa.array([*np.diff(at).tolist(), *[None] * len(whose)], pa.int64()),
                         pa.array(np.concatenate([sums(known[token].astype(float)), np.zeros(len(whose))]).astype(np.int64)),
                         pa.array(np.concatenate([sums(log_c[token]), np.zeros(len(whose))])),
-                        pa.array(np.concatenate([sums(value[token]), np.zeros(len(whose))])),
+                        pa.array(np.concatenate([sums(value[token]), pieces[which]])),
                         pa.array([*[None] * n, *[others[x] for x in which.tolist()]], pa.binary()),
                         pa.array([*[0] * n, *times.tolist()], pa.int64()),
                     ],
@@ -328,28 +381,33 @@ def _score(model: Broadcast, head: Broadcast):
     return run
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD, em_rounds: int = EM_ROUNDS) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD, em_rounds: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs."""
     small_batches(spark)
     pieces, first = read_pieces(path or public_tokenizers.path(VOCABULARY))
     learnt = docs.where(training)
     words = count_words(spark, learnt, text_col)
     n_ends = learnt.count()
-    size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n_all, n_distinct = size["n"] + n_ends, size["v"] + (n_ends > 0)
-    start = np.append(first, 0.0)
-    start[-1] = math.log((n_ends + 0.01) / (n_all + 0.02))
-    start[:-1] += math.log1p(-math.exp(start[-1]))
-    weights = learn_weights(spark, words, pieces, start, n_ends, em_rounds if n_all else 0)
+    mixture = Mixture.of(size["n"], size["v"], size["once"], size["twice"])
+    end = math.log((n_ends + 1) / (n_all + 2))
+    weights = np.append(first + math.log(1 - FIRST_STOP), math.log(FIRST_STOP))
+    if size["v"]:
+        weights = learn_weights(spark, words, pieces, weights, size["v"], em_rounds)
     model = share_model(spark, pieces, weights)
-    top = head_words(spark, words, model, head)
+    top = head_words(spark, words, model, mixture, head)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n long, known long, log_c double, likely double, word binary, times long"
     sums = materialize(spark, given.mapInArrow(_score(model, top), schema), "lm-sums")
-    # Words outside the broadcast table, joined with the whole table.
-    loose = sums.where("word IS NOT NULL").select("row", "word", "times").join(words.select("word", "c"), "word")
-    rest = loose.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
+    # Words outside the broadcast table, joined with the whole table; those that are not there are new.
+    loose = sums.where("word IS NOT NULL").select("row", "word", "times", F.col("likely").alias("pieces")).join(words.select("word", "c"), "word", "left")
+    rest = loose.groupBy("row").agg(
+        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0))).alias("more"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * mixture.column(F.col("c"), F.col("pieces"))).alias("more_likely"),
+    )
     out = sums.where("word IS NULL").drop("word", "times").join(rest, "row", "left")
     unit = math.log10(n_all + n_distinct + 1) if n_all else 0.0
     return out.select(
@@ -358,7 +416,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, training: Column, id_c
         (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_ends > 0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("log_c") + F.coalesce("more", F.lit(0.0)) + F.lit(math.log10(n_ends + 1)) - (F.col("n") + 1) * F.lit(unit)).alias("base_score"),
-        (F.col("likely") / _LN10 + F.lit(float(weights[-1]) / _LN10)).alias("score"),
+        ((F.col("likely") + F.coalesce("more_likely", F.lit(0.0)) + F.col("n") * F.lit(math.log1p(-math.exp(end))) + F.lit(end)) / _LN10).alias("score"),
     )
 
 
