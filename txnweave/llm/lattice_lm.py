@@ -45,7 +45,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, WordTable, distinct_spans, documents, materialize, row_steps, small_batches, string_parts, word_spans
+from .common import BLANKS, LOWER, WordTable, distinct_spans, documents, materialize, padded, row_steps, same_spans, small_batches, string_parts, word_spans
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words whose counts and scores are broadcast, and the longest of them in bytes.
@@ -89,7 +89,7 @@ class Lattice:
         self.pieces, self.weights = pieces, weights
         self.longest = max(map(len, pieces))
         self.by_name = {x: i for i, x in enumerate(pieces)}
-        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.data = padded(np.frombuffer(b"".join(pieces), np.uint8))
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.starts = np.cumsum(self.sizes) - self.sizes
         keys = np.array([self._hash(x) for x in pieces], np.uint64)
@@ -106,18 +106,18 @@ class Lattice:
             h = (h * int(_B) + b + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def _find(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which rows of ends, with hashes h, are pieces, their numbers)."""
-        hit = np.flatnonzero(self.maybe[(h * _B) >> self.bits])
-        at = np.searchsorted(self.keys, h[hit])
+    def _find(self, h: np.ndarray, data: np.ndarray, end: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words of ``step`` bytes each in padded data: (row of h, word, piece) where the bytes before ``end`` are a piece. h: hashes, a row for each length, longest first."""
+        row, word = np.nonzero(self.maybe[(h * _B) >> self.bits])
+        found = h[row, word]
+        at = np.searchsorted(self.keys, found)
         at[at == len(self.keys)] = 0
-        ok = self.keys[at] == h[hit]
-        hit, piece = hit[ok], self.numbers[at[ok]]
-        size = ends.shape[1]
-        ok = self.sizes[piece] == size
-        hit, piece = hit[ok], piece[ok]
-        ok = (self.data[self.starts[piece][:, None] + np.arange(size)] == ends[hit]).all(1)
-        return hit[ok], piece[ok]
+        piece = self.numbers[at]
+        ok = np.flatnonzero((self.keys[at] == found) & (self.sizes[piece] == len(h) - row))
+        row, word, piece = row[ok], word[ok], piece[ok]
+        size = len(h) - row
+        ok = same_spans(data, word * step + end - size, self.data, self.starts[piece], size)
+        return row[ok], word[ok], piece[ok]
 
     def run(self, words: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihood of each word, expected counts of the pieces if counts are given)."""
@@ -139,6 +139,7 @@ class Lattice:
 
     def _many(self, m: np.ndarray, counts: np.ndarray | None, expected: np.ndarray) -> np.ndarray:
         n, size = m.shape
+        flat = padded(m.reshape(-1))
         prefix = np.zeros((size + 1, n), np.uint64)
         for i in range(size):
             prefix[i + 1] = prefix[i] * _B + m[:, i] + np.uint64(1)
@@ -149,24 +150,25 @@ class Lattice:
         edges = []
         for i in range(1, size + 1):
             byte = base + m[:, i - 1].astype(np.int64)
-            total = alpha[i - 1] + self.weights[byte]
-            for k in range(1, min(i, self.longest) + 1):
-                hit, piece = self._find(prefix[i] - prefix[i - k] * powers[k], m[:, i - k : i])
-                if len(hit):
-                    total[hit] = np.logaddexp(total[hit], alpha[i - k, hit] + self.weights[piece])
-                    if counts is not None:
-                        edges.append((i, k, hit, piece))
-            alpha[i] = total
+            reach = min(i, self.longest)
+            row, word, piece = self._find(prefix[i] - prefix[i - reach : i] * powers[reach:0:-1, None], flat, i, size)
+            start = row + (i - reach)
+            ways = np.full((reach + 1, n), -np.inf)
+            ways[reach] = alpha[i - 1] + self.weights[byte]
+            ways[row, word] = alpha[start, word] + self.weights[piece]
+            top = ways.max(0)
+            alpha[i] = top + np.log(np.exp(ways - top).sum(0))
             if counts is not None:
-                edges.append((i, 1, np.arange(n), byte))
+                edges += [(i, start, word, piece), (i, np.full(n, i - 1), np.arange(n), byte)]
         if counts is not None:
             beta = np.full((size + 1, n), -np.inf)
             beta[size] = 0
-            for i, k, hit, piece in reversed(edges):
-                through = beta[i, hit] + self.weights[piece]
-                beta[i - k, hit] = np.logaddexp(beta[i - k, hit], through)
-                share = np.exp(alpha[i - k, hit] + through - alpha[size, hit]) * counts[hit]
-                expected += np.bincount(piece, share, len(expected))
+            shares = []
+            for i, start, word, piece in reversed(edges):  # no start of a word twice in one step
+                through = beta[i, word] + self.weights[piece]
+                beta[start, word] = np.logaddexp(beta[start, word], through)
+                shares.append(np.exp(alpha[start, word] + through - alpha[size, word]) * counts[word])
+            expected += np.bincount(np.concatenate([piece for *_, piece in reversed(edges)]), np.concatenate(shares), len(expected))
         return alpha[size]
 
     def _one(self, word: bytes, count: float | None, expected: np.ndarray) -> float:
