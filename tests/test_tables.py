@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from txnweave import formats, sources
 from txnweave.functions import normalize
-from txnweave.operators import reports, rule_tables, store, templates
+from txnweave.operators import reports, rule_tables, statements, store, templates
 
 
 def brute(texts, rules):
@@ -180,3 +180,23 @@ def test_open_tags(spark):
     pages = spark.createDataFrame([(1, f"<p>{say}</p><script>var a = 1; // never closed"), (2, f"<p>{say}</p><!-- open {say}"), (3, f"<NAV >menu</nav ><p>{say}</p>"), (4, None)], "i long, html string")
     got = {r.i: r.t for r in pages.select("i", sources.html_text(F.col("html")).alias("t")).collect()}
     assert got[1] == got[2] == got[3] == say.strip() and got[4] is None
+
+
+def test_row_entities(spark):
+    columns = "date string, description string, debit string, credit string, balance string"
+    rows = [("01/02/2024", "UPI", "5.00", "7.00", "9.00"), ("", None, "", "7.00", None), (None, "x", "0.00", "", ""), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, columns)
+    got = [r.e for r in df.select(statements.row_entities(*[F.col(c) for c in df.columns]).alias("e")).collect()]
+    assert got == [
+        {"date": "01/02/2024", "description": "UPI", "amount": "5.00", "type": "debit", "balance": "9.00"},
+        {"amount": "7.00", "type": "credit"},
+        {"description": "x", "amount": "0.00", "type": "debit"},
+        {},
+    ]
+
+
+def test_corpus_text(spark):
+    """Signs of money and code stay; combining marks and pictures go; all white space is one blank."""
+    text = "  a\x1c\tb\u00a0c €5 £6 ¥7 {x|y\\z} 3° ~^`§ \u0939\u093f😀\u0967½ "
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(normalize.clean_corpus(F.col("t")).alias("c")).collect()
+    assert [r.c for r in got] == ["a b c €5 £6 ¥7 {x|y\\z} 3°  \u0939\u0967½", None, ""]

@@ -84,10 +84,14 @@ def clean_mail_strict(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\S{80,}", ""))
 
 
+#: Fixed value: characters that a corpus text keeps beside letters, digits, the underscore and white space.
+CORPUS_SIGNS = r"""₹$€£¥.,;:!?@#%&*()\[\]{}<>+=\-/\\|'"°"""
+
+
 def clean_corpus(text: Column) -> Column:
-    out = F.regexp_replace(text, r"(?U)\s+", " ")
-    out = F.regexp_replace(out, r"(?U)[^\w\s.,!?;:'\"()\[\]₹$%/@#&*+=<>-]", "")
-    return F.trim(out)
+    """White space to one blank, then only letters, digits and the signs of CORPUS_SIGNS; combining marks go."""
+    out = F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " ")
+    return F.trim(F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}_ {CORPUS_SIGNS}]", ""))
 
 
 def content_key(text: Column) -> Column:

@@ -59,6 +59,20 @@ def entities(cols: dict[str, Column]) -> Column:
     return F.map_filter(F.create_map(*[x for k, v in cols.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
 
 
+def row_entities(date: Column, description: Column, debit: Column, credit: Column, balance: Column) -> Column:
+    """map<string, string> of a statement row's texts; empty ones are absent. Amount and type are the debit's, else the credit's."""
+    date, description, debit, credit, balance = (F.nullif(c.cast("string"), F.lit("")) for c in (date, description, debit, credit, balance))
+    kind = F.when(debit.isNotNull(), "debit").when(credit.isNotNull(), "credit")
+    return entities({"date": date, "description": description, "amount": F.coalesce(debit, credit), "type": kind, "balance": balance})
+
+
+def row_example(row: Column, labelled: Column, auto: Column) -> Column:
+    """struct(prompt, completion): a statement row and its entities as JSON, the labelled ones if there are any."""
+    found = F.when(F.size(labelled) > 0, labelled).otherwise(auto)
+    ask = F.concat(F.lit("[BANK_STATEMENT] Extract financial entities from this bank statement row:\n\n"), row)
+    return F.struct(ask.alias("prompt"), F.to_json(found).alias("completion"))
+
+
 def line_transactions(lines: DataFrame, compat: bool = False) -> DataFrame:
     """Lines of 20 characters or more with a date and a number.
 

@@ -10,7 +10,7 @@ from ..operators import routing
 from ..scratch import new_folder
 from .extraction_queries import CLASSED, SCORED
 from .messages import messages
-from .oracle_base import MSG
+from .oracle_base import MSG, clean_corpus
 
 
 def _text(spark: SparkSession, d: str) -> DataFrame:
@@ -238,8 +238,8 @@ f AS (SELECT text, min(source) AS source FROM u GROUP BY text) SELECT source, co
     "a16_doc_sections": (doc_sections, """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS part FROM documents),
 a AS (SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM l WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '#') GROUP BY ALL), b AS (SELECT doc_id, count(*) AS n_sections FROM s WHERE length(trim(part, ' ')) > 50 GROUP BY ALL)
 SELECT doc_id, n_lines, chars, coalesce(n_sections, 0) AS n_sections FROM a LEFT JOIN b USING (doc_id)"""),
-    "k16_corpus_build": (corpus_build, rf"""WITH {MSG}, u AS (SELECT text, 'mail' AS source FROM msg UNION ALL SELECT text, 'chat' FROM conversations)
-SELECT source, count(*) AS docs FROM u WHERE len(regexp_extract_all(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,!?;:''"()\[\]₹$%/@#&*+=<>-]', '', 'g')), '[^ ]+')) >= 10 GROUP BY ALL"""),
+    "k16_corpus_build": (corpus_build, f"""WITH {MSG}, u AS (SELECT text, 'mail' AS source FROM msg UNION ALL SELECT text, 'chat' FROM conversations)
+SELECT source, count(*) AS docs FROM u WHERE len(regexp_extract_all({clean_corpus('text')}, '[^ ]+')) >= 10 GROUP BY ALL"""),
     "l1_stream_extract": (stream_extract, f"WITH {MSG}, {SCORED}, {CLASSED} SELECT classification, confidence, count(*) AS n, count(amount) AS n_amount FROM done JOIN classed USING (msg_id) GROUP BY ALL"),
     "l2_stream_dedup": (stream_dedup, f"WITH {MSG} SELECT count(DISTINCT lower(text)) AS n, count(DISTINCT lower(text)) AS keys FROM msg"),
     "l3_stream_counts": (stream_counts, "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.normalize import CORPUS_SIGNS
 from ..plans.messages import BANKS, HANDLES, SHOPS, TEMPLATES
 
 
@@ -83,3 +84,7 @@ def digits_only(c: str) -> str:
 def norm_date(c: str) -> str:
     formats = ["%d-%m-%Y", "%d-%m-%y", "%d/%m/%Y", "%d/%m/%y", "%d %b %Y", "%d %b %y", "%d %B %Y", "%d %B %y", "%Y-%m-%d", "%d.%m.%Y", "%d.%m.%y"]
     return f"strftime(coalesce({', '.join(f"CASE WHEN {'' if '%Y' in f else 'NOT '}regexp_matches({c}, '[0-9]{{4}}') THEN try_strptime({c}, {lit(f)}) END" for f in formats)}), '%d-%m-%Y')"
+
+
+def clean_corpus(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), {lit(rf'[^\p{{L}}\p{{N}}_ {CORPUS_SIGNS}]')}, '', 'g'))"

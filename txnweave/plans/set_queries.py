@@ -20,6 +20,16 @@ def statement_rows(spark: SparkSession, d: str) -> DataFrame:
     return S.statement_rows(_cells(spark, d)).select("doc", "row_idx", "raw_text", "date", "description", "debit", "credit", "balance")
 
 
+def row_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Statement rows with their entities; rows with a line number that three divides have labelled ones already."""
+    rows = S.statement_rows(_cells(spark, d))
+    text = lambda c: F.when(F.col(c) != 0, F.format_string("%.2f", c))
+    auto = S.row_entities(F.col("date"), F.when(F.col("row_idx") % 5 == 0, "").otherwise(F.col("description")), text("debit"), text("credit"), text("balance"))
+    labelled = S.entities({"amount": F.when(F.col("row_idx") % 3 == 0, text("balance"))})
+    x = rows.select("doc", "row_idx", auto.alias("auto"), S.row_example(F.col("raw_text"), labelled, auto).alias("e"))
+    return x.select("doc", "row_idx", F.size("auto").cast("long").alias("n_entities"), *[F.element_at("auto", k).alias(k) for k in ("date", "description", "amount", "type", "balance")], F.md5("e.prompt").alias("prompt"), F.col("e.completion").alias("completion"))
+
+
 def statement_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = _statement_lines(spark, d)
     marked = lines.select("*", S.is_transaction_line(F.col("line")).alias("is_transaction"))
@@ -75,6 +85,13 @@ QUERIES = {
 CASE WHEN l_returnflag = 'R' THEN l_extendedprice::DECIMAL(18,2)::DOUBLE END AS debit, CASE WHEN l_returnflag = 'A' THEN l_extendedprice::DECIMAL(18,2)::DOUBLE END AS credit, round(l_quantity * 100, 2) AS balance FROM lineitem)
 SELECT doc, row_idx, date || ' | ' || description || ' | ' || coalesce(format('{:,.2f}', debit), '') || ' | ' || coalesce(format('{:,.2f}', credit), '') || ' | Rs ' || format('{:,.2f}', balance) AS raw_text, date, description, debit, credit, balance
 FROM c WHERE debit IS NOT NULL OR credit IS NOT NULL"""),
+    "c27_row_entities": (row_examples, """WITH c AS (SELECT l_orderkey::VARCHAR AS doc, l_linenumber::INTEGER AS row_idx, strftime(l_shipdate, '%d/%m/%Y') AS date, 'PART ' || l_partkey AS part,
+CASE WHEN l_returnflag = 'R' THEN l_extendedprice::DECIMAL(18,2)::DOUBLE END AS debit, CASE WHEN l_returnflag = 'A' THEN l_extendedprice::DECIMAL(18,2)::DOUBLE END AS credit, round(l_quantity * 100, 2) AS b FROM lineitem),
+x AS (SELECT *, CASE WHEN row_idx % 5 <> 0 THEN part END AS description, CASE WHEN debit <> 0 THEN printf('%.2f', debit) WHEN credit <> 0 THEN printf('%.2f', credit) END AS amount, CASE WHEN debit <> 0 THEN 'debit' WHEN credit <> 0 THEN 'credit' END AS type, CASE WHEN b <> 0 THEN printf('%.2f', b) END AS balance,
+date || ' | ' || part || ' | ' || coalesce(format('{:,.2f}', debit), '') || ' | ' || coalesce(format('{:,.2f}', credit), '') || ' | Rs ' || format('{:,.2f}', b) AS raw_text FROM c WHERE coalesce(debit, 0) <> 0 OR coalesce(credit, 0) <> 0)
+SELECT doc, row_idx, (date IS NOT NULL)::BIGINT + (description IS NOT NULL)::BIGINT + (amount IS NOT NULL)::BIGINT + (type IS NOT NULL)::BIGINT + (balance IS NOT NULL)::BIGINT AS n_entities, date, description, amount, type, balance,
+md5('[BANK_STATEMENT] Extract financial entities from this bank statement row:' || chr(10) || chr(10) || raw_text) AS prompt,
+'{' || CASE WHEN row_idx % 3 = 0 AND balance IS NOT NULL THEN '"amount":"' || balance || '"' ELSE concat_ws(',', '"date":"' || date || '"', '"description":"' || description || '"', '"amount":"' || amount || '"', '"type":"' || type || '"', '"balance":"' || balance || '"') END || '}' AS completion FROM x"""),
     "c25_statement_lines": (statement_lines, """SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%d/%m/%Y') || ' ' || CASE l_returnflag WHEN 'R' THEN 'UPI DEBIT' WHEN 'A' THEN 'DEPOSIT' ELSE 'FEE' END || ' ' || printf('%.2f', l_extendedprice) || ' ' || printf('%.2f', round(l_quantity * 100, 2)) AS raw_text,
 strftime(l_shipdate, '%d/%m/%Y') AS date, true AS is_transaction FROM lineitem"""),
     "j7_string_entities": (string_entities, f"""WITH {MSG} SELECT msg_id, CASE WHEN msg_id % 5 < 3 THEN {_RESP_AMT}::DOUBLE END AS amount, CASE WHEN msg_id % 5 < 4 AND msg_id % 2 = 0 THEN 'debit' END AS type, CASE WHEN msg_id % 5 = 1 THEN 'Swiggy' END AS merchant,

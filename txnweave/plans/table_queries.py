@@ -17,7 +17,7 @@ from ..scratch import new_folder
 from .dataset_queries import _AUTO, _hash, auto_labels, docs
 from .extraction_queries import RAW, SCORED, _bank_part, _labels, _mail_classes, _text_category
 from .messages import HANDLES, SHOPS, messages, spread
-from .oracle_base import MSG, array, has_any, in_order, lit
+from .oracle_base import MSG, array, clean_corpus, has_any, in_order, lit
 from .oracle_base import first_label as sql_label
 
 # --- rule tables -----------------------------------------------------------------------------
@@ -222,7 +222,7 @@ def output_json(spark: SparkSession, d: str) -> DataFrame:
 _RULES = """words AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM benchmark),
 rules AS (SELECT row_number() OVER (ORDER BY reverse(keyword)) AS ord, keyword, 'L' || (row_number() OVER (ORDER BY reverse(keyword)) % 11) AS label, (1 + length(keyword) % 4)::DOUBLE AS weight FROM words WHERE length(keyword) >= 3)"""
 
-_CLEAN = rf"""trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,!?;:''"()\[\]₹$%/@#&*+=<>-]', '', 'g'))"""
+_CLEAN = clean_corpus("text")
 
 
 def _fill(template: str, values: dict[str, str]) -> str:
