@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.patterns import count_matching, has_any, matches_any
+from ..functions.patterns import count_matching, has_any, let, matches_any, once
 
 #: Fixed values.
 AMOUNT_SIGN = r"(?:rs\.?|inr|₹)\s*[\d,]+"
@@ -27,37 +27,40 @@ def garbage_patterns(compat: bool = False) -> list[str]:
     return rules.GARBAGE_PATTERNS if compat else [p.replace("OTP", "otp") for p in rules.GARBAGE_PATTERNS]
 
 
+def _found(text: Column, compat: bool) -> Column:
+    """What decides a message's class. The text is lower-cased once; each list of patterns is tried only where those before decided nothing."""
+
+    def of(low: Column) -> Column:
+        return (
+            F.when(text.isNull() | (F.length(F.trim(text)) < 20), "short")
+            .when(matches_any(low, garbage_patterns(compat)), "garbage")
+            .when(count_matching(low, rules.KEEP_PATTERNS) >= 2, "keep")
+            .when(low.rlike("(?U)" + AMOUNT_SIGN), "amount")
+            .otherwise("none")
+        )
+
+    return let(F.lower(text), of)
+
+
+def _kind(found: Column) -> Column:
+    return F.when(found.isin("short", "garbage"), "garbage").when(found == "keep", "keep").otherwise("uncertain")
+
+
+def _reason(found: Column) -> Column:
+    reasons = {"short": "too_short", "garbage": "matched_garbage_pattern", "keep": "matched_transaction_pattern", "amount": "has_amount_no_transaction_type", "none": "no_strong_signals"}
+    return F.element_at(F.create_map(*[F.lit(x) for p in reasons.items() for x in p]), found)
+
+
 def classify(text: Column, compat: bool = False) -> tuple[Column, Column]:
     """(class, reason)."""
-    low = F.lower(text)
-    short = text.isNull() | (F.length(F.trim(text)) < 20)
-    garbage = matches_any(low, garbage_patterns(compat))
-    keep = count_matching(low, rules.KEEP_PATTERNS) >= 2
-    amount = low.rlike("(?U)" + AMOUNT_SIGN)
-    kind = F.when(short | garbage, "garbage").when(keep, "keep").otherwise("uncertain")
-    reason = (
-        F.when(short, "too_short")
-        .when(garbage, "matched_garbage_pattern")
-        .when(keep, "matched_transaction_pattern")
-        .when(amount, "has_amount_no_transaction_type")
-        .otherwise("no_strong_signals")
-    )
-    return kind, reason
+    found = _found(text, compat)
+    return let(found, _kind), let(found, _reason)
 
 
 def with_class(df: DataFrame, text_col: str = "text", compat: bool = False) -> DataFrame:
-    """Adds classification and filter_reason. Each list of patterns is a column of its own, so it is tried once a row, and only where those before decided nothing."""
-    text = F.col(text_col)
-    low = F.lower(text)
-    short = text.isNull() | (F.length(F.trim(text)) < 20)
-    keep = count_matching(low, rules.KEEP_PATTERNS) >= 2
-    out = df.select("*", F.when(short, "short").when(matches_any(low, garbage_patterns(compat)), "garbage").alias("__found"))
-    out = out.select(*df.columns, F.when(F.col("__found").isNotNull(), F.col("__found")).when(keep, "keep").when(low.rlike("(?U)" + AMOUNT_SIGN), "amount").otherwise("none").alias("__found"))
-    found = F.col("__found")
-    kind = F.when(found.isin("short", "garbage"), "garbage").when(found == "keep", "keep").otherwise("uncertain")
-    reasons = {"short": "too_short", "garbage": "matched_garbage_pattern", "keep": "matched_transaction_pattern", "amount": "has_amount_no_transaction_type", "none": "no_strong_signals"}
-    reason = F.element_at(F.create_map(*[F.lit(x) for p in reasons.items() for x in p]), found)
-    return out.select(*df.columns, kind.alias("classification"), reason.alias("filter_reason"))
+    """Adds classification and filter_reason, decided once a row whatever filters follow."""
+    out = once(df, {"__found": _found(F.col(text_col), compat)})
+    return out.select(*df.columns, _kind(F.col("__found")).alias("classification"), _reason(F.col("__found")).alias("filter_reason"))
 
 
 def training_filter(subject: Column, body: Column) -> Column:
