@@ -13,7 +13,7 @@ from ..functions import lookup, normalize, sql
 from ..operators import datasets as D
 from ..operators import extraction, ranges, reports, rule_tables, store, templates
 from ..operators import statements as S
-from ..scratch import new_folder
+from ..scratch import new_folder, written
 from .dataset_queries import _AUTO, _hash, auto_labels, docs
 from .extraction_queries import RAW, SCORED, _bank_part, _labels, _mail_classes, _text_category
 from .messages import HANDLES, SHOPS, messages, spread
@@ -167,9 +167,10 @@ def clean_benchmark(spark: SparkSession, d: str) -> DataFrame:
 def export_verified(spark: SparkSession, d: str) -> DataFrame:
     """Exports of verified and of all labels, in seeded order."""
     parts = []
+    labels = written(auto_labels(spark, d), "labels")
     for only in (True, False):
         path = new_folder(spark, "verified")
-        reports.export_labelled(auto_labels(spark, d), "msg_id", F.col("subject"), F.to_json(F.struct("msg_id", "amount", "type")), path, only)
+        reports.export_labelled(labels, "msg_id", F.col("subject"), F.to_json(F.struct("msg_id", "amount", "type")), path, only)
         back = spark.read.schema("place long, input string, output string, split string").json(path)
         parts.append(back.select(F.lit(only).alias("verified_only"), "split", "place", F.get_json_object("output", "$.msg_id").cast("long").alias("msg_id"), "input"))
     return parts[0].unionByName(parts[1])
