@@ -159,6 +159,23 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("filename"))
 
 
+#: What ends a text in a file of many, and how it and the escape are written inside a text.
+TEXT_END, TEXT_ESCAPES = "\x01", [("\x02", "\x02b"), ("\x01", "\x02a")]
+
+
+def write_text_packs(df: DataFrame, text_col: str, path: str) -> None:
+    """Whole texts, many to a file: a file for each text costs more than the text, and a folder of them more than any job."""
+    value = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), TEXT_ESCAPES, F.coalesce(text_col, F.lit("")))
+    df.select(value.alias("value")).write.option("lineSep", TEXT_END).text(path)
+
+
+def read_text_packs(spark: SparkSession, path: str) -> DataFrame:
+    """(text, filename): the texts of ``write_text_packs``, as they were; large files are read in splits."""
+    packs = spark.read.text(path, lineSep=TEXT_END, recursiveFileLookup=True)
+    text = reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), reversed(TEXT_ESCAPES), F.col("value"))
+    return packs.select(text.alias("text"), F.col("_metadata.file_name").alias("filename"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; malformed ones are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
