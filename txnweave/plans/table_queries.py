@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import formats, rules, sources
 from ..functions import extract as X
 from ..functions import lookup, normalize, sql
+from ..functions.patterns import folded
 from ..operators import datasets as D
 from ..operators import extraction, ranges, reports, rule_tables, store, templates
 from ..operators import statements as S
@@ -62,8 +63,8 @@ def mail_rule_tables(spark: SparkSession, d: str) -> DataFrame:
 def all_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every match of every pattern of all eight fields."""
     named = lambda f: lambda m, i: F.struct(F.lit(f).alias("field"), i.alias("pos"), m["value"].alias("value"), m["priority"].alias("priority"))
-    each = [F.transform(X.all_matches(F.col("text"), f), named(f)) for f in rules.FIELD_PATTERNS]
-    return messages(spark, d).select("msg_id", F.explode(F.flatten(F.array(*each))).alias("m")).select("msg_id", "m.*")
+    each = [F.transform(X.all_matches(F.col("text"), f, F.col("low")), named(f)) for f in rules.FIELD_PATTERNS]
+    return messages(spark, d).select("msg_id", "text", folded(F.col("text")).alias("low")).select("msg_id", F.explode(F.flatten(F.array(*each))).alias("m")).select("msg_id", "m.*")
 
 
 def matches_function(spark: SparkSession, d: str) -> DataFrame:
