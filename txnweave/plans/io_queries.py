@@ -9,7 +9,7 @@ from .. import sources, streaming
 from ..operators import routing
 from ..scratch import new_folder
 from .extraction_queries import CLASSED, SCORED
-from .messages import messages
+from .messages import files_size, messages
 from .oracle_base import MSG, clean_corpus
 
 
@@ -152,6 +152,9 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------
 
+#: Bytes of messages that one task of a stream classifies.
+STREAM_TASK_BYTES = 8 << 20
+
 
 def _stream(spark: SparkSession, d: str, tag: str) -> tuple[DataFrame, str]:
     root = new_folder(spark, tag)
@@ -160,9 +163,15 @@ def _stream(spark: SparkSession, d: str, tag: str) -> tuple[DataFrame, str]:
     return spark.readStream.schema(schema).parquet(f"{root}/in"), root
 
 
+def _dealt(spark: SparkSession, stream: DataFrame, root: str) -> DataFrame:
+    """The stream's rows in as many tasks as its first files' bytes ask for: Spark packs files into tasks for reading, here searching the texts is the work."""
+    tasks = -(-files_size(spark, spark.read.schema(stream.schema).parquet(f"{root}/in")) // STREAM_TASK_BYTES)
+    return stream.repartition(max(tasks, spark.sparkContext.defaultParallelism))
+
+
 def stream_extract(spark: SparkSession, d: str) -> DataFrame:
     stream, root = _stream(spark, d, "stream")
-    streaming.run_once(spark, streaming.extract_stream(stream), f"{root}/out", f"{root}/ck")
+    streaming.run_once(spark, streaming.extract_stream(_dealt(spark, stream, root)), f"{root}/out", f"{root}/ck")
     return spark.read.parquet(f"{root}/out").groupBy("classification", "confidence").agg(F.count("*").alias("n"), F.count("amount").alias("n_amount"))
 
 
@@ -202,7 +211,7 @@ def stream_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_fan_out(spark: SparkSession, d: str) -> DataFrame:
     stream, root = _stream(spark, d, "fan")
-    streaming.fan_out(routing.with_class(stream), f"{root}/out", f"{root}/ck")
+    streaming.fan_out(routing.with_class(_dealt(spark, stream, root)), f"{root}/out", f"{root}/ck")
     return spark.read.parquet(f"{root}/out").groupBy(F.col("classification").alias("folder")).agg(F.count("*").alias("n"))
 
 
