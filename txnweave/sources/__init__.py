@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_corpus, timestamp
+from ..functions.patterns import once
 from ..operators.datasets import keep_first
 from . import splittable
 
@@ -64,11 +65,11 @@ WRAPPERS = ("messages", "transactions", "items", "data")
 def read_json(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """Lists of messages, objects that hold one under a known name, and single objects, each file its own way; rows with an amount become sentences.
 
-    The fields are known, so no pass infers them; large files are read in splits.
+    The fields are known, so no pass infers them; an item is parsed once for all of them; large files are read in splits.
     """
     names = list(dict.fromkeys(x for aliases in JSON_ALIASES.values() for x in aliases))
     schema = ", ".join(f"`{n}` string" for n in [*names, "amount", "merchant"])
-    raw = splittable.json_items(spark, path, WRAPPERS, suffix).select(F.from_json("item", schema).alias("x")).select("x.*")
+    raw = once(splittable.json_items(spark, path, WRAPPERS, suffix), {"x": F.from_json("item", schema)}).select("x.*")
     who = F.when(F.startswith("merchant", F.lit("{")), F.get_json_object("merchant", "$.name")).otherwise(F.col("merchant"))
     said = F.when(F.col("amount").isNotNull(), F.concat(F.lit("Transaction: Rs."), F.col("amount"), F.lit(" to "), F.coalesce(who, F.lit("unknown"))))
     sender = F.coalesce(_first_of(raw, JSON_ALIASES["sender"]), who)
