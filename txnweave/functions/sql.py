@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from .. import rules
 from .normalize import CREDIT_WORDS, DATE_FORMATS, DEBIT_WORDS, MERCHANT_PREFIXES
-from .patterns import java
+from .patterns import FOLDED, java, required
 
 
 def _lit(x: str) -> str:
@@ -49,14 +49,21 @@ def _dates() -> str:
     return f"SELECT d.value, d.priority FROM (SELECT explode(concat({', '.join(each)})) AS d)"
 
 
+def _guard(pattern: str) -> str:
+    """Whether x, of which low is the text in lower case, holds what the pattern needs; as ``patterns.may_match``."""
+    lists = [f"({' OR '.join(f'contains(low, {_lit(w.lower())})' for w in dict.fromkeys(ws))})" for ws in required(pattern)]
+    return f"coalesce({' AND '.join(lists)}, true)" if lists else "true"
+
+
 def _matches() -> str:
-    """Every match of every pattern of every field, each field's by falling priority."""
+    """Every match of every pattern of every field, each field's by falling priority. Texts that lack what a pattern needs aren't searched for it."""
     each = [
-        f"transform(regexp_extract_all(x, {_lit(java(p))}, 1), v -> named_struct('field', '{field}', 'value', v, 'priority', {n}))"
+        f"transform(CASE WHEN {_guard(p)} THEN regexp_extract_all(x, {_lit(java(p))}, 1) ELSE CAST(array() AS array<string>) END, v -> named_struct('field', '{field}', 'value', v, 'priority', {n}))"
         for field, patterns in rules.FIELD_PATTERNS.items()
         for p, n in sorted(patterns, key=lambda p: -p[1])
     ]
-    return f"SELECT d.field, d.value, d.priority FROM (SELECT explode(concat({', '.join(each)})) AS d)"
+    folded = f"CASE WHEN octet_length(x) = length(x) OR NOT rlike(x, {_lit(f'[{FOLDED}]')}) THEN lower(x) END"
+    return f"SELECT d.field, d.value, d.priority FROM (SELECT explode(element_at(transform(array({folded}), low -> concat({', '.join(each)})), 1)) AS d)"
 
 
 def register(spark: SparkSession) -> None:
