@@ -42,7 +42,8 @@ def clean_set(df: DataFrame, key: str, text_col: str, sender_col: str, most: int
     found = df.where((F.length(text) > 50) & has_any(low, CLEAN_VERBS) & has_any(low, AMOUNT_SIGNS))
     found = found.withColumn("bank", first_label(F.lower(F.concat_ws(" ", text_col, sender_col)), X.CLEAN_BANKS)).where("bank IS NOT NULL")
     x = found.select(key, text_col, "bank", *[c.alias(k) for k, c in X.bank_label_fields(text, F.col("bank")).items()]).where("amount IS NOT NULL AND type IS NOT NULL")
-    return _numbered(_sampled(x, key, most, seed), key, seed)
+    # Rows with and without a reference are taken apart: written once, their labels aren't found twice.
+    return _numbered(_sampled(written(x, "clean-set"), key, most, seed), key, seed)
 
 
 def _sampled(x: DataFrame, key: str, most: int, seed: str) -> DataFrame:
