@@ -158,7 +158,8 @@ def add_noise(text: Column, key: Column, level: float = 1.0) -> Column:
         return out
 
     def first(out: Column, on: Column, pattern: str, value: Column) -> Column:
-        return F.regexp_replace(out, F.when(on, F.lit(f"(?s)^(.*?){pattern}")).otherwise(F.lit("\\x00")), F.concat(F.lit("$1"), value))
+        # The pattern is a literal, so that it isn't compiled anew each time the coin turns.
+        return let(out, lambda x: F.when(on, F.regexp_replace(x, F.lit(f"(?s)^(.*?){pattern}"), F.concat(F.lit("$1"), value))).otherwise(x))
 
     def swap(out: Column, on: Column, old: str, new: str) -> Column:
         return F.replace(out, F.when(on, F.lit(old)).otherwise(F.lit("")), F.lit(new))
