@@ -219,9 +219,10 @@ def corpus(parts: list[DataFrame], least_words: int = 10) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    cleaned = out.select(clean_corpus(F.col("text")).alias("text"), "source")
-    counted = cleaned.withColumn("word_count", F.size(F.filter(F.split("text", " "), lambda w: w != "")))
-    return counted.where(F.col("word_count") >= least_words)
+    # Made by generators, so that the filter on the words doesn't clean each text again.
+    cleaned = once(out.select("source", "text"), {"text": clean_corpus(F.col("text"))})
+    counted = once(cleaned, {"word_count": F.size(F.filter(F.split("text", " "), lambda w: w != ""))})
+    return counted.select("text", "source", "word_count").where(F.col("word_count") >= least_words)
 
 
 def write_training_jsonl(df: DataFrame, path: str) -> None:
